@@ -23,7 +23,7 @@ from voxtally.operators import (
     trends,
     words,
 )
-from voxtally.plans import views
+from voxtally.plans import forest, kernel_svm, text_classifier, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -535,3 +535,65 @@ def early_stop(spark, sf_dir):
 @query
 def best_epoch(spark, sf_dir):
     return rounded(runs.best_epoch(views.history(spark, sf_dir)))
+
+
+# ---- models: results without an SQL counterpart ----------------------------------------------
+
+
+def _forest(spark, sf_dir):
+    return forest.train_forest(views.features(spark, sf_dir), "label", "vec_id")
+
+
+@query
+def forest_predictions(spark, sf_dir):
+    return _forest(spark, sf_dir).predictions.drop("probability")
+
+
+@query
+def forest_importances(spark, sf_dir):
+    return forest.feature_importances(_forest(spark, sf_dir))
+
+
+@query
+def forest_report(spark, sf_dir):
+    return _forest(spark, sf_dir).report(digits=6)
+
+
+@query
+def kernel_svm_predictions(spark, sf_dir):
+    run = kernel_svm.train_kernel_svm(
+        views.features(spark, sf_dir), "label", "vec_id", dimension=256, iterations=20, parallelism=8
+    )
+    return run.predictions
+
+
+@query
+def grid_search(spark, sf_dir):
+    data = kernel_svm.prepare(views.features(spark, sf_dir), "label", "vec_id")
+    return kernel_svm.grid_search(data, dimension=256, iterations=10, parallelism=8)
+
+
+@query
+def text_classifier_predictions(spark, sf_dir):
+    run = text_classifier.train_text_classifier(views.text_training(spark, sf_dir))
+    return run.predict().drop("text", "probability")
+
+
+@query
+def text_classifier_history(spark, sf_dir):
+    return text_classifier.train_text_classifier(views.text_training(spark, sf_dir)).history()
+
+
+@query
+def classified_comments(spark, sf_dir):
+    """A classifier fitted on the labelled documents answers first, the rules where it gave nothing."""
+    run = text_classifier.train_text_classifier(views.text_training(spark, sf_dir))
+    answered = text_classifier.classify(
+        views.comments(spark, sf_dir).withColumnRenamed("text", "ENGLISH").drop("label"), run.model
+    )
+    decided = scoring.score_texts(answered, "ENGLISH").select(
+        "comment_id",
+        scoring.model_or_rule("model_sentiment").alias("sentiment"),
+        scoring.scorer_used("model_sentiment").alias("model"),
+    )
+    return decided

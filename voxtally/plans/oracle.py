@@ -353,7 +353,7 @@ def statements() -> dict[str, str]:
         "word_freq": f"""
             WITH {ENRICHED}, w AS (SELECT label, unnest({TOKENS}) AS word FROM enriched),
             c AS (SELECT label, word, count(*) AS n FROM w GROUP BY 1, 2),
-            r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, word) AS rank FROM c)
+            r AS (SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY n DESC, word) AS INTEGER) AS rank FROM c)
             SELECT * FROM r WHERE rank <= 20""",
         "vocabulary": f"WITH {COMMENTS}, {VOCABULARY} SELECT token, n, token_id FROM vocabulary",
         "encode_fixed_length": f"""
@@ -474,8 +474,8 @@ def statements() -> dict[str, str]:
             SELECT model, split_ratio, round(mean_accuracy, 6) AS mean_accuracy, round(max_accuracy, 6) AS max_accuracy,
                    row_number() OVER (PARTITION BY model ORDER BY max_accuracy DESC, split_ratio) = 1 AS is_best FROM s""",
         "early_stop": f"""
-            WITH {TRACE} SELECT run_id, epoch, round(val_acc, 6) AS val_acc, step, round(best_before, 6) AS best_before,
-                improved, waited, stopped, logged FROM traced""",
+            WITH {TRACE} SELECT run_id, epoch, round(val_acc, 6) AS val_acc, CAST(step AS INTEGER) AS step, round(best_before, 6) AS best_before,
+                improved, CAST(waited AS INTEGER) AS waited, stopped, logged FROM traced""",
         "best_epoch": f"""
             WITH {TRACE}, r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY val_acc DESC, epoch) AS rn
                                 FROM traced WHERE logged)
