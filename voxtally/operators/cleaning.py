@@ -25,7 +25,11 @@ def _present(df: DataFrame):
 
 
 def drop_incomplete(df: DataFrame) -> DataFrame:
-    """Rows with a value (neither NULL nor NaN) in every column."""
+    """Rows with a value (neither NULL nor NaN) in every column.
+
+    For stored columns, or a few computed ones; many computed features are better packed first,
+    see :func:`voxtally.operators.columns.pack_features`.
+    """
     return df.dropna("any")
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,9 +52,20 @@ def drop_null_columns(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.drop(*[name for i, name in enumerate(checked) if counts[i] == 0])
 
 
+def _as_double(df: DataFrame, name: str) -> Column:
+    """The column as double: text parsed, numbers cast, NaN as NULL like any other missing value."""
+    kind, column = df.schema[name].dataType, _quoted(name)
+    if isinstance(kind, T.BooleanType):
+        return column.cast("int").cast("double")
+    if isinstance(kind, T.NumericType):
+        number = column.cast("double")
+        return F.when(~F.isnan(number), number) if isinstance(kind, (T.DoubleType, T.FloatType)) else number
+    return to_number(column)
+
+
 def coerce_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """The named columns as doubles; text that is no number becomes NULL."""
-    return df.withColumns({name: to_number(_quoted(name)).alias(name) for name in columns})
+    return df.withColumns({name: _as_double(df, name) for name in columns})
 
 
 def coerce_text_columns(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -67,6 +78,22 @@ def coerce_text_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return coerce_numeric(df, texts) if texts else df
 
 
+def pack_features(df: DataFrame, columns: list[str], name: str = "values") -> DataFrame:
+    """The named columns, coerced, as one array of doubles in their place.
+
+    Wide tables should be packed and written or checkpointed before they are filtered: from a
+    filter over many computed columns Catalyst derives a constraint for each combination of them.
+    """
+    packed = F.array(*[_as_double(df, c) for c in columns])
+    kept = [_quoted(c) for c in df.columns if c not in columns]
+    return df.select(*kept, packed.alias(name))
+
+
+def complete_features(df: DataFrame, name: str = "values") -> DataFrame:
+    """Rows whose packed features are all there."""
+    return df.filter(F.forall(name, lambda x: x.isNotNull()))
+
+
 def split_target(df: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
     """Features and target as two frames of the same rows.
 
@@ -76,8 +103,9 @@ def split_target(df: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
     return df.drop(target), df.select(_quoted(target))
 
 
-def assemble_features(df: DataFrame, columns: list[str], name: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=columns, outputCol=name).transform(df)
+def to_vector(df: DataFrame, values: str = "values", name: str = "features") -> DataFrame:
+    """Packed features as the vector Spark ML works on."""
+    return df.withColumn(name, array_to_vector(F.col(values)))
 
 
 def spread_array(df: DataFrame, array: str, width: int, prefix: str = "f") -> DataFrame:

@@ -392,10 +392,11 @@ def label_index(spark, sf_dir):
 @query
 def standardize(spark, sf_dir):
     """Features scaled by what the training side of a 60/40 split shows."""
-    rows = splits.stratified_split(views.features(spark, sf_dir), "vec_id", "label", 0.4)
-    names = views.feature_names(rows)
-    scaler = features.Standardizer.fit(rows.filter("split = 'train'"), names)
-    return rounded(scaler.transform(rows).drop("label"), 5)
+    vectors = views.packed_features(spark, sf_dir)
+    rows = splits.stratified_split(vectors, "vec_id", "label", 0.4)
+    scaled = features.Standardizer.fit(rows.filter("split = 'train'")).transform(rows)
+    spread = columns.spread_array(scaled.select("vec_id", "split", "scaled"), "scaled", views.EMBEDDING_WIDTH)
+    return rounded(spread, 5)
 
 
 # ---- splits ----------------------------------------------------------------------------------

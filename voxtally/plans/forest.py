@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtally.operators.classes import decode_labels, encode_labels, label_index
-from voxtally.operators.columns import feature_columns
+from voxtally.operators.columns import to_vector
 from voxtally.operators.splits import stratified_split
 from voxtally.plans.training import KEY, TrainingRun, prepare_forest_table
 
@@ -42,22 +41,22 @@ def train_forest(
     seed: int = SEED,
 ) -> TrainingRun:
     """Clean, split by class where possible, fit, predict the test side."""
-    clean = prepare_forest_table(df, target, key)
-    names = feature_columns(clean, target, key)
-    index = label_index(clean, target)
-    split = stratified_split(encode_labels(clean, target, index), key, target, test_fraction, seed)
-    stages = [VectorAssembler(inputCols=names, outputCol="features"), forest(len(names), trees, depth, seed)]
-    model = Pipeline(stages=stages).fit(split.filter("split = 'train'").drop(key))
-    scored = model.transform(split.filter("split = 'test'"))
-    decoded = decode_labels(scored.withColumnRenamed("prediction", "prediction_index"), "prediction_index", index, "prediction")
+    table = prepare_forest_table(df, target, key)
+    index = label_index(table.rows, target)
+    coded = to_vector(encode_labels(table.rows, target, index)).drop("values")
+    split = stratified_split(coded, key, target, test_fraction, seed)
+    train = split.filter("split = 'train'").select("features", "label_index")
+    model = Pipeline(stages=[forest(len(table.names), trees, depth, seed)]).fit(train)
+    scored = model.transform(split.filter("split = 'test'")).withColumnRenamed("prediction", "prediction_index")
+    decoded = decode_labels(scored, "prediction_index", index, "prediction")
     predictions = decoded.select(key, F.col(target).alias("label"), "prediction", "probability")
-    return TrainingRun(model, predictions, index)
+    return TrainingRun(model, predictions, index, table.names)
 
 
 def feature_importances(run: TrainingRun, k: int = 10) -> DataFrame:
     """The ``k`` most important features: ``feature, importance``."""
-    assembler, fitted = run.model.stages
-    pairs = list(zip(assembler.getInputCols(), fitted.featureImportances.toArray().tolist()))
+    importances = run.model.stages[-1].featureImportances.toArray().tolist()
+    pairs = list(zip(run.names, importances))
     spark = run.predictions.sparkSession
     table = spark.createDataFrame(pairs, "feature string, importance double")
     return table.orderBy(F.desc("importance"), "feature").limit(k)

@@ -14,12 +14,11 @@ from itertools import product
 import numpy as np
 import pandas as pd
 from pyspark import keyword_only
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVC, OneVsRest
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCols, HasOutputCol, HasSeed
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol, HasSeed
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +26,6 @@ from pyspark.storagelevel import StorageLevel
 
 from voxtally.operators import metrics
 from voxtally.operators.classes import decode_labels, encode_labels, label_index, with_class_weights
-from voxtally.operators.columns import feature_columns
 from voxtally.operators.features import Standardizer
 from voxtally.operators.splits import stratified_split
 from voxtally.plans.training import KEY, TrainingRun, prepare_svm_table
@@ -38,50 +36,53 @@ TEST_FRACTION, SEED = 0.4, 42
 DIMENSION = 1024
 
 
+def draw(width: int, size: int, scale: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The random directions and phases; the same in every task."""
+    generator = np.random.default_rng(seed)
+    return generator.normal(0.0, scale, (width, size)), generator.uniform(0.0, 2.0 * np.pi, size)
+
+
 class FourierFeatures(
-    Transformer, HasInputCols, HasOutputCol, HasSeed, DefaultParamsReadable, DefaultParamsWritable
+    Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultParamsReadable, DefaultParamsWritable
 ):
-    """Random Fourier features of the input columns, as a vector."""
+    """Random Fourier features of an array of numbers, as a vector."""
 
     gamma = Param(Params._dummy(), "gamma", "width of the radial kernel", TypeConverters.toFloat)
     dimension = Param(Params._dummy(), "dimension", "number of random features", TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, *, inputCols=None, outputCol="features", gamma=0.001, dimension=DIMENSION, seed=SEED):
+    def __init__(self, *, inputCol=None, outputCol="features", gamma=0.001, dimension=DIMENSION, seed=SEED):
         super().__init__()
         self._setDefault(outputCol="features", gamma=0.001, dimension=DIMENSION, seed=SEED)
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
-    def weights(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        generator = np.random.default_rng(self.getSeed())
-        size = self.getOrDefault(self.dimension)
-        scale = np.sqrt(2.0 * self.getOrDefault(self.gamma))
-        return generator.normal(0.0, scale, (width, size)), generator.uniform(0.0, 2.0 * np.pi, size)
-
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        names = self.getInputCols()
-        matrix, shift = self.weights(len(names))
-        factor = np.sqrt(2.0 / len(shift))
+        size, seed = self.getOrDefault(self.dimension), self.getSeed()
+        scale, factor = np.sqrt(2.0 * self.getOrDefault(self.gamma)), np.sqrt(2.0 / size)
 
         @F.pandas_udf("array<double>")
         def mapped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            matrix = shift = None
             for batch in batches:
-                if len(batch):
-                    yield pd.Series(list(factor * np.cos(np.stack(batch.to_numpy()) @ matrix + shift)))
-                else:
+                if not len(batch):
                     yield pd.Series([], dtype=object)
+                    continue
+                rows = np.stack(batch.to_numpy())
+                if matrix is None:
+                    matrix, shift = draw(rows.shape[1], size, scale, seed)
+                yield pd.Series(list(factor * np.cos(rows @ matrix + shift)))
 
-        inputs = F.array(*[F.col(n).cast("double") for n in names])
-        return dataset.withColumn(self.getOutputCol(), array_to_vector(mapped(inputs)))
+        return dataset.withColumn(self.getOutputCol(), array_to_vector(mapped(F.col(self.getInputCol()))))
 
 
 @dataclass(frozen=True)
 class SvmData:
-    """Split, weighted and scaled rows, ready to be fitted with several parameters."""
+    """Split rows with numbered classes and the scaling of the training side, ready to be fitted
+    with several parameters."""
 
     rows: DataFrame
     names: list[str]
-    index: DataFrame
+    labels: DataFrame
     scaler: Standardizer
     key: str
     target: str
@@ -90,13 +91,13 @@ class SvmData:
 def prepare(
     df: DataFrame, target: str, key: str = KEY, test_fraction: float = TEST_FRACTION, seed: int = SEED
 ) -> SvmData:
-    """Clean, split 60/40 by class, weigh classes and scale by what the training side shows."""
-    clean = prepare_svm_table(df, target, key)
-    names = feature_columns(clean, target, key)
-    index = label_index(clean, target)
-    split = stratified_split(encode_labels(clean, target, index), key, target, test_fraction, seed, stratify=True)
-    scaler = Standardizer.fit(split.filter("split = 'train'"), names)
-    return SvmData(scaler.transform(split), names, index, scaler, key, target)
+    """Clean, split 60/40 by class and find the scaling."""
+    table = prepare_svm_table(df, target, key)
+    labels = label_index(table.rows, target)
+    coded = encode_labels(table.rows, target, labels)
+    split = stratified_split(coded, key, target, test_fraction, seed, stratify=True)
+    scaler = Standardizer.fit(split.filter("split = 'train'"))
+    return SvmData(split, table.names, labels, scaler, key, target)
 
 
 def _machine(classes: int, regularization: float, iterations: int, parallelism: int):
@@ -130,18 +131,18 @@ def fit(
 ) -> TrainingRun:
     """Fit with class weights; balanced weights sum up to the rows, which turns C into Spark's
     regularisation ``1 / (C * rows)``."""
-    mapping = FourierFeatures(inputCols=data.names, gamma=gamma, dimension=dimension, seed=seed)
+    scaling = data.scaler.stage()
+    mapping = FourierFeatures(inputCol="scaled", gamma=gamma, dimension=dimension, seed=seed)
     train = with_class_weights(data.rows.filter("split = 'train'"), "label_index")
-    mapped = mapping.transform(train).select("label_index", "weight", "features").persist(StorageLevel.MEMORY_AND_DISK)
-    rows = mapped.count()
-    classes = data.index.count()
-    machine = _machine(classes, 1.0 / (C * rows), iterations, parallelism)
-    model = PipelineModel(stages=[mapping, machine.fit(mapped)])
+    mapped = mapping.transform(scaling.transform(train)).select("label_index", "weight", "features")
+    mapped = mapped.persist(StorageLevel.MEMORY_AND_DISK)
+    machine = _machine(data.labels.count(), 1.0 / (C * mapped.count()), iterations, parallelism)
+    model = PipelineModel(stages=[scaling, mapping, machine.fit(mapped)])
     mapped.unpersist()
-    scored = model.transform(data.rows.filter("split = 'test'"))
-    renamed = scored.withColumnRenamed("prediction", "prediction_index")
-    decoded = decode_labels(renamed, "prediction_index", data.index, "prediction")
-    return TrainingRun(model, decoded.select(data.key, F.col(data.target).alias("label"), "prediction"), data.index)
+    scored = model.transform(data.rows.filter("split = 'test'")).withColumnRenamed("prediction", "prediction_index")
+    decoded = decode_labels(scored, "prediction_index", data.labels, "prediction")
+    predictions = decoded.select(data.key, F.col(data.target).alias("label"), "prediction")
+    return TrainingRun(model, predictions, data.labels, data.names)
 
 
 def train_kernel_svm(df: DataFrame, target: str, key: str = KEY, **parameters) -> TrainingRun:

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtally.operators import metrics
-from voxtally.operators.cleaning import drop_incomplete, require_trainable
-from voxtally.operators.columns import coerce_numeric, coerce_text_columns, drop_null_columns, feature_columns
+from voxtally.operators.cleaning import require_trainable
+from voxtally.operators.columns import complete_features, drop_null_columns, feature_columns, pack_features
+from voxtally.session import ensure_checkpoint_dir
 
 KEY = "row_id"
 
@@ -22,11 +23,12 @@ def with_key(df: DataFrame, key: str = KEY) -> DataFrame:
 
 @dataclass(frozen=True)
 class TrainingRun:
-    """A fitted model, its predictions on the test side, and the class numbers."""
+    """A fitted model, its predictions on the test side, the class numbers and the features' names."""
 
     model: PipelineModel
     predictions: DataFrame
     labels: DataFrame
+    names: list[str]
 
     def accuracy(self) -> DataFrame:
         return metrics.accuracy(self.predictions)
@@ -38,22 +40,42 @@ class TrainingRun:
         return metrics.confusion_matrix(self.predictions)
 
 
-def prepare_forest_table(df: DataFrame, target: str, key: str = KEY) -> DataFrame:
+@dataclass(frozen=True)
+class FeatureTable:
+    """``key, target, values``: complete rows with their features packed into one array."""
+
+    rows: DataFrame
+    names: list[str]
+
+
+def _complete_rows(df: DataFrame, names: list[str], target: str) -> DataFrame:
+    """Packed rows without gaps. They are parsed once and checkpointed: splitting, scaling and
+    fitting read them many times, and their plans need not carry the parsing of every column."""
+    ensure_checkpoint_dir(df.sparkSession)
+    packed = pack_features(df, names).checkpoint()
+    return complete_features(packed).dropna("any", subset=[target])
+
+
+def prepare_forest_table(df: DataFrame, target: str, key: str = KEY) -> FeatureTable:
     """Columns without values dropped, every feature coerced, incomplete rows gone.
 
     The order matters: a column of pure text has values, so it stays, is all NULL once coerced,
     and then takes every row with it.
     """
-    keyed = with_key(df, key)
-    kept = drop_null_columns(keyed, keep=(target, key))
-    clean = drop_incomplete(coerce_numeric(kept, feature_columns(kept, target, key)))
-    require_trainable(clean, target, min_classes=1)
-    return clean
+    kept = drop_null_columns(with_key(df, key), keep=(target, key))
+    names = feature_columns(kept, target, key)
+    rows = _complete_rows(kept, names, target)
+    require_trainable(rows, target, min_classes=1)
+    return FeatureTable(rows, names)
 
 
-def prepare_svm_table(df: DataFrame, target: str, key: str = KEY) -> DataFrame:
-    """Incomplete rows gone, text features coerced, rows that did not survive it gone as well."""
+def prepare_svm_table(df: DataFrame, target: str, key: str = KEY) -> FeatureTable:
+    """Incomplete rows gone, text features coerced, rows that did not survive it gone as well.
+
+    A feature missing before coercion is missing after it, so one filter does for both.
+    """
     keyed = with_key(df, key)
-    clean = drop_incomplete(coerce_text_columns(drop_incomplete(keyed), feature_columns(keyed, target, key)))
-    require_trainable(clean, target)
-    return clean
+    names = feature_columns(keyed, target, key)
+    rows = _complete_rows(keyed, names, target)
+    require_trainable(rows, target)
+    return FeatureTable(rows, names)

@@ -68,8 +68,10 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread_array(vectors, "embedding", EMBEDDING_WIDTH)
 
 
-def feature_names(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c[0] == "f" and c[1:].isdigit()]
+def packed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vec_id, label, values``"""
+    values = F.col("embedding").cast("array<double>").alias("values")
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", values)
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
