@@ -36,12 +36,6 @@ TEST_FRACTION, SEED = 0.4, 42
 DIMENSION = 1024
 
 
-def draw(width: int, size: int, scale: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The random directions and phases; the same in every task."""
-    generator = np.random.default_rng(seed)
-    return generator.normal(0.0, scale, (width, size)), generator.uniform(0.0, 2.0 * np.pi, size)
-
-
 class FourierFeatures(
     Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultParamsReadable, DefaultParamsWritable
 ):
@@ -69,7 +63,10 @@ class FourierFeatures(
                     continue
                 rows = np.stack(batch.to_numpy())
                 if matrix is None:
-                    matrix, shift = draw(rows.shape[1], size, scale, seed)
+                    # The same directions and phases in every task.
+                    generator = np.random.default_rng(seed)
+                    matrix = generator.normal(0.0, scale, (rows.shape[1], size))
+                    shift = generator.uniform(0.0, 2.0 * np.pi, size)
                 yield pd.Series(list(factor * np.cos(rows @ matrix + shift)))
 
         return dataset.withColumn(self.getOutputCol(), array_to_vector(mapped(F.col(self.getInputCol()))))
