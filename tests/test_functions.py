@@ -26,6 +26,8 @@ def test_clean_text_on_random_unicode(values):
     alphabet = "aZé中ñ09_ \t\n\x1d\x85 .,!?-&$#()\"'“”€😀ßØ"
     given = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(300)]
     assert values(given, text.clean_text("x")) == [python_clean(g) for g in given]
+    given += ["&", " $ ", "", "-", "\x85", "é", None]
+    assert values(given, text.has_clean_text("x")) == [bool(python_clean(g)) for g in given]
 
 
 def test_trim_lower_and_title(values):

@@ -38,6 +38,11 @@ def clean_text(text: Column | str) -> Column:
     return F.trim(keep_plain_characters(collapse_blanks(F.coalesce(as_column(text), F.lit("")))))
 
 
+def has_clean_text(text: Column | str) -> Column:
+    """Whether :func:`clean_text` leaves anything, without cleaning: one character to keep is enough."""
+    return F.coalesce(as_column(text).rlike(f"[{WORD}.,!?-]"), F.lit(False))
+
+
 def trim_lower(text: Column | str) -> Column:
     return F.lower(strip_blanks(text))
 

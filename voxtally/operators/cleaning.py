@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxtally.functions.labels import TRAINING_LABELS, label_to_int
-from voxtally.functions.text import clean_text
+from voxtally.functions.text import clean_text, has_clean_text
 
 
 def _present(df: DataFrame):
@@ -67,6 +67,9 @@ def allowed_labels(df: DataFrame, label: str, allowed=tuple(TRAINING_LABELS)) ->
 
 def text_training_rows(df: DataFrame, text: str = "ENGLISH", sentiment: str = "Sentiment") -> DataFrame:
     """Rows fit for training a text classifier: text cleaned, empty texts and unknown labels gone,
-    ``label`` 0 or 1 added."""
-    cleaned = allowed_labels(df, sentiment).withColumn(text, clean_text(text))
-    return nonempty_text(cleaned, text).withColumn("label", label_to_int(sentiment))
+    ``label`` 0 or 1 added.
+
+    Which rows stay is decided on the raw text, so a query that only needs the labels cleans none.
+    """
+    kept = allowed_labels(df, sentiment).filter(has_clean_text(text))
+    return kept.withColumn(text, clean_text(text)).withColumn("label", label_to_int(sentiment))

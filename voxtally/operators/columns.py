@@ -81,7 +81,7 @@ def coerce_text_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 def pack_features(df: DataFrame, columns: list[str], name: str = "values") -> DataFrame:
     """The named columns, coerced, as one array of doubles in their place.
 
-    Wide tables should be packed and written or checkpointed before they are filtered: from a
+    Wide tables should be packed and written out before they are filtered: from a
     filter over many computed columns Catalyst derives a constraint for each combination of them.
     """
     packed = F.array(*[_as_double(df, c) for c in columns])

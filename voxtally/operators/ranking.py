@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxtally.session import bounded_broadcast, ensure_checkpoint_dir
+from voxtally.session import bounded_broadcast, written
 
 _ROW_BITS = 33
 
@@ -17,11 +17,10 @@ def global_row_number(df: DataFrame, order: list[Column], name: str = "row_numbe
     spreads the rows over all partitions, cutting inside runs of equal leading values too, as
     the unique key is part of the order. Each row then holds its partition and its place there;
     the sizes of the partitions, one row each, turn that into the global number. The sorted rows are
-    checkpointed so that both reads see the same partitions even if executors are lost.
+    written out so that both reads see the same partitions even if executors are lost.
     Select only the needed columns first: all that is passed in gets sorted.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    slots = df.orderBy(*order).withColumn("_slot", F.monotonically_increasing_id()).checkpoint()
+    slots = written(df.orderBy(*order).withColumn("_slot", F.monotonically_increasing_id()))
     partition = F.shiftright("_slot", _ROW_BITS)
     before = Window.orderBy("_partition").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

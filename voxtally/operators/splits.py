@@ -9,6 +9,7 @@ class go to the test side. Only the row at the quota has to be found, not a rank
 
 Membership is then a comparison with the cut row of the class, so the data itself is neither
 shuffled nor sorted; it is read once per step, and only its label and key columns in steps 1-3.
+Rows that are costly to make should be written first (``voxtally.session.written``).
 """
 
 from __future__ import annotations

@@ -24,6 +24,7 @@ from voxtally.operators import (
     words,
 )
 from voxtally.plans import forest, kernel_svm, text_classifier, views
+from voxtally.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -100,7 +101,7 @@ def normalized_text(spark, sf_dir):
 
 @query
 def clean_text(spark, sf_dir):
-    return views.table(spark, sf_dir, "documents").select("doc_id", text.clean_text("text").alias("text"))
+    return views.texts(spark, sf_dir).select("doc_id", text.clean_text("text").alias("text"))
 
 
 @query
@@ -488,8 +489,8 @@ def batch_accuracy(spark, sf_dir):
 
 @query
 def prediction_samples(spark, sf_dir):
-    rows = views.text_training(spark, sf_dir)
-    split = splits.three_way_split(cleaning.text_training_rows(rows), "id", "label")
+    rows = written(cleaning.text_training_rows(views.text_training(spark, sf_dir)))
+    split = splits.three_way_split(rows, "id", "label")
     scored = scoring.score_texts(split.filter("split = 'test'"), "ENGLISH")
     guess = (F.col("rule_sentiment") == "Positive").cast("int")
     return metrics.prediction_samples(scored.withColumn("prediction", guess), "id", "ENGLISH")

@@ -20,9 +20,10 @@ from voxtally.functions.text import WORD
 from voxtally.operators.classes import with_class_weights
 from voxtally.operators.cleaning import require_trainable, text_training_rows
 from voxtally.operators.splits import three_way_split
+from voxtally.session import written
 
 SEED = 42
-FEATURES = 1 << 18
+FEATURES = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -60,8 +61,11 @@ def train_text_classifier(
     regularization: float = 0.01,
     seed: int = SEED,
 ) -> TextRun:
-    """Clean, split 80/10/10 by class, weigh classes, fit on the training side."""
-    clean = text_training_rows(df, text, sentiment)
+    """Clean, split 80/10/10 by class, weigh classes, fit on the training side.
+
+    The cleaned rows are written once; finding the split then reads keys and labels only.
+    """
+    clean = written(text_training_rows(df, text, sentiment))
     require_trainable(clean, "label")
     rows = three_way_split(clean, key, "label", seed=seed)
     train = with_class_weights(rows.filter("split = 'train'"), "label")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from voxtally.operators import metrics
 from voxtally.operators.cleaning import require_trainable
 from voxtally.operators.columns import complete_features, drop_null_columns, feature_columns, pack_features
-from voxtally.session import ensure_checkpoint_dir
+from voxtally.session import written
 
 KEY = "row_id"
 
@@ -49,10 +49,9 @@ class FeatureTable:
 
 
 def _complete_rows(df: DataFrame, names: list[str], target: str) -> DataFrame:
-    """Packed rows without gaps. They are parsed once and checkpointed: splitting, scaling and
+    """Packed rows without gaps. They are parsed once and written: splitting, scaling and
     fitting read them many times, and their plans need not carry the parsing of every column."""
-    ensure_checkpoint_dir(df.sparkSession)
-    packed = pack_features(df, names).checkpoint()
+    packed = written(pack_features(df, names))
     return complete_features(packed).dropna("any", subset=[target])
 
 

@@ -10,6 +10,7 @@ from voxtally.functions.scoring import score_texts, sentiment_of
 from voxtally.operators.columns import spread_array
 from voxtally.operators.runs import STAGES
 from voxtally.operators.splits import SPLIT_RATIOS, ratio_column, split_ratios
+from voxtally.session import spread_scan
 
 EMBEDDING_WIDTH = 64
 
@@ -30,9 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, text`` of all documents, on all cores."""
+    return spread_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``comment_id, createTimeISO, label, text``: a raw comment per document."""
-    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("comment_id"), "text")
+    documents = texts(spark, sf_dir).withColumnRenamed("doc_id", "comment_id")
     events = table(spark, sf_dir, "events").select(F.col("event_id").alias("comment_id"), "ts")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("comment_id"), "quality")
     number = F.col("comment_id") % 6
@@ -54,7 +60,7 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, ENGLISH, Sentiment``: labelled documents; toxic ones carry a label that is not accepted."""
-    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("ENGLISH"))
+    documents = texts(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("ENGLISH"))
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
     sentiment = (
         F.when(F.col("toxic") == 1, " POSITIVE").when(F.col("quality") == 1, "Positive").otherwise("negative")
@@ -99,9 +105,7 @@ def scorer_runs_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     to lead. All accuracies come from one aggregate over the scored comments.
     """
     labelled = comments(spark, sf_dir).filter("label IS NOT NULL")
-    keyed = labelled.select("comment_id", "label")
-    split = split_ratios(keyed, "comment_id", "label").drop("label")
-    scored = score_texts(labelled).join(split, "comment_id")
+    scored = score_texts(split_ratios(labelled, "comment_id", "label")).drop("text")
     truth = canonical_label("label")
     scores = {
         "terms": ("positive_terms", "negative_terms"),

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+PARTS_PER_SPLIT = 16
 
 
 def local_session(app: str = "voxtally", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -47,6 +49,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The table, written once as Parquet under the checkpoint folder and read back.
+
+    For rows that several passes read: what made them runs once, later passes read only the
+    columns they need, and lost executors cost nothing but their tasks. The folder belongs to
+    the application and goes with it.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """A file scan with fewer splits than cores, dealt out to all of them.
+
+    Text work is bound by the processor, and a file of one row group would keep it on one core.
+    A scan with enough splits, as any large table has, stays as it is, without a shuffle.
+    """
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df if splits >= cores else df.repartition(min(cores, PARTS_PER_SPLIT * max(splits, 1)))
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Evaluate a table that should be small and mark it for broadcasting if it really is.
 
