@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from voxtally.plans import forest, kernel_svm, text_classifier
 from voxtally.plans.training import prepare_forest_table, prepare_svm_table
 from voxtally.sinks.results import save_model
+from voxtally.sources.csv import read_csv_sniffed
 
 
 @pytest.fixture(scope="module")
@@ -28,6 +29,20 @@ def test_forest_table(spark, rings):
         prepare_forest_table(rings.withColumn("note", F.lit("word")), "Score")
 
 
+def test_from_csv_with_odd_headers(spark, tmp_path):
+    lines = ["  f.1 ;on;empty; My.Score (1-2)"]
+    lines += [f"{i % 10 + (i % 2) * 20};{'True' if i % 4 else 'False'};;{1 + i % 2}" for i in range(60)]
+    (tmp_path / "f.csv").write_text("\n".join(lines + ["oops;True;;1", "3;True;;"]) + "\n")
+    frame = read_csv_sniffed(spark, str(tmp_path / "f.csv"))
+    table = prepare_forest_table(frame, "Score")
+    assert table.names == ["f.1", "on"] and table.rows.count() == 60
+    run = forest.train_forest(frame, trees=5, depth=3)
+    assert run.accuracy().first()[0] == 1.0 and run.predictions.count() == 12
+    renamed = frame.withColumnRenamed("Score", "My.Score").drop("empty")
+    svm = kernel_svm.train_kernel_svm(renamed, "My.Score", gamma=0.5, dimension=64, iterations=20)
+    assert svm.predictions.count() == 24 and svm.accuracy().first()[0] > 0.9
+
+
 def test_svm_table_needs_every_column(rings):
     with pytest.raises(ValueError, match="empty"):
         prepare_svm_table(rings, "Score")

@@ -71,6 +71,7 @@ def test_search(enriched):
     assert ids("^ok$") == [4]
     assert ids("(sekali)", literal=True) == [2]
     assert ids("") == [1, 2, 3, 4, 5]
+    assert ids(r"^\w+ \w+$") == [1]
     with pytest.raises(Exception):
         browse.search(enriched, "(")
 
@@ -207,6 +208,15 @@ def test_null_columns_coercion_and_summary(spark):
     assert [tuple(r) for r in columns.complete_features(packed).collect()] == [("x", [1.0, 1.0])]
 
 
+def test_truth_columns_are_numbers_only_when_pure(spark):
+    rows = [("True", "true", "x"), ("false", "7", "y"), (None, None, None)]
+    frame = spark.createDataFrame(rows, "a string, b string, c string")
+    profile = columns.column_profile(frame, frame.columns)
+    assert profile == {"a": (2, 2), "b": (2, 1), "c": (2, 0)} and columns.truth_columns(profile) == ["a"]
+    packed = columns.pack_features(frame, ["a", "b"], truths=["a"])
+    assert [r["values"] for r in packed.collect()] == [[1.0, None], [0.0, 7.0], [None, None]]
+
+
 def test_guards(spark):
     frame = spark.range(20).select((F.col("id") % 2).alias("y"))
     assert cleaning.require_trainable(frame, "y") == (20, 2)

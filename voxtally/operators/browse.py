@@ -21,9 +21,10 @@ PERIODS = {"All time": None, "Last 7 days": 7, "Last 30 days": 30, "Last 90 days
 
 
 def search(df: DataFrame, query: str, text: str = "text", literal: bool = False) -> DataFrame:
-    """Rows whose text matches the query in any case; NULL texts never do.
+    r"""Rows whose text matches the query in any case; NULL texts never do.
 
-    The query is a regular expression unless ``literal``. A broken expression fails here, not
+    The query is a regular expression, with classes like ``\w`` over all scripts, unless
+    ``literal``. A broken expression fails here, not
     in the middle of a job.
     """
     if not query:
@@ -32,7 +33,7 @@ def search(df: DataFrame, query: str, text: str = "text", literal: bool = False)
         found = F.lower(text).contains(F.lower(F.lit(query)))
     else:
         re.compile(query)
-        found = F.col(text).rlike(f"(?iu){query}")
+        found = F.col(text).rlike(f"(?iU){query}")
     return df.filter(F.coalesce(found, F.lit(False)))
 
 

@@ -10,8 +10,12 @@ from pyspark.sql import types as T
 from voxtally.functions.columns import as_column
 from voxtally.functions.numbers import to_number
 
+# Texts read as truth values, as documented for pandas.read_csv.
+TRUE_TEXTS = ("True", "TRUE", "true")
+FALSE_TEXTS = ("False", "FALSE", "false")
 
-def _quoted(name: str):
+
+def quoted(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
@@ -43,18 +47,37 @@ def feature_columns(df: DataFrame, *excluded: str) -> list[str]:
     return [name for name in df.columns if name not in excluded]
 
 
+def column_profile(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, int]]:
+    """Per column the number of values, and of those that spell a truth value; one pass for all."""
+    cells = []
+    for i, name in enumerate(columns):
+        cells.append(F.count(quoted(name)).alias(f"v{i}"))
+        is_text = isinstance(df.schema[name].dataType, T.StringType)
+        truth = F.count_if(quoted(name).isin(list(TRUE_TEXTS + FALSE_TEXTS))) if is_text else F.lit(0)
+        cells.append(truth.alias(f"t{i}"))
+    if not cells:
+        return {}
+    found = df.agg(*cells).first()
+    return {name: (found[f"v{i}"], found[f"t{i}"]) for i, name in enumerate(columns)}
+
+
 def drop_null_columns(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Drop columns without any value; ``keep`` are exempt. One pass counts all columns."""
-    checked = feature_columns(df, *keep)
-    if not checked:
-        return df
-    counts = df.agg(*[F.count(_quoted(name)).alias(f"c{i}") for i, name in enumerate(checked)]).first()
-    return df.drop(*[name for i, name in enumerate(checked) if counts[i] == 0])
+    """Drop columns without any value; ``keep`` are exempt."""
+    profile = column_profile(df, feature_columns(df, *keep))
+    return df.drop(*[name for name, (values, _) in profile.items() if values == 0])
+
+
+def truth_columns(profile: dict[str, tuple[int, int]]) -> list[str]:
+    """Text columns that hold truth values only. They count as numbers, while a truth value among
+    other texts does not."""
+    return [name for name, (values, truths) in profile.items() if 0 < values == truths]
 
 
-def _as_double(df: DataFrame, name: str) -> Column:
+def _as_double(df: DataFrame, name: str, truths: list[str] = ()) -> Column:
     """The column as double: text parsed, numbers cast, NaN as NULL like any other missing value."""
-    kind, column = df.schema[name].dataType, _quoted(name)
+    kind, column = df.schema[name].dataType, quoted(name)
+    if name in truths:
+        return F.when(column.isin(list(TRUE_TEXTS)), 1.0).when(column.isin(list(FALSE_TEXTS)), 0.0)
     if isinstance(kind, T.BooleanType):
         return column.cast("int").cast("double")
     if isinstance(kind, T.NumericType):
@@ -78,14 +101,17 @@ def coerce_text_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return coerce_numeric(df, texts) if texts else df
 
 
-def pack_features(df: DataFrame, columns: list[str], name: str = "values") -> DataFrame:
-    """The named columns, coerced, as one array of doubles in their place.
+def pack_features(
+    df: DataFrame, columns: list[str], name: str = "values", truths: list[str] = ()
+) -> DataFrame:
+    """The named columns, coerced, as one array of doubles in their place; ``truths`` name the
+    text columns of truth values.
 
     Wide tables should be packed and written out before they are filtered: from a
     filter over many computed columns Catalyst derives a constraint for each combination of them.
     """
-    packed = F.array(*[_as_double(df, c) for c in columns])
-    kept = [_quoted(c) for c in df.columns if c not in columns]
+    packed = F.array(*[_as_double(df, c, truths) for c in columns])
+    kept = [quoted(c) for c in df.columns if c not in columns]
     return df.select(*kept, packed.alias(name))
 
 
@@ -100,7 +126,7 @@ def split_target(df: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
     For looking at either alone. Work that needs both keeps them in one frame: the rows then
     stay aligned without any join.
     """
-    return df.drop(target), df.select(_quoted(target))
+    return df.drop(target), df.select(quoted(target))
 
 
 def to_vector(df: DataFrame, values: str = "values", name: str = "features") -> DataFrame:

@@ -31,14 +31,17 @@ def label_axis(df: DataFrame, label: str = "label", prediction: str = "predictio
 def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """``label, prediction, n`` over all pairs of classes, zero cells included.
 
-    The zero cells are laid out from the class list and added up with the counted pairs.
+    The zero cells are laid out from the class list and added up with the counted pairs. The
+    class list is taken from the same counts (it keeps their sum, so that both sides have one
+    plan), and Spark computes them once.
     """
     pairs = confusion_counts(df, label, prediction)
-    classes = pairs.select(F.explode(F.array("label", "prediction")).alias("c")).agg(
-        F.array_sort(F.collect_set("c")).alias("classes")
+    classes = pairs.select(F.explode(F.array("label", "prediction")).alias("c"), "n").agg(
+        F.array_sort(F.collect_set("c")).alias("classes"), F.sum("n").alias("rows")
     )
     cells = (
-        classes.select("classes", F.explode("classes").alias("label"))
+        classes.filter(F.col("rows") > 0)
+        .select("classes", F.explode("classes").alias("label"))
         .select("label", F.explode("classes").alias("prediction"))
         .withColumn("n", F.lit(0).cast("long"))
     )

@@ -31,7 +31,10 @@ def word_freq(df: DataFrame, text: str = "text", label: str = "label", k: int =
 
 
 def lexicon_usage(df: DataFrame, text: str = "text", lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
-    """``term, polarity, weight, n_texts``: in how many texts each lexicon term occurs."""
+    """``term, polarity, weight, n_texts``: in how many texts each lexicon term occurs.
+
+    The counts have a row per lexicon term at most, so they are broadcast.
+    """
     used = (
         df.select(F.explode(matched_terms(text, lexicon)).alias("term"))
         .groupBy("term")
@@ -39,7 +42,7 @@ def lexicon_usage(df: DataFrame, text: str = "text", lexicon: Lexicon = DEFAULT_
     )
     terms = lexicon.to_frame(df.sparkSession).filter("kind = 'term'").drop("kind")
     return (
-        terms.join(used, "term", "left")
+        terms.join(F.broadcast(used), "term", "left")
         .withColumn("n_texts", F.coalesce("n_texts", F.lit(0)))
         .select("term", "polarity", "weight", "n_texts")
     )

@@ -25,6 +25,7 @@ from voxtally.operators import (
 )
 from voxtally.plans import forest, kernel_svm, text_classifier, views
 from voxtally.session import written
+from voxtally.sinks import results
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -472,6 +473,12 @@ def confusion_matrix(spark, sf_dir):
     return metrics.confusion_matrix(views.predictions(spark, sf_dir))
 
 
+@query
+def confusion_table(spark, sf_dir):
+    """The same with a column per predicted class."""
+    return metrics.confusion_table(views.predictions(spark, sf_dir), list(range(10)))
+
+
 @query
 def label_axis(spark, sf_dir):
     return metrics.label_axis(views.predictions(spark, sf_dir))
@@ -496,6 +503,18 @@ def prediction_samples(spark, sf_dir):
     return metrics.prediction_samples(scored.withColumn("prediction", guess), "id", "ENGLISH")
 
 
+@query
+def summary_report(spark, sf_dir):
+    """Split sizes, class counts, confusion cells and scores of the rule scorer, as one table."""
+    rows = views.scored_labels(spark, sf_dir)
+    events = views.table(spark, sf_dir, "events").select("event_id", "event_type")
+    sizes = splits.three_way_split(events, "event_id", "event_type").groupBy("split").count()
+    return results.report_table(
+        {"cells": metrics.confusion_cells(rows), "months": trends.monthly_peak(_enriched(spark, sf_dir))},
+        {"split": sizes, "classes": classes.class_counts(rows, "label")},
+    )
+
+
 # ---- runs ------------------------------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voxtally.operators.classes import decode_labels, encode_labels, label_index
 from voxtally.operators.columns import to_vector
 from voxtally.operators.splits import stratified_split
-from voxtally.plans.training import KEY, TrainingRun, prepare_forest_table
+from voxtally.plans.training import KEY, TARGET, TrainingRun, prepare_forest_table
 
 # The forest's parameters. A leaf of three rows implies the minimum of five (six)
 # rows for a split.
@@ -42,14 +42,14 @@ def train_forest(
 ) -> TrainingRun:
     """Clean, split by class where possible, fit, predict the test side."""
     table = prepare_forest_table(df, target, key)
-    index = label_index(table.rows, target)
-    coded = to_vector(encode_labels(table.rows, target, index)).drop("values")
-    split = stratified_split(coded, key, target, test_fraction, seed)
+    index = label_index(table.rows, TARGET)
+    coded = to_vector(encode_labels(table.rows, TARGET, index)).drop("values")
+    split = stratified_split(coded, key, TARGET, test_fraction, seed)
     train = split.filter("split = 'train'").select("features", "label_index")
     model = Pipeline(stages=[forest(len(table.names), trees, depth, seed)]).fit(train)
     scored = model.transform(split.filter("split = 'test'")).withColumnRenamed("prediction", "prediction_index")
     decoded = decode_labels(scored, "prediction_index", index, "prediction")
-    predictions = decoded.select(key, F.col(target).alias("label"), "prediction", "probability")
+    predictions = decoded.select(key, F.col(TARGET).alias("label"), "prediction", "probability")
     return TrainingRun(model, predictions, index, table.names)
 
 

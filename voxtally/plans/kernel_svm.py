@@ -28,7 +28,7 @@ from voxtally.operators import metrics
 from voxtally.operators.classes import decode_labels, encode_labels, label_index, with_class_weights
 from voxtally.operators.features import Standardizer
 from voxtally.operators.splits import stratified_split
-from voxtally.plans.training import KEY, TrainingRun, prepare_svm_table
+from voxtally.plans.training import KEY, TARGET, TrainingRun, prepare_svm_table
 
 # The machine's parameters.
 GRID = {"C": [100.0], "gamma": [0.001]}
@@ -82,7 +82,6 @@ class SvmData:
     labels: DataFrame
     scaler: Standardizer
     key: str
-    target: str
 
 
 def prepare(
@@ -90,11 +89,11 @@ def prepare(
 ) -> SvmData:
     """Clean, split 60/40 by class and find the scaling."""
     table = prepare_svm_table(df, target, key)
-    labels = label_index(table.rows, target)
-    coded = encode_labels(table.rows, target, labels)
-    split = stratified_split(coded, key, target, test_fraction, seed, stratify=True)
+    labels = label_index(table.rows, TARGET)
+    coded = encode_labels(table.rows, TARGET, labels)
+    split = stratified_split(coded, key, TARGET, test_fraction, seed, stratify=True)
     scaler = Standardizer.fit(split.filter("split = 'train'"))
-    return SvmData(split, table.names, labels, scaler, key, target)
+    return SvmData(split, table.names, labels, scaler, key)
 
 
 def _machine(classes: int, regularization: float, iterations: int, parallelism: int):
@@ -138,7 +137,7 @@ def fit(
     mapped.unpersist()
     scored = model.transform(data.rows.filter("split = 'test'")).withColumnRenamed("prediction", "prediction_index")
     decoded = decode_labels(scored, "prediction_index", data.labels, "prediction")
-    predictions = decoded.select(data.key, F.col(data.target).alias("label"), "prediction")
+    predictions = decoded.select(data.key, F.col(TARGET).alias("label"), "prediction")
     return TrainingRun(model, predictions, data.labels, data.names)
 
 

@@ -432,6 +432,21 @@ def statements() -> dict[str, str]:
             WITH {PREDICTIONS}, axis AS (SELECT label AS c FROM predictions UNION SELECT prediction FROM predictions)
             SELECT a.c AS label, b.c AS prediction, count(p.id) AS n
             FROM axis a CROSS JOIN axis b LEFT JOIN predictions p ON p.label = a.c AND p.prediction = b.c GROUP BY 1, 2""",
+        "confusion_table": "WITH {} SELECT label, {} FROM predictions GROUP BY 1".format(
+            PREDICTIONS, ", ".join(f'count(*) FILTER (prediction = {c}) AS "{c}"' for c in range(10))
+        ),
+        "summary_report": f"""
+            WITH {SCORED_LABELS}, enriched AS (SELECT createTimeISO FROM comments),
+            base AS (SELECT event_id, event_type FROM events), {three_way('base', 'event_id', 'event_type')}
+            SELECT 'cells' AS section, CASE WHEN label = 0 AND prediction = 0 THEN 'tn' WHEN label = 0 THEN 'fp'
+                       WHEN prediction = 0 THEN 'fn' ELSE 'tp' END AS key, CAST(count(s.id) AS VARCHAR) AS value
+            FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) c(label, prediction)
+                 LEFT JOIN scored_labels s USING (label, prediction) GROUP BY ALL
+            UNION ALL SELECT 'months', 'max_count', CAST(max(n) AS VARCHAR)
+            FROM (SELECT count(*) AS n FROM enriched GROUP BY date_trunc('month', createTimeISO))
+            UNION ALL SELECT 'split', split, CAST(count(*) AS VARCHAR) FROM parted GROUP BY split
+            UNION ALL SELECT 'classes', CAST(label AS VARCHAR), CAST(count(*) AS VARCHAR)
+            FROM scored_labels GROUP BY label""",
         "label_axis": f"""
             WITH {PREDICTIONS} SELECT label FROM predictions UNION SELECT prediction FROM predictions""",
         "confusion_cells": f"""

@@ -20,7 +20,7 @@ from voxtally.functions.text import WORD
 from voxtally.operators.classes import with_class_weights
 from voxtally.operators.cleaning import require_trainable, text_training_rows
 from voxtally.operators.splits import three_way_split
-from voxtally.session import written
+from voxtally.session import spread_scan, written
 
 SEED = 42
 FEATURES = 1 << 16
@@ -65,7 +65,7 @@ def train_text_classifier(
 
     The cleaned rows are written once; finding the split then reads keys and labels only.
     """
-    clean = written(text_training_rows(df, text, sentiment))
+    clean = spread_scan(written(text_training_rows(df, text, sentiment)))
     require_trainable(clean, "label")
     rows = three_way_split(clean, key, "label", seed=seed)
     train = with_class_weights(rows.filter("split = 'train'"), "label")

@@ -10,10 +10,18 @@ from pyspark.sql import functions as F
 
 from voxtally.operators import metrics
 from voxtally.operators.cleaning import require_trainable
-from voxtally.operators.columns import complete_features, drop_null_columns, feature_columns, pack_features
-from voxtally.session import written
+from voxtally.operators.columns import (
+    column_profile,
+    complete_features,
+    feature_columns,
+    pack_features,
+    quoted,
+    truth_columns,
+)
+from voxtally.session import spread_scan, written
 
 KEY = "row_id"
+TARGET = "target"
 
 
 def with_key(df: DataFrame, key: str = KEY) -> DataFrame:
@@ -42,17 +50,18 @@ class TrainingRun:
 
 @dataclass(frozen=True)
 class FeatureTable:
-    """``key, target, values``: complete rows with their features packed into one array."""
+    """The key, ``target`` and ``values``: complete rows with their features packed into one array."""
 
     rows: DataFrame
     names: list[str]
 
 
-def _complete_rows(df: DataFrame, names: list[str], target: str) -> DataFrame:
+def _complete_rows(df: DataFrame, names: list[str], target: str, key: str, truths: list[str]) -> DataFrame:
     """Packed rows without gaps. They are parsed once and written: splitting, scaling and
     fitting read them many times, and their plans need not carry the parsing of every column."""
-    packed = written(pack_features(df, names))
-    return complete_features(packed).dropna("any", subset=[target])
+    packed = pack_features(df, names, truths=truths)
+    slim = packed.select(quoted(key).alias(key), quoted(target).alias(TARGET), "values")
+    return complete_features(spread_scan(written(slim))).dropna("any", subset=[TARGET])
 
 
 def prepare_forest_table(df: DataFrame, target: str, key: str = KEY) -> FeatureTable:
@@ -61,10 +70,11 @@ def prepare_forest_table(df: DataFrame, target: str, key: str = KEY) -> FeatureT
     The order matters: a column of pure text has values, so it stays, is all NULL once coerced,
     and then takes every row with it.
     """
-    kept = drop_null_columns(with_key(df, key), keep=(target, key))
-    names = feature_columns(kept, target, key)
-    rows = _complete_rows(kept, names, target)
-    require_trainable(rows, target, min_classes=1)
+    keyed = with_key(df, key)
+    profile = column_profile(keyed, feature_columns(keyed, target, key))
+    names = [name for name, (values, _) in profile.items() if values > 0]
+    rows = _complete_rows(keyed, names, target, key, truth_columns(profile))
+    require_trainable(rows, TARGET, min_classes=1)
     return FeatureTable(rows, names)
 
 
@@ -75,6 +85,6 @@ def prepare_svm_table(df: DataFrame, target: str, key: str = KEY) -> FeatureTabl
     """
     keyed = with_key(df, key)
     names = feature_columns(keyed, target, key)
-    rows = _complete_rows(keyed, names, target)
-    require_trainable(rows, target)
+    rows = _complete_rows(keyed, names, target, key, truth_columns(column_profile(keyed, names)))
+    require_trainable(rows, TARGET)
     return FeatureTable(rows, names)
