@@ -36,6 +36,7 @@ def test_from_csv_with_odd_headers(spark, tmp_path):
     frame = read_csv_sniffed(spark, str(tmp_path / "f.csv"))
     table = prepare_forest_table(frame, "Score")
     assert table.names == ["f.1", "on"] and table.rows.count() == 60
+    assert {r.target for r in table.rows.collect()} == {1, 2}
     run = forest.train_forest(frame, trees=5, depth=3)
     assert run.accuracy().first()[0] == 1.0 and run.predictions.count() == 12
     renamed = frame.withColumnRenamed("Score", "My.Score").drop("empty")

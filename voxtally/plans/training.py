@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxtally.functions.numbers import to_number
 from voxtally.operators import metrics
 from voxtally.operators.cleaning import require_trainable
 from voxtally.operators.columns import (
@@ -61,7 +62,21 @@ def _complete_rows(df: DataFrame, names: list[str], target: str, key: str, truth
     fitting read them many times, and their plans need not carry the parsing of every column."""
     packed = pack_features(df, names, truths=truths)
     slim = packed.select(quoted(key).alias(key), quoted(target).alias(TARGET), "values")
-    return complete_features(spread_scan(written(slim))).dropna("any", subset=[TARGET])
+    rows = complete_features(spread_scan(written(slim))).dropna("any", subset=[TARGET])
+    return _typed_target(rows)
+
+
+def _typed_target(rows: DataFrame) -> DataFrame:
+    """A target of numbers written as text becomes numeric, so that classes sort by value."""
+    if dict(rows.dtypes)[TARGET] != "string":
+        return rows
+    number = to_number(TARGET)
+    found = rows.agg(
+        F.count(TARGET).alias("values"), F.count(number).alias("numbers"), F.count_if(number == F.floor(number)).alias("whole")
+    ).first()
+    if not found["values"] or found["numbers"] < found["values"]:
+        return rows
+    return rows.withColumn(TARGET, number.cast("long") if found["whole"] == found["values"] else number)
 
 
 def prepare_forest_table(df: DataFrame, target: str, key: str = KEY) -> FeatureTable:
