@@ -16,11 +16,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxtally.operators.classes import class_summary
-from voxtally.session import bounded_broadcast
+from voxtally.session import bounded_table, broadcast_table
 
 _DIGITS = 3
 _HASH_LENGTH = 32
@@ -75,6 +76,14 @@ def _inside(hashed: DataFrame, ends: DataFrame, digits: int) -> DataFrame:
     return hashed.join(ends, same).drop("_stratum", "bucket")
 
 
+def _fetch(df: DataFrame, largest: str) -> tuple[DataFrame, int]:
+    """A small table, ready for broadcasting if its size allows, and the maximum of a column."""
+    table = bounded_table(df)
+    if table is None:
+        return df, df.agg(F.max(largest)).first()[0] or 0
+    return broadcast_table(df, table), pc.max(table[largest]).as_py() or 0
+
+
 def cut_rows(
     df: DataFrame,
     key: str,
@@ -97,15 +106,14 @@ def cut_rows(
     named = quotas.withColumnRenamed("stratum", "_stratum")
     with_quota = buckets.join(named, F.col("stratum").eqNullSafe(F.col("_stratum"))).drop("_stratum")
     columns = ("stratum", "cut", "bucket", "n", "quota")
-    ends = bounded_broadcast(_at_quota(_running(with_quota, "bucket")).select(*columns))
+    ends, largest = _fetch(_at_quota(_running(with_quota, "bucket")).select(*columns), "n")
 
-    while digits < _HASH_LENGTH and (ends.agg(F.max("n")).first()[0] or 0) > bucket_rows:
+    while digits < _HASH_LENGTH and largest > bucket_rows:
         finer = F.substring("hash", 1, min(digits + _DIGITS, _HASH_LENGTH)).alias("bucket")
         inside = _inside(hashed, ends, digits).groupBy("stratum", "cut", "quota", finer)
         digits = min(digits + _DIGITS, _HASH_LENGTH)
-        ends = bounded_broadcast(
-            _at_quota(_running(inside.agg(F.count(F.lit(1)).alias("n")), "bucket")).select(*columns)
-        )
+        finer_ends = _at_quota(_running(inside.agg(F.count(F.lit(1)).alias("n")), "bucket"))
+        ends, largest = _fetch(finer_ends.select(*columns), "n")
 
     candidates = _inside(hashed, ends, digits).groupBy("stratum", "cut", "quota", "hash", "key")
     last = _at_quota(_running(candidates.agg(F.count(F.lit(1)).alias("n")), "hash", "key"))
@@ -113,8 +121,8 @@ def cut_rows(
         F.max("n").alias("copies"),
         *[F.max(F.when(F.col("cut") == i, F.struct("hash", "key"))).alias(f"cut_{i}") for i in range(len(fractions))],
     )
-    cuts = bounded_broadcast(wide)
-    if (cuts.agg(F.max("copies")).first()[0] or 1) > 1:
+    cuts, copies = _fetch(wide, "copies")
+    if copies > 1:
         raise ValueError(f"{key!r} is not unique, an exact split needs a unique key")
     return cuts.drop("copies")
 

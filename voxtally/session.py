@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,15 +73,25 @@ def spread_scan(df: DataFrame) -> DataFrame:
     return df if splits >= cores else df.repartition(min(cores, PARTS_PER_SPLIT * max(splits, 1)))
 
 
+def bounded_table(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> pa.Table | None:
+    """The rows of a table that should be small, None if it is not.
+
+    At most ``max_rows + 1`` rows are fetched to find out.
+    """
+    table = df.limit(max_rows + 1).toArrow()
+    return table if table.num_rows <= max_rows and table.nbytes <= max_bytes else None
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Evaluate a table that should be small and mark it for broadcasting if it really is.
 
-    At most ``max_rows + 1`` rows are fetched to prove the size. Within the bound the result is
-    a local table with a broadcast hint, so the aggregate behind it runs once. Beyond it the
-    table comes back as it was, without a hint: Spark then shuffles both sides and AQE splits
-    skewed keys, with the same result.
+    Within the bound the result is a local table with a broadcast hint, so the aggregate behind
+    it runs once. Beyond it the table comes back as it was, without a hint: Spark then shuffles
+    both sides and AQE splits skewed keys, with the same result.
     """
-    table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows or table.nbytes > max_bytes:
-        return df
+    table = bounded_table(df, max_rows, max_bytes)
+    return df if table is None else broadcast_table(df, table)
+
+
+def broadcast_table(df: DataFrame, table: pa.Table) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(table, schema=df.schema))
