@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from voxtally.functions.text import preview
 from voxtally.operators.comments import TIME
 from voxtally.operators.ranking import global_row_number
+from voxtally.session import bounded_broadcast
 
 KEY = "comment_id"
 PAGE_SIZE = 30
-# Above this many skipped rows a page is cut from numbered rows rather than a top-k heap.
-HEAP_ROWS = 100_000
+# Up to this many rows, texts included, a top-k may hold; deeper pages are found by number.
+HEAP_ROWS = 3_000
 
 PERIODS = {"All time": None, "Last 7 days": 7, "Last 30 days": 30, "Last 90 days": 90}
 
@@ -78,8 +79,9 @@ def page(
     """One page of the newest-first list; a number out of range gives the nearest page.
 
     Pass ``total`` if the number of rows is known, it saves a count. Early pages are a
-    distributed top-k; deep ones are cut from globally numbered rows, so no task holds all the
-    rows before them. :func:`page_after` walks on from a page without either.
+    distributed top-k. For deep ones times and keys are numbered globally, so that no task holds
+    the rows before them, and the page's rows are picked by their keys. :func:`page_after` walks
+    on from a page without either.
     """
     if number > 1:
         total = df.count() if total is None else total
@@ -88,9 +90,9 @@ def page(
     skipped = (number - 1) * size
     if skipped + size <= HEAP_ROWS:
         return newest_first(df, ts, key).offset(skipped).limit(size)
-    numbered = global_row_number(df, newest_order(ts, key), "_row")
-    wanted = numbered.filter(F.col("_row").between(skipped + 1, skipped + size)).drop("_row")
-    return newest_first(wanted, ts, key)
+    numbered = global_row_number(df.select(ts, key), newest_order(ts, key), "_row")
+    keys = numbered.filter(F.col("_row").between(skipped + 1, skipped + size)).select(key)
+    return newest_first(df.join(bounded_broadcast(keys), key, "left_semi"), ts, key)
 
 
 def page_after(

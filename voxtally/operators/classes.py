@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxtally.functions.numbers import percent
-from voxtally.session import bounded_broadcast
+from voxtally.operators.ranking import global_row_number
+from voxtally.session import bounded_broadcast, bounded_table, local_table
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -40,10 +41,18 @@ def with_class_weights(df: DataFrame, label: str, name: str = "weight") -> DataF
 
 
 def label_index(df: DataFrame, label: str) -> DataFrame:
-    """Sorted classes numbered from 0: ``label, label_index``. Numbers sort by value, text by text."""
+    """Sorted classes numbered from 0: ``label, label_index``. Numbers sort by value, text by text.
+
+    The distinct classes are looked up once. So many that they are no small table are numbered
+    by the distributed sort.
+    """
     distinct = df.filter(F.col(label).isNotNull()).select(label).distinct()
+    table = bounded_table(distinct)
+    if table is None:
+        numbered = global_row_number(distinct, [F.col(label).asc()], "_number")
+        return numbered.select(label, (F.col("_number") - 1).cast("int").alias("label_index"))
     rank = F.row_number().over(Window.orderBy(label)) - 1
-    return distinct.withColumn("label_index", rank)
+    return local_table(distinct, table).withColumn("label_index", rank)
 
 
 def encode_labels(df: DataFrame, label: str, index: DataFrame, name: str = "label_index") -> DataFrame:

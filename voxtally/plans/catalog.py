@@ -205,6 +205,12 @@ def comments_page(spark, sf_dir):
     return browse.page(shown, 3).withColumn("shown_at", times.display_time("createTimeISO"))
 
 
+@query
+def deep_page(spark, sf_dir):
+    """A page far down the list of all events."""
+    return browse.page(views.table(spark, sf_dir, "events"), 200, ts="ts", key="event_id")
+
+
 @query
 def next_page(spark, sf_dir):
     """The page behind a given row, without counting or skipping."""

@@ -313,6 +313,11 @@ def statements() -> dict[str, str]:
             FROM (SELECT *, row_number() OVER (ORDER BY createTimeISO DESC NULLS LAST, comment_id DESC) AS rn
                   FROM enriched), t
             WHERE rn > (p - 1) * 30 AND rn <= p * 30""",
+        "deep_page": """
+            WITH t AS (SELECT least(200, greatest(1, ceil(count(*) / 30))) AS p FROM events)
+            SELECT event_id, ts, user_id, event_type, value, props
+            FROM (SELECT *, row_number() OVER (ORDER BY ts DESC NULLS LAST, event_id DESC) AS rn FROM events), t
+            WHERE rn > (p - 1) * 30 AND rn <= p * 30""",
         "next_page": f"""
             WITH {ENRICHED} SELECT comment_id, createTimeISO, label FROM enriched
             WHERE createTimeISO < TIMESTAMP '2024-06-01' OR createTimeISO IS NULL

@@ -19,7 +19,7 @@ from voxtally.operators.columns import (
     quoted,
     truth_columns,
 )
-from voxtally.session import spread_scan, written
+from voxtally.session import written
 
 KEY = "row_id"
 TARGET = "target"
@@ -62,7 +62,7 @@ def _complete_rows(df: DataFrame, names: list[str], target: str, key: str, truth
     fitting read them many times, and their plans need not carry the parsing of every column."""
     packed = pack_features(df, names, truths=truths)
     slim = packed.select(quoted(key).alias(key), quoted(target).alias(TARGET), "values")
-    rows = complete_features(spread_scan(written(slim))).dropna("any", subset=[TARGET])
+    rows = complete_features(written(slim)).dropna("any", subset=[TARGET])
     return _typed_target(rows)
 
 

@@ -93,5 +93,10 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes:
     return df if table is None else broadcast_table(df, table)
 
 
+def local_table(df: DataFrame, table: pa.Table) -> DataFrame:
+    """The fetched rows of ``df`` as a table of their own."""
+    return df.sparkSession.createDataFrame(table, schema=df.schema)
+
+
 def broadcast_table(df: DataFrame, table: pa.Table) -> DataFrame:
-    return F.broadcast(df.sparkSession.createDataFrame(table, schema=df.schema))
+    return F.broadcast(local_table(df, table))
