@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from voxtally.functions import labels, numbers, text, times
+from voxtally.operators.comments import with_timestamps
 
 
 def python_clean(value):
@@ -78,6 +79,25 @@ def test_calendar_texts(values):
     assert values(moment, times.display_time(column), "timestamp_ntz") == ["Jan 05, 2024 at 03:07 PM"]
 
 
+def test_session_zone_does_not_matter(spark, values):
+    """02:30 does not exist in New York on this day, yet a comment may carry it."""
+    moment = [datetime(2024, 3, 10, 2, 30), datetime(2024, 3, 1, 0, 0), datetime(2024, 3, 31, 23, 59)]
+    texts = ["2024-03-10 02:30:00", "2024-03-10T02:30:00Z", "2024-03-10T02:30:00-04:00"]
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        shown = values(moment, times.display_time("x"), "timestamp_ntz")
+        months = values(moment, times.month_start("x"), "timestamp_ntz")
+        parsed = values(texts, times.parse_timestamp("x"))
+        instant = spark.sql("SELECT timestamp'2024-03-10 12:00:00' AS createTimeISO")
+        moved = with_timestamps(instant).first()[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert shown == ["Mar 10, 2024 at 02:30 AM", "Mar 01, 2024 at 12:00 AM", "Mar 31, 2024 at 11:59 PM"]
+    assert {str(m) for m in months} == {"2024-03-01"}
+    assert parsed == [datetime(2024, 3, 10, 2, 30), datetime(2024, 3, 10, 2, 30), datetime(2024, 3, 10, 6, 30)]
+    assert moved == datetime(2024, 3, 10, 16)
+
+
 def test_elapsed_text_matches_timedelta(values):
     given = [0.0, 0.5, 1.5, 59.6, 3600.0, 86399.5, 86400.0, 172801.2, 8640000.0]
     expected = [str(timedelta(seconds=int(round(g)))) for g in given]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxtally.functions.labels import canonical_label
-from voxtally.functions.times import day_name, month_short, month_text, parse_timestamp
+from voxtally.functions.times import day_name, month_short, month_text, parse_timestamp, utc_clock
 
 TIME = "createTimeISO"
 
@@ -17,7 +17,9 @@ def with_timestamps(df: DataFrame, ts: str = TIME) -> DataFrame:
     kind = df.schema[ts].dataType
     if isinstance(kind, T.TimestampNTZType):
         return df
-    if isinstance(kind, (T.TimestampType, T.DateType)):
+    if isinstance(kind, T.TimestampType):
+        return df.withColumn(ts, utc_clock(ts))
+    if isinstance(kind, T.DateType):
         return df.withColumn(ts, F.col(ts).cast("timestamp_ntz"))
     return df.withColumn(ts, parse_timestamp(F.col(ts).cast("string")))
 

@@ -124,14 +124,14 @@ def sentiment_totals(spark, sf_dir):
 
 @query
 def monthly_counts(spark, sf_dir):
-    return trends.monthly_counts(_enriched(spark, sf_dir)).select(F.to_date("month_start").alias("month_start"), "n")
+    return trends.monthly_counts(_enriched(spark, sf_dir))
 
 
 @query
 def monthly_counts_orders(spark, sf_dir):
     """The same count over the orders of several years."""
     orders = views.table(spark, sf_dir, "orders").select("o_orderdate")
-    return trends.monthly_counts(orders, "o_orderdate").select(F.to_date("month_start").alias("month_start"), "n")
+    return trends.monthly_counts(orders, "o_orderdate")
 
 
 @query
