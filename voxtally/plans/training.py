@@ -19,7 +19,7 @@ from voxtally.operators.columns import (
     quoted,
     truth_columns,
 )
-from voxtally.session import written
+from voxtally.session import spread_scan, written
 
 KEY = "row_id"
 TARGET = "target"
@@ -57,13 +57,20 @@ class FeatureTable:
     names: list[str]
 
 
-def _complete_rows(df: DataFrame, names: list[str], target: str, key: str, truths: list[str]) -> DataFrame:
+def _complete_rows(
+    df: DataFrame, names: list[str], target: str, key: str, truths: list[str], spread: bool
+) -> DataFrame:
     """Packed rows without gaps. They are parsed once and written: splitting, scaling and
-    fitting read them many times, and their plans need not carry the parsing of every column."""
+    fitting read them many times, and their plans need not carry the parsing of every column.
+
+    ``spread`` deals few splits out to all cores, for fits bound by the processor.
+    """
     packed = pack_features(df, names, truths=truths)
     slim = packed.select(quoted(key).alias(key), quoted(target).alias(TARGET), "values")
-    rows = complete_features(written(slim)).dropna("any", subset=[TARGET])
-    return _typed_target(rows)
+    rows = written(slim)
+    if spread:
+        rows = spread_scan(rows)
+    return _typed_target(complete_features(rows).dropna("any", subset=[TARGET]))
 
 
 def _typed_target(rows: DataFrame) -> DataFrame:
@@ -88,7 +95,7 @@ def prepare_forest_table(df: DataFrame, target: str, key: str = KEY) -> FeatureT
     keyed = with_key(df, key)
     profile = column_profile(keyed, feature_columns(keyed, target, key))
     names = [name for name, (values, _) in profile.items() if values > 0]
-    rows = _complete_rows(keyed, names, target, key, truth_columns(profile))
+    rows = _complete_rows(keyed, names, target, key, truth_columns(profile), spread=True)
     require_trainable(rows, TARGET, min_classes=1)
     return FeatureTable(rows, names)
 
@@ -100,6 +107,7 @@ def prepare_svm_table(df: DataFrame, target: str, key: str = KEY) -> FeatureTabl
     """
     keyed = with_key(df, key)
     names = feature_columns(keyed, target, key)
-    rows = _complete_rows(keyed, names, target, key, truth_columns(column_profile(keyed, names)))
+    truths = truth_columns(column_profile(keyed, names))
+    rows = _complete_rows(keyed, names, target, key, truths, spread=False)
     require_trainable(rows, TARGET)
     return FeatureTable(rows, names)
