@@ -9,12 +9,13 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 import voxtally
 from voxtally.session import ensure_checkpoint_dir, written
 
-__all__ = ["map_batches", "read_table", "shared_folder", "ship", "written"]
+__all__ = ["file_store", "map_batches", "put_file", "read_table", "shared_folder", "ship", "written"]
 
 #: Rows of an Arrow batch. Texts may be long, so a batch is far below Spark's 10,000 rows.
 BATCH_ROWS = 512
@@ -53,3 +54,21 @@ def map_batches(
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the checkpoint folder, which all executors see; it is not made yet."""
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def file_store(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """The store of a path as executors see it, and the path within it."""
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    return pa.fs.FileSystem.from_uri(path)
+
+
+def put_file(path: str, parts: list[bytes]) -> None:
+    """Write a whole file under its name, or nothing: a lost task leaves no half file behind a good name."""
+    store, name = file_store(path)
+    store.create_dir(name.rsplit("/", 1)[0], recursive=True)
+    attempt = f"{name}.{uuid.uuid4().hex}.attempt"
+    with store.open_output_stream(attempt) as out:
+        for part in parts:
+            out.write(part)
+    store.move(attempt, name)

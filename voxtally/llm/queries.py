@@ -4,20 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtally.llm import circulant_minhash
+from voxtally.llm import circulant_minhash, segment_bpe, token_counts, token_files
 from voxtally.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+JSON_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PATTERN = public_tokenizers.PATTERN
+
+
 def query(function):
     QUERIES[function.__name__] = function
     return function
 
 
+@query
+def op4_token_files(spark, sf_dir):
+    documents = read_table(spark, sf_dir, "documents")
+    return token_files.token_file_round_trip(spark, documents, JSON_TOKENIZER, PATTERN)
+
+
+@query
+def op7_segment_bpe(spark, sf_dir):
+    return segment_bpe.encode_documents(read_table(spark, sf_dir, "documents"), MULTI_RANKS, PATTERN)
+
+
 @query
 def op9_circulant_minhash(spark, sf_dir):
     found = circulant_minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op10_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), RANKS, PATTERN)
