@@ -2,4 +2,57 @@
 
 from __future__ import annotations
 
+from voxtally.llm import line_rules
+
 STATEMENTS: dict[str, str] = {}
+
+SPACE = r"[\x20\x09-\x0D]"
+LETTER = r"\p{L}\p{N}_"
+
+
+def quoted(values) -> str:
+    return ", ".join("'" + x.replace("'", "''") + "'" for x in sorted(values))
+
+
+STATEMENTS["op5_line_rules"] = rf"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+    list_filter(string_split_regex(coalesce(text, ''), '{SPACE}+'), lambda w: w <> '') AS words
+  FROM documents),
+starts AS (SELECT doc_id, i, words[i : i + 7] AS gram FROM docs, unnest(range(1, len(words) - 6)) AS r(i)),
+twice AS (SELECT doc_id, gram FROM starts GROUP BY ALL HAVING count(*) > 1),
+covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM starts JOIN twice USING (doc_id, gram), unnest(range(0, 8)) AS r(k)
+  GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM docs),
+sized AS (
+  SELECT *, len(list_filter(string_split_regex(line, '{SPACE}+'), lambda w: w <> '')) AS n,
+    length(regexp_replace(line, '{SPACE}', '', 'g')) AS chars FROM lines),
+marked AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again FROM sized WHERE n > 0),
+failed AS (
+  SELECT *, again
+    OR NOT regexp_matches(line, '[.!?…:;。！？]["''”’»)\]}}]*([ \t-\r]|$)')
+    OR length(regexp_replace(line, '[{LETTER}\s.,;:''’\-()"]', '', 'g')) > n
+    OR length(regexp_replace(line, '[^|»›•·>]', '', 'g')) >= 3
+    OR (n <= 12 AND len(list_filter(list_transform(string_split_regex(lower(line), '{SPACE}+'),
+        lambda w: regexp_replace(w, '^[^{LETTER}]+|[^{LETTER}]+$', '', 'g')),
+        lambda w: w <> '' AND w NOT IN ({quoted(line_rules.MENU_WORDS)}))) = 0)
+    OR regexp_matches(lower(line), '{"|".join(line_rules.STOCK_PHRASES)}') AS bad
+  FROM marked),
+per_doc AS (
+  SELECT doc_id, count(*) FILTER (WHERE again) AS n_dup_lines, count(*) FILTER (WHERE bad) AS n_failed_lines,
+    coalesce(sum(chars) FILTER (WHERE bad), 0) AS lost_chars FROM failed GROUP BY doc_id),
+figures AS (
+  SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(text, '{SPACE}', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+    CAST(coalesce(n_failed_lines, 0) AS BIGINT) AS n_failed_lines, CAST(coalesce(lost_chars, 0) AS BIGINT) AS lost_chars
+  FROM docs d LEFT JOIN per_doc p ON d.doc_id = p.doc_id LEFT JOIN covered c ON d.doc_id = c.doc_id)
+SELECT *, (n_words < {line_rules.MIN_WORDS} OR 100 * n_repeat_words > {line_rules.MAX_REPEATED} * n_words) AS base_failed,
+  NOT (n_words < {line_rules.MIN_WORDS} OR 100 * n_repeat_words > {line_rules.MAX_REPEATED} * n_words)
+    AND 100 * lost_chars <= {line_rules.MAX_LOST} * word_chars AS kept
+FROM figures"""

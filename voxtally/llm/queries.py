@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtally.llm import circulant_minhash, segment_bpe, token_counts, token_files
+from voxtally.llm import circulant_minhash, line_rules, segment_bpe, token_counts, token_files
 from voxtally.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,11 @@ def op4_token_files(spark, sf_dir):
     return token_files.token_file_round_trip(spark, documents, JSON_TOKENIZER, PATTERN)
 
 
+@query
+def op5_line_rules(spark, sf_dir):
+    return line_rules.apply_rules(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_segment_bpe(spark, sf_dir):
     return segment_bpe.encode_documents(read_table(spark, sf_dir, "documents"), MULTI_RANKS, PATTERN)
