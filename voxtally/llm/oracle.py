@@ -56,3 +56,14 @@ SELECT *, (n_words < {line_rules.MIN_WORDS} OR 100 * n_repeat_words > {line_rule
   NOT (n_words < {line_rules.MIN_WORDS} OR 100 * n_repeat_words > {line_rules.MAX_REPEATED} * n_words)
     AND 100 * lost_chars <= {line_rules.MAX_LOST} * word_chars AS kept
 FROM figures"""
+
+STATEMENTS["op8_warc"] = """
+WITH payloads AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages),
+firsts AS (
+  SELECT payload_digest, min(page_id) AS first FROM payloads WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM payloads LEFT JOIN firsts USING (payload_digest)"""

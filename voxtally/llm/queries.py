@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtally.llm import circulant_minhash, line_rules, segment_bpe, token_counts, token_files
+from voxtally.llm import circulant_minhash, line_rules, segment_bpe, token_counts, token_files, warc
 from voxtally.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,12 @@ def op7_segment_bpe(spark, sf_dir):
     return segment_bpe.encode_documents(read_table(spark, sf_dir, "documents"), MULTI_RANKS, PATTERN)
 
 
+@query
+def op8_warc(spark, sf_dir):
+    found = warc.archive_round_trip(spark, read_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op9_circulant_minhash(spark, sf_dir):
     found = circulant_minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
