@@ -5,14 +5,16 @@ ASCII white space; a shorter text is one shingle). Two documents are linked when
 Jaccard similarity is at least 0.75.
 
 Signature: shingle hashes are scattered over ``2**UNIVERSE_BITS`` slots by a first permutation. A
-second permutation, shifted circularly by k, gives coordinate k, so coordinates 0 to 127 of a shingle
+second permutation, shifted circularly by k, gives coordinate k, so all 256 coordinates of a shingle
 are one contiguous slice of that permutation and a signature is the minimum over such slices.
-32 bands of 4 coordinates miss a pair at similarity 0.75 with probability 5e-6.
+51 bands of 5 coordinates miss a pair at similarity 0.75 with probability 1e-6. The lowest bits of the
+coordinates are a sketch: at similarity 0.75 seven eighths of them agree on average, and pairs more than
+seven standard deviations below that are not looked at further.
 
 Documents with equal sets form a class, which goes through the search once. In each bucket members
 are compared with leaders instead of with each other; a bucket is closed when its members are in one
 component or every pair of different components has been compared. A hot bucket so costs one pass,
-and no link is lost: each round takes up to 256 new leaders of a bucket that is still open.
+and no link is lost: each round takes up to 128 new leaders of a bucket that is still open.
 
 Rows: a null text or one without words has an empty set, is linked with nothing and kept. Repeated
 rows are in one class. A row with a null id takes part; it is kept only if its whole component has no id.
@@ -33,9 +35,11 @@ from voxtally.llm.common import map_batches, written
 WORDS = 5
 SIMILARITY = 75
 UNIVERSE_BITS = 20
-BANDS, ROWS = 32, 4
-COORDINATES = BANDS * ROWS
-LEADERS = 256
+COORDINATES = 256
+BANDS, ROWS = 51, 5
+#: Coordinates whose lowest bits may differ.
+DIFFERENT = 69
+LEADERS = 128
 SEED = 20240607
 NO_ID = -(1 << 63)
 CACHE_WORDS = 500_000
@@ -97,25 +101,32 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def band_hashes(signed: np.ndarray) -> np.ndarray:
-    """A bucket number for each band; band b has the coordinates b, b + 32, b + 64, b + 96."""
+    """A bucket number for each band; band b has the coordinates b, b + 51, b + 102, b + 153, b + 204."""
     out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for row in signed.reshape(ROWS, BANDS).astype(np.uint64):
+    for row in signed[: BANDS * ROWS].reshape(ROWS, BANDS).astype(np.uint64):
         out = mix(out * BASE + row)
     return out.view(np.int64)
 
 
+def sketch(signed: np.ndarray) -> np.ndarray:
+    """The lowest bits of the coordinates, in four numbers."""
+    return np.packbits((signed & np.uint32(1)).astype(np.uint8)).view(np.int64)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, high, low, bands = [], [], [], []
+        sizes, high, low, bands, bits = [], [], [], [], []
         for text in batch.column(1).to_pylist():
             hashes = shingle_hashes(words_of(text))
             sizes.append(len(hashes))
             if not len(hashes):
-                high.append(None), low.append(None), bands.append(None)
+                high.append(None), low.append(None), bands.append(None), bits.append(None)
                 continue
             high.append(int(mix(hashes).sum().view(np.int64)))
             low.append(int(mix(hashes ^ BASE).sum().view(np.int64)))
-            bands.append(band_hashes(signature(hashes)))
+            signed = signature(hashes)
+            bands.append(band_hashes(signed))
+            bits.append(sketch(signed))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
@@ -124,14 +135,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(high, pa.int64()),
                 pa.array(low, pa.int64()),
                 pa.array(bands, pa.list_(pa.int64())),
+                pa.array(bits, pa.list_(pa.int64())),
             ],
-            ["doc_id", "print", "n_shingles", "high", "low", "bands"],
+            ["doc_id", "print", "n_shingles", "high", "low", "bands", "sketch"],
         )
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: id, hash of the text, set size, 128-bit digest of the set, buckets."""
-    schema = "doc_id long, print long, n_shingles long, high long, low long, bands array<long>"
+    schema = "doc_id long, print long, n_shingles long, high long, low long, bands array<long>, sketch array<long>"
     text = F.col("text").cast("string")
     return map_batches(docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text)), _sets, schema)
 
@@ -202,24 +214,32 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+TRAITS = ("n_shingles", "s0", "s1", "s2", "s3")
+LEFT, RIGHT = ({"node": side} | {name: f"{name}_{side}" for name in TRAITS} for side in "ab")
+#: What sizes and sketches allow.
+FITS = (
+    f"100 * least(n_shingles_a, n_shingles_b) >= {SIMILARITY} * greatest(n_shingles_a, n_shingles_b) and "
+    + " + ".join(f"bit_count(s{k}_a ^ s{k}_b)" for k in range(4))
+    + f" <= {DIFFERENT}"
+)
+
+
 def linked_classes(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
     """(node, component) of the classes that have a link; None if no class has one."""
-    sizes = classes.select("node", "n_shingles")
+    traits = classes.select("node", "n_shingles", *(F.col("sketch")[k].alias(f"s{k}") for k in range(4)))
     exploded = classes.select("node", F.explode("bands").alias("bucket"))
     shared = exploded.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last"))
     members = written(exploded.join(shared.filter("first < last").drop("last"), "bucket"))
     texts = written(class_texts(classes.join(members.select("node").distinct(), "node", "left_semi"), docs))
     rest = members.filter("node > first").select("bucket", "node")
-    pairs = members.filter("node > first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    fits = f"100 * least(n_a, n_b) >= {SIMILARITY} * greatest(n_a, n_b)"
+    pairs = members.filter("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = pairs.join(traits.withColumnsRenamed(LEFT), "a").join(traits.withColumnsRenamed(RIGHT), "b").filter(FITS)
     checked = edges = labels = None
     while True:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        for side in ("a", "b"):
-            pairs = pairs.join(sizes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}")), side)
-        pairs = written(pairs.filter(fits).select("a", "b"))
+        pairs = written(pairs)
         if not pairs.isEmpty():
             checked = pairs if checked is None else checked.unionAll(pairs)
             found = written(verify(pairs, texts))
@@ -236,16 +256,18 @@ def linked_classes(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
         still_open = written(tagged.join(span.filter("low < top").select("bucket"), "bucket"))
         if still_open.isEmpty():
             return labels
-        leaders = still_open.groupBy("bucket", F.expr(f"pmod(xxhash64(node), {LEADERS})").alias("salt")).agg(
-            F.min("node").alias("a"), F.min_by("component", "node").alias("component_a")
+        described = still_open.join(traits, "node")
+        salt = F.expr(f"pmod(xxhash64(node), {LEADERS})").alias("salt")
+        leaders = described.groupBy("bucket", salt).agg(
+            F.min_by(F.struct("node", "component", "n_shingles", "s0", "s1", "s2", "s3"), "node").alias("leader")
         )
-        pairs = (
-            still_open.join(leaders.drop("salt"), "bucket")
-            .filter("component <> component_a")
-            .select("a", F.col("node").alias("b"))
+        leaders = written(leaders.select("bucket", "leader.*"))
+        near = described.withColumnsRenamed(RIGHT | {"component": "component_b"}).join(
+            leaders.withColumnsRenamed(LEFT | {"component": "component_a"}), "bucket"
         )
+        pairs = near.filter("component_a <> component_b").filter(FITS).select("a", "b")
         rest = still_open.join(
-            leaders.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti"
+            leaders.select("bucket", "node"), ["bucket", "node"], "left_anti"
         ).select("bucket", "node")
 
 
@@ -278,9 +300,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             F.min(F.struct(F.expr("doc_id is null"), F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "print")).alias("at"),
             F.first("n_shingles").alias("n_shingles"),
             F.first("bands").alias("bands"),
+            F.first("sketch").alias("sketch"),
         )
         .select(
-            F.monotonically_increasing_id().alias("node"), "high", "low", "at.key", "at.print", "n_shingles", "bands"
+            F.monotonically_increasing_id().alias("node"), "high", "low", "at.key", "at.print", "n_shingles", "bands", "sketch"
         )
     )
     labels = linked_classes(classes, docs)
