@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxtally.llm import line_rules
+from voxtally.llm import line_rules, spaced_seeds
 
 STATEMENTS: dict[str, str] = {}
 
@@ -67,3 +67,36 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
   CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN first <> page_id THEN first END AS refers_to
 FROM payloads LEFT JOIN firsts USING (payload_digest)"""
+
+
+def _spaced_seeds() -> str:
+    """Masked stretches joined as text, then windows compared."""
+    words = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
+    stretches = []
+    for table, key in (("d", "doc_id"), ("b", "item_id")):
+        for number, mask in enumerate(spaced_seeds.MASKS):
+            used = ", ".join(f"w[i + {k}]" for k, flag in enumerate(mask) if flag == "1")
+            stretches.append(
+                f"SELECT '{table}' AS side, {key} AS id, {number} AS mask, {len(mask)} AS span, i, "
+                f"concat_ws(' ', {used}) AS seed FROM {table}, unnest(range(1, len(w) - {len(mask)} + 2)) AS r(i)"
+            )
+    return f"""
+WITH d AS (SELECT doc_id, {words} AS w FROM documents),
+b AS (SELECT item_id, {words} AS w FROM benchmark),
+stretches AS ({" UNION ALL ".join(stretches)}),
+hits AS (
+  SELECT DISTINCT p.id AS doc_id, q.id AS item_id, p.i AS place, q.i AS item_place, p.span
+  FROM stretches p JOIN stretches q ON p.side = 'd' AND q.side = 'b' AND p.mask = q.mask AND p.seed = q.seed),
+windows AS (
+  SELECT h.*, d.w AS dw, b.w AS bw, s, least({spaced_seeds.WINDOW}, len(b.w)) AS window_words
+  FROM hits h JOIN d USING (doc_id) JOIN b USING (item_id), unnest(range(1, len(b.w) + 1)) AS r(s)
+  WHERE len(b.w) >= {min(map(len, spaced_seeds.MASKS))}),
+counted AS (
+  SELECT doc_id, item_id, window_words, len(list_filter(range(0, window_words), lambda k:
+      place - item_place + s + k >= 1 AND bw[s + k] = dw[place - item_place + s + k])) AS n_agreed
+  FROM windows WHERE s + window_words - 1 <= len(bw) AND s <= item_place AND s + window_words >= item_place + span)
+SELECT doc_id, item_id, CAST(max(n_agreed) AS BIGINT) AS n_agreed, CAST(max(window_words) AS BIGINT) AS window_words
+FROM counted WHERE 100 * n_agreed >= {spaced_seeds.MIN_AGREED} * window_words GROUP BY doc_id, item_id"""
+
+
+STATEMENTS["op1_spaced_seeds"] = _spaced_seeds()

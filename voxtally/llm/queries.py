@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from voxtally.llm import circulant_minhash, line_rules, segment_bpe, token_counts, token_files, warc
+from voxtally.llm import circulant_minhash, line_rules, segment_bpe, spaced_seeds, token_counts, token_files, warc
 from voxtally.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +25,12 @@ def query(function):
     return function
 
 
+@query
+def op1_spaced_seeds(spark, sf_dir):
+    documents = read_table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return spaced_seeds.overlaps(documents, read_table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op4_token_files(spark, sf_dir):
     documents = read_table(spark, sf_dir, "documents")
