@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtally.llm import circulant_minhash, line_rules, segment_bpe, spaced_seeds, token_counts, token_files, warc, word_backoff
+from voxtally.llm import circulant_minhash, cotraining, line_rules, segment_bpe, spaced_seeds, token_counts, token_files, warc, word_backoff
 from voxtally.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,12 @@ def op2_word_backoff(spark, sf_dir):
     return word_backoff.identify(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_cotraining(spark, sf_dir):
+    documents = read_table(spark, sf_dir, "documents")
+    return cotraining.classify(documents, cotraining.fit(documents, read_table(spark, sf_dir, "labels")))
+
+
 @query
 def op4_token_files(spark, sf_dir):
     documents = read_table(spark, sf_dir, "documents")
