@@ -14,7 +14,8 @@ seven standard deviations below that are not looked at further.
 Documents with equal sets form a class, which goes through the search once. In each bucket members
 are compared with leaders instead of with each other; a bucket is closed when its members are in one
 component or every pair of different components has been compared. A hot bucket so costs one pass,
-and no link is lost: each round takes up to 128 new leaders of a bucket that is still open.
+and no link is lost: in a bucket that is still open all members are leaders, or 1024 new ones a round in a
+larger one.
 
 Rows: a null text or one without words has an empty set, is linked with nothing and kept. Repeated
 rows are in one class. A row with a null id takes part; it is kept only if its whole component has no id.
@@ -39,7 +40,7 @@ COORDINATES = 256
 BANDS, ROWS = 51, 5
 #: Coordinates whose lowest bits may differ.
 DIFFERENT = 69
-LEADERS = 128
+LEADERS = 1024
 SEED = 20240607
 NO_ID = -(1 << 63)
 CACHE_WORDS = 500_000
@@ -173,18 +174,12 @@ def exact_set(text: str | None) -> set:
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that are similar by their texts (node, text).
 
-    A leader may have very many partners: its rows are split by a salt that grows with their number,
-    and its text is repeated once a salt, not once a partner.
+    A leader may have very many partners. The last join attaches its text to them in the reading task, where
+    Spark splits a large partition and repeats the leader's one row; rows of a leader stand together.
     """
-    salts = (
-        pairs.groupBy("a").count().select("a", F.expr("explode(sequence(0L, count div 512))").alias("salt"), "count")
-    )
-    left = salts.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    counted = pairs.join(pairs.groupBy("a").count(), "a")
-    salted = counted.select("a", "b", F.expr("pmod(xxhash64(b), count div 512 + 1)").alias("salt"))
-    right = salted.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    both = right.join(left.drop("count"), ["a", "salt"]).select("a", "b", "text_a", "text_b")
-    return map_batches(both, _verified, "a long, b long")
+    right = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    both = right.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    return map_batches(both.select("a", "b", "text_a", "text_b"), _verified, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -246,29 +241,37 @@ def linked_classes(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
             if not found.isEmpty():
                 edges = found if edges is None else edges.unionAll(found)
                 labels = components(edges)
+        if rest is None:
+            return labels
         tagged = rest.withColumn("component", F.col("node"))
         if labels is not None:
             known = labels.withColumnRenamed("component", "known")
             tagged = rest.join(known, "node", "left").select(
                 "bucket", "node", F.coalesce("known", "node").alias("component")
             )
-        span = tagged.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("top"))
-        still_open = written(tagged.join(span.filter("low < top").select("bucket"), "bucket"))
-        if still_open.isEmpty():
+        span = tagged.groupBy("bucket").agg(
+            F.min("component").alias("low"), F.max("component").alias("top"), F.count("*").alias("n")
+        )
+        still_open = tagged.join(span.filter("low < top").select("bucket", "n"), "bucket")
+        described = written(still_open.join(traits, "node"))
+        largest = described.agg(F.max("n")).first()[0]
+        if largest is None:
             return labels
-        described = still_open.join(traits, "node")
-        salt = F.expr(f"pmod(xxhash64(node), {LEADERS})").alias("salt")
-        leaders = described.groupBy("bucket", salt).agg(
-            F.min_by(F.struct("node", "component", "n_shingles", "s0", "s1", "s2", "s3"), "node").alias("leader")
+        slot = F.expr(f"if(n <= {LEADERS}, node, pmod(xxhash64(node), {LEADERS}))").alias("slot")
+        leaders = described.groupBy("bucket", slot).agg(
+            F.min_by(F.struct("node", "component", *TRAITS), "node").alias("leader")
         )
-        leaders = written(leaders.select("bucket", "leader.*"))
+        leaders = leaders.select("bucket", "leader.*")
         near = described.withColumnsRenamed(RIGHT | {"component": "component_b"}).join(
             leaders.withColumnsRenamed(LEFT | {"component": "component_a"}), "bucket"
         )
-        pairs = near.filter("component_a <> component_b").filter(FITS).select("a", "b")
-        rest = still_open.join(
-            leaders.select("bucket", "node"), ["bucket", "node"], "left_anti"
-        ).select("bucket", "node")
+        fresh = f"component_a <> component_b and (n > {LEADERS} or a < b)"
+        pairs = near.filter(fresh).filter(FITS).select("a", "b")
+        if largest <= LEADERS:
+            rest = None
+        else:
+            wide = described.filter(f"n > {LEADERS}").select("bucket", "node")
+            rest = written(wide.join(leaders.select("bucket", "node"), ["bucket", "node"], "left_anti"))
 
 
 def class_texts(classes: DataFrame, docs: DataFrame) -> DataFrame:
