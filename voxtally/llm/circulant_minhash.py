@@ -5,11 +5,11 @@ ASCII white space; a shorter text is one shingle). Two documents are linked when
 Jaccard similarity is at least 0.75.
 
 Signature: shingle hashes are scattered over ``2**UNIVERSE_BITS`` slots by a first permutation. A
-second permutation, shifted circularly by k, gives coordinate k, so all 256 coordinates of a shingle
-are one contiguous slice of that permutation and a signature is the minimum over such slices.
-51 bands of 5 coordinates miss a pair at similarity 0.75 with probability 1e-6. The lowest bits of the
-coordinates are a sketch: at similarity 0.75 seven eighths of them agree on average, and pairs more than
-seven standard deviations below that are not looked at further.
+second permutation, shifted circularly by k, gives coordinate k, so the coordinates 0 to K - 1 of a shingle
+are one contiguous slice of that permutation and a signature is the minimum over such slices. 51 bands of 5
+coordinates miss a pair at similarity 0.75 with probability 1e-6. For documents that share a bucket 2048
+coordinates are made; their lowest bits are a sketch. At similarity 0.75 seven eighths of these agree on average,
+and pairs more than five standard deviations below that (3e-7) are not compared by text.
 
 Documents with equal sets form a class, which goes through the search once. In each bucket members
 are compared with leaders instead of with each other; a bucket is closed when its members are in one
@@ -36,16 +36,26 @@ from voxtally.llm.common import map_batches, written
 WORDS = 5
 SIMILARITY = 75
 UNIVERSE_BITS = 20
-COORDINATES = 256
 BANDS, ROWS = 51, 5
-#: Coordinates whose lowest bits may differ.
-DIFFERENT = 69
+SKETCH = 2048
+#: How many lowest bits may differ among the first 256, and among all.
+DIFFERENT = ((256, 64), (SKETCH, 331))
 LEADERS = 1024
 SEED = 20240607
 NO_ID = -(1 << 63)
 CACHE_WORDS = 500_000
 MIX_1, MIX_2, BASE = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
+#: What is known of a class without its text.
+BITS = tuple(f"s{k}" for k in range(SKETCH // 64))
+TRAITS = ("n_shingles", *BITS)
+LEFT, RIGHT = ({"node": side} | {name: f"{name}_{side}" for name in TRAITS} for side in "ab")
+#: What sizes and sketches allow.
+FITS = f"100 * least(n_shingles_a, n_shingles_b) >= {SIMILARITY} * greatest(n_shingles_a, n_shingles_b)" + "".join(
+    " and " + " + ".join(f"bit_count({x}_a ^ {x}_b)" for x in BITS[: size // 64]) + f" <= {most}"
+    for size, most in DIFFERENT
+)
+
 _word_hashes: dict[bytes, int] = {}
 _permutations: list[np.ndarray] = []
 
@@ -87,47 +97,46 @@ def permutations() -> list[np.ndarray]:
         rng, size = np.random.default_rng(SEED), 1 << UNIVERSE_BITS
         scatter = rng.permutation(size).astype(np.uint32)
         circular = rng.permutation(size).astype(np.uint32)
-        around = np.concatenate([circular, circular[: COORDINATES - 1]])
-        _permutations.extend([scatter, np.lib.stride_tricks.sliding_window_view(around, COORDINATES)])
+        around = np.concatenate([circular, circular[: SKETCH - 1]])
+        _permutations.extend([scatter, np.lib.stride_tricks.sliding_window_view(around, SKETCH)])
     return _permutations
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
+def signature(hashes: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
+    """The first coordinates of a set's signature."""
     scatter, shifts = permutations()
     places = scatter[(hashes & np.uint64((1 << UNIVERSE_BITS) - 1)).astype(np.int64)]
-    out = np.full(COORDINATES, np.iinfo(np.uint32).max, np.uint32)
-    for start in range(0, len(places), 2048):
-        np.minimum(out, shifts[places[start : start + 2048]].min(axis=0), out=out)
+    out, step = np.full(size, np.iinfo(np.uint32).max, np.uint32), max(1, (1 << 17) // size)
+    for start in range(0, len(places), step):
+        np.minimum(out, shifts[places[start : start + step], :size].min(axis=0), out=out)
     return out
 
 
 def band_hashes(signed: np.ndarray) -> np.ndarray:
     """A bucket number for each band; band b has the coordinates b, b + 51, b + 102, b + 153, b + 204."""
     out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for row in signed[: BANDS * ROWS].reshape(ROWS, BANDS).astype(np.uint64):
+    for row in signed.reshape(ROWS, BANDS).astype(np.uint64):
         out = mix(out * BASE + row)
     return out.view(np.int64)
 
 
 def sketch(signed: np.ndarray) -> np.ndarray:
-    """The lowest bits of the coordinates, in four numbers."""
+    """The lowest bits of the coordinates, 64 a number."""
     return np.packbits((signed & np.uint32(1)).astype(np.uint8)).view(np.int64)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, high, low, bands, bits = [], [], [], [], []
+        sizes, high, low, bands = [], [], [], []
         for text in batch.column(1).to_pylist():
             hashes = shingle_hashes(words_of(text))
             sizes.append(len(hashes))
             if not len(hashes):
-                high.append(None), low.append(None), bands.append(None), bits.append(None)
+                high.append(None), low.append(None), bands.append(None)
                 continue
             high.append(int(mix(hashes).sum().view(np.int64)))
             low.append(int(mix(hashes ^ BASE).sum().view(np.int64)))
-            signed = signature(hashes)
-            bands.append(band_hashes(signed))
-            bits.append(sketch(signed))
+            bands.append(band_hashes(signature(hashes)))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
@@ -136,19 +145,30 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(high, pa.int64()),
                 pa.array(low, pa.int64()),
                 pa.array(bands, pa.list_(pa.int64())),
-                pa.array(bits, pa.list_(pa.int64())),
             ],
-            ["doc_id", "print", "n_shingles", "high", "low", "bands", "sketch"],
+            ["doc_id", "print", "n_shingles", "high", "low", "bands"],
         )
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: id, hash of the text, set size, 128-bit digest of the set, buckets."""
-    schema = "doc_id long, print long, n_shingles long, high long, low long, bands array<long>, sketch array<long>"
+    schema = "doc_id long, print long, n_shingles long, high long, low long, bands array<long>"
     text = F.col("text").cast("string")
     return map_batches(docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text)), _sets, schema)
 
 
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add set sizes and sketches to texts."""
+    for batch in batches:
+        sizes, bits = [], np.empty((batch.num_rows, SKETCH // 64), np.int64)
+        for i, text in enumerate(batch.column(1).to_pylist()):
+            hashes = shingle_hashes(words_of(text))
+            sizes.append(len(hashes))
+            bits[i] = sketch(signature(hashes, SKETCH))
+        columns = [*batch.columns, pa.array(sizes, pa.int64()), *(pa.array(x, pa.int64()) for x in bits.T)]
+        yield pa.RecordBatch.from_arrays(columns, ["node", "text", *TRAITS])
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keep the pairs whose full sets are similar enough. Rows come in runs of one leader."""
     leader, left = None, None
@@ -209,23 +229,15 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-TRAITS = ("n_shingles", "s0", "s1", "s2", "s3")
-LEFT, RIGHT = ({"node": side} | {name: f"{name}_{side}" for name in TRAITS} for side in "ab")
-#: What sizes and sketches allow.
-FITS = (
-    f"100 * least(n_shingles_a, n_shingles_b) >= {SIMILARITY} * greatest(n_shingles_a, n_shingles_b) and "
-    + " + ".join(f"bit_count(s{k}_a ^ s{k}_b)" for k in range(4))
-    + f" <= {DIFFERENT}"
-)
-
-
 def linked_classes(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
     """(node, component) of the classes that have a link; None if no class has one."""
-    traits = classes.select("node", "n_shingles", *(F.col("sketch")[k].alias(f"s{k}") for k in range(4)))
     exploded = classes.select("node", F.explode("bands").alias("bucket"))
     shared = exploded.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last"))
     members = written(exploded.join(shared.filter("first < last").drop("last"), "bucket"))
-    texts = written(class_texts(classes.join(members.select("node").distinct(), "node", "left_semi"), docs))
+    texts = class_texts(classes.join(members.select("node").distinct(), "node", "left_semi"), docs)
+    kinds = "node long, text string, " + ", ".join(f"{name} long" for name in TRAITS)
+    texts = written(map_batches(texts, _described, kinds))
+    traits = texts.select("node", *TRAITS)
     rest = members.filter("node > first").select("bucket", "node")
     pairs = members.filter("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     pairs = pairs.join(traits.withColumnsRenamed(LEFT), "a").join(traits.withColumnsRenamed(RIGHT), "b").filter(FITS)
@@ -303,10 +315,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             F.min(F.struct(F.expr("doc_id is null"), F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "print")).alias("at"),
             F.first("n_shingles").alias("n_shingles"),
             F.first("bands").alias("bands"),
-            F.first("sketch").alias("sketch"),
         )
         .select(
-            F.monotonically_increasing_id().alias("node"), "high", "low", "at.key", "at.print", "n_shingles", "bands", "sketch"
+            F.monotonically_increasing_id().alias("node"), "high", "low", "at.key", "at.print", "n_shingles", "bands"
         )
     )
     labels = linked_classes(classes, docs)
