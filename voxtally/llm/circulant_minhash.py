@@ -302,10 +302,10 @@ def class_texts(classes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, class_id.
+    """Per row of ``docs`` (doc_id, text): doc_id, print, n_shingles, component_id, kept, class_id.
 
     component_id is the smallest doc_id reachable over links, the row's own included; kept marks the
-    rows whose id it is. class_id numbers the distinct sets (null for the empty one).
+    rows whose id it is. print hashes the text, class_id numbers the distinct sets (null for the empty one).
     """
     sets = written(shingle_sets(docs))
     classes = written(
@@ -332,6 +332,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         )
     return sets.join(named, ["high", "low"], "left").select(
         "doc_id",
+        "print",
         "n_shingles",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(F.col("node").isNull(), F.lit(True))
@@ -339,3 +340,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .alias("kept"),
         F.col("node").alias("class_id"),
     )
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The document with the smallest id of each component, all columns unchanged; rows without id stay."""
+    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__print": F.xxhash64(F.col("text").cast("string"))})
+    dropped = near_duplicates(docs).filter("not kept and doc_id is not null").select(
+        F.col("doc_id").alias("__id"), F.col("print").alias("__print")
+    )
+    return keyed.join(dropped, ["__id", "__print"], "left_anti").select(docs.columns)

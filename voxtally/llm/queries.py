@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtally.llm import circulant_minhash, cotraining, line_rules, segment_bpe, spaced_seeds, token_counts, token_files, warc, word_backoff
+from voxtally.llm import circulant_minhash, cotraining, licenses, line_rules, segment_bpe, spaced_seeds, token_counts, token_files, warc, word_backoff
 from voxtally.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,12 @@ def op5_line_rules(spark, sf_dir):
     return line_rules.apply_rules(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_licenses(spark, sf_dir):
+    documents = read_table(spark, sf_dir, "documents")
+    return licenses.scan(documents, licenses.fit(spark, documents))
+
+
 @query
 def op7_segment_bpe(spark, sf_dir):
     return segment_bpe.encode_documents(read_table(spark, sf_dir, "documents"), MULTI_RANKS, PATTERN)
