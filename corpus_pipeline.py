@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from voxtally.llm.common import read_table, written
-from voxtally.llm.stages import near_dedup
+from voxtally.llm.stages import decontaminate, encode, near_dedup, quality_classifier, quality_rules
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("quality_classifier", quality_classifier),
     ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("encode", encode),
 ]
 
 #: Trained stages and tokenizers are beyond SQL; tests/llm holds the stages against brute force.
