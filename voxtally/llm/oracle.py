@@ -100,3 +100,23 @@ FROM counted WHERE 100 * n_agreed >= {spaced_seeds.MIN_AGREED} * window_words GR
 
 
 STATEMENTS["op1_spaced_seeds"] = _spaced_seeds()
+
+STATEMENTS["op9_circulant_minhash"] = rf"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SPACE}+'),
+    lambda w: w <> '') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN w ELSE w[i : i + 4] END AS s
+  FROM docs, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS r(i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * c.n >= 75 * (x.n + y.n - c.n)),
+reach AS (
+  SELECT doc_id AS source, doc_id AS target FROM docs UNION SELECT source, b FROM reach JOIN links ON target = a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, min(target) AS component_id, d.doc_id = min(target) AS kept
+FROM docs d LEFT JOIN sizes USING (doc_id) JOIN reach ON source = d.doc_id GROUP BY d.doc_id, n"""
