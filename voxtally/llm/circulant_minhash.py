@@ -7,7 +7,7 @@ Jaccard similarity is at least 0.75.
 Signature: shingle hashes are scattered over ``2**UNIVERSE_BITS`` slots by a first permutation. A
 second permutation, shifted circularly by k, gives coordinate k, so the coordinates 0 to K - 1 of a shingle
 are one contiguous slice of that permutation and a signature is the minimum over such slices. 51 bands of 5
-coordinates miss a pair at similarity 0.75 with probability 1e-6. For documents that share a bucket 2048
+coordinates miss a pair at similarity 0.75 with probability 1e-6. For documents that share a bucket 1024
 coordinates are made; their lowest bits are a sketch. At similarity 0.75 seven eighths of these agree on average,
 and pairs more than five standard deviations below that (3e-7) are not compared by text.
 
@@ -15,7 +15,8 @@ Documents with equal sets form a class, which goes through the search once. In e
 are compared with leaders instead of with each other; a bucket is closed when its members are in one
 component or every pair of different components has been compared. A hot bucket so costs one pass,
 and no link is lost: in a bucket that is still open all members are leaders, or 1024 new ones a round in a
-larger one.
+larger one. Among the members of open buckets, shingles that only one document has are counted first: what two
+documents can share at most follows from that, and rules out most pairs without a look at their texts.
 
 Rows: a null text or one without words has an empty set, is linked with nothing and kept. Repeated
 rows are in one class. A row with a null id takes part; it is kept only if its whole component has no id.
@@ -37,9 +38,9 @@ WORDS = 5
 SIMILARITY = 75
 UNIVERSE_BITS = 20
 BANDS, ROWS = 51, 5
-SKETCH = 2048
-#: How many lowest bits may differ among the first 256, and among all.
-DIFFERENT = ((256, 64), (SKETCH, 331))
+SKETCH = 1024
+#: How many lowest bits may differ.
+DIFFERENT = 181
 LEADERS = 1024
 SEED = 20240607
 NO_ID = -(1 << 63)
@@ -48,13 +49,20 @@ MIX_1, MIX_2, BASE = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB13311
 
 #: What is known of a class without its text.
 BITS = tuple(f"s{k}" for k in range(SKETCH // 64))
-TRAITS = ("n_shingles", *BITS)
-LEFT, RIGHT = ({"node": side} | {name: f"{name}_{side}" for name in TRAITS} for side in "ab")
+TRAITS = ("n_shingles", "bands", *BITS)
+LEFT, RIGHT = ({"node": side} | {name: f"{name}_{side}" for name in (*TRAITS, "shared")} for side in "ab")
 #: What sizes and sketches allow.
-FITS = f"100 * least(n_shingles_a, n_shingles_b) >= {SIMILARITY} * greatest(n_shingles_a, n_shingles_b)" + "".join(
-    " and " + " + ".join(f"bit_count({x}_a ^ {x}_b)" for x in BITS[: size // 64]) + f" <= {most}"
-    for size, most in DIFFERENT
+FITS = (
+    f"100 * least(n_shingles_a, n_shingles_b) >= {SIMILARITY} * greatest(n_shingles_a, n_shingles_b) and "
+    + " + ".join(f"bit_count({x}_a ^ {x}_b)" for x in BITS)
+    + f" <= {DIFFERENT}"
 )
+#: What the shingles that others have too allow.
+SHARES = (
+    f"100 * least(shared_a, shared_b) >= {SIMILARITY} * (n_shingles_a + n_shingles_b - least(shared_a, shared_b))"
+)
+#: A pair is looked at in one of the buckets it shares. If a side was that bucket's leader, that is done.
+FIRST_SHARED = "bucket = array_min(array_intersect(bands_a, bands_b))"
 
 _word_hashes: dict[bytes, int] = {}
 _permutations: list[np.ndarray] = []
@@ -158,15 +166,27 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add set sizes and sketches to texts."""
+    """Add set sizes, buckets and sketches to texts."""
     for batch in batches:
-        sizes, bits = [], np.empty((batch.num_rows, SKETCH // 64), np.int64)
+        sizes, bands, bits = [], [], np.empty((batch.num_rows, SKETCH // 64), np.int64)
         for i, text in enumerate(batch.column(1).to_pylist()):
             hashes = shingle_hashes(words_of(text))
             sizes.append(len(hashes))
-            bits[i] = sketch(signature(hashes, SKETCH))
-        columns = [*batch.columns, pa.array(sizes, pa.int64()), *(pa.array(x, pa.int64()) for x in bits.T)]
-        yield pa.RecordBatch.from_arrays(columns, ["node", "text", *TRAITS])
+            signed = signature(hashes, SKETCH)
+            bands.append(band_hashes(signed[: BANDS * ROWS]))
+            bits[i] = sketch(signed)
+        columns = [pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+        columns += [pa.array(x, pa.int64()) for x in bits.T]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], ["node", "text", *TRAITS])
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of a text."""
+    for batch in batches:
+        found = [shingle_hashes(words_of(text)).view(np.int64) for text in batch.column(1).to_pylist()]
+        nodes = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(x) for x in found])
+        shingles = np.concatenate(found) if found else np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(shingles)], ["node", "shingle"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,18 +249,30 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def with_shared(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Add ``shared``: how many of a node's shingles other nodes of ``members`` have too."""
+    own = texts.join(members.select("node").distinct(), "node", "left_semi").select("node", "text")
+    rows = map_batches(own, _shingle_rows, "node long, shingle long")
+    single = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("n")).filter("n = 1")
+    alone = single.groupBy("node").agg(F.count("*").alias("alone"))
+    return members.join(alone, "node", "left").withColumn(
+        "shared", F.col("n_shingles") - F.coalesce("alone", F.lit(0))
+    ).drop("alone")
+
+
 def linked_classes(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
     """(node, component) of the classes that have a link; None if no class has one."""
     exploded = classes.select("node", F.explode("bands").alias("bucket"))
     shared = exploded.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last"))
     members = written(exploded.join(shared.filter("first < last").drop("last"), "bucket"))
     texts = class_texts(classes.join(members.select("node").distinct(), "node", "left_semi"), docs)
-    kinds = "node long, text string, " + ", ".join(f"{name} long" for name in TRAITS)
+    kinds = "node long, text string, n_shingles long, bands array<long>, " + ", ".join(f"{x} long" for x in BITS)
     texts = written(map_batches(texts, _described, kinds))
     traits = texts.select("node", *TRAITS)
     rest = members.filter("node > first").select("bucket", "node")
     pairs = members.filter("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = pairs.join(traits.withColumnsRenamed(LEFT), "a").join(traits.withColumnsRenamed(RIGHT), "b").filter(FITS)
+    slim = traits.drop("bands")
+    pairs = pairs.join(slim.withColumnsRenamed(LEFT), "a").join(slim.withColumnsRenamed(RIGHT), "b").filter(FITS)
     checked = edges = labels = None
     while True:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -265,20 +297,20 @@ def linked_classes(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
             F.min("component").alias("low"), F.max("component").alias("top"), F.count("*").alias("n")
         )
         still_open = tagged.join(span.filter("low < top").select("bucket", "n"), "bucket")
-        described = written(still_open.join(traits, "node"))
+        described = written(with_shared(still_open.join(traits, "node"), texts))
         largest = described.agg(F.max("n")).first()[0]
         if largest is None:
             return labels
         slot = F.expr(f"if(n <= {LEADERS}, node, pmod(xxhash64(node), {LEADERS}))").alias("slot")
         leaders = described.groupBy("bucket", slot).agg(
-            F.min_by(F.struct("node", "component", *TRAITS), "node").alias("leader")
+            F.min_by(F.struct("node", "component", "shared", *TRAITS), "node").alias("leader")
         )
         leaders = leaders.select("bucket", "leader.*")
         near = described.withColumnsRenamed(RIGHT | {"component": "component_b"}).join(
             leaders.withColumnsRenamed(LEFT | {"component": "component_a"}), "bucket"
         )
         fresh = f"component_a <> component_b and (n > {LEADERS} or a < b)"
-        pairs = near.filter(fresh).filter(FITS).select("a", "b")
+        pairs = near.filter(f"{fresh} and {SHARES} and {FITS} and {FIRST_SHARED}").select("a", "b")
         if largest <= LEADERS:
             rest = None
         else:
