@@ -109,6 +109,31 @@ def test_vocabulary_and_encoding(texts):
     assert rare.count() == 0
 
 
+@pytest.mark.parametrize("broadcast_rows", [1000, 0])
+def test_whole_vocabulary_and_equal_keys(spark, broadcast_rows):
+    rows = [(1, "b a a", "x"), (1, "c", "y"), (2, None, "x"), (None, "a " * 9, None)]
+    frame = spark.createDataFrame(rows, "id int, text string, label string")
+    vocab = words.vocabulary(frame)
+    assert {r.token: r.token_id for r in vocab.collect()} == {"a": 4, "b": 5, "c": 6}
+    coded = words.encode_fixed_length(frame, vocab, "id", max_length=6, label="label", broadcast_rows=broadcast_rows).collect()
+    assert sorted(((r.id, r.label, r.input_ids) for r in coded), key=str) == sorted(
+        [(1, "x", [2, 5, 4, 4, 3, 0]), (1, "y", [2, 6, 3, 0, 0, 0]), (2, "x", [2, 3, 0, 0, 0, 0]), (None, None, [2, 4, 4, 4, 4, 3])],
+        key=str,
+    )
+
+
+def test_runs_without_an_accuracy_do_not_win(spark):
+    wide = spark.createDataFrame(
+        [("m", "80/20", None, 3.0, 5.0, 5.0), ("m", "70/30", 2.0, None, 5.0, 1.0), ("n", "80/20", None, None, None, None)],
+        "model string, split_ratio string, Pre double, `Tuning 1` double, `Tuning 2` double, `Tuning 3` double",
+    )
+    long = runs.runs_long(wide)
+    best = {r.model: (r.accuracy, r.split_ratio, r.stage) for r in runs.best_run(long).collect()}
+    assert best == {"m": (5.0, "70/30", "Tuning 2"), "n": (None, None, None)}
+    gain = {r.model: (r.split_ratio, r.gain) for r in runs.gain_over_baseline(long).collect()}
+    assert gain == {"m": ("70/30", 3.0), "n": (None, None)}
+
+
 PUBLISHED = {
     "Random Forest": [(61.38, 62.38, 62.17), (70.90, 70.49, 70.30), (74.78, 74.19, 74.40), (74.05, 74.95, 75.47)],
     "SVM": [(54.76, 54.81, 54.79), (51.39, 51.58, 51.83), (63.48, 64.78, 66.46), (71.00, 71.96, 72.51)],

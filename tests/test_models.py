@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
@@ -75,6 +77,18 @@ def test_kernel_error_falls_with_the_dimension(spark):
     assert errors[0] > errors[1] > errors[2] and errors[2] < 0.02
 
 
+def test_forest_does_not_depend_on_layout(rings):
+    fits = [forest.train_forest(df, trees=8, depth=4).predictions for df in (rings.coalesce(1), rings.repartition(7))]
+    first, second = ([(r.row_id, r.prediction) for r in p.orderBy("row_id").collect()] for p in fits)
+    assert first == second
+
+
+def test_forest_with_many_classes(spark):
+    rows = spark.range(900).selectExpr("id AS row_id", "CAST(id % 150 AS STRING) AS x", "CAST(id % 150 AS STRING) AS Score")
+    run = forest.train_forest(rows, trees=3, depth=8)
+    assert run.predictions.count() == 150 + 30 and run.labels.count() == 150
+
+
 def test_kernel_svm_separates_rings_and_is_saved(spark, rings, tmp_path):
     data = kernel_svm.prepare(rings.drop("empty"), "Score")
     run = kernel_svm.fit(data, C=100.0, gamma=1.0, dimension=128, iterations=30)
@@ -86,6 +100,15 @@ def test_kernel_svm_separates_rings_and_is_saved(spark, rings, tmp_path):
     assert loaded.exceptAll(run.model.transform(test).select("row_id", "prediction")).count() == 0
     table = kernel_svm.grid_search(data, {"C": [100.0], "gamma": [1e-6, 1.0]}, dimension=64, iterations=10).collect()
     assert len(table) == 2 and table[1].accuracy > table[0].accuracy
+    assert [r.chosen for r in table] == [False, True] and table[0].test_accuracy is None and table[1].test_accuracy > 0.9
+
+
+def test_parameters_are_chosen_without_the_test_side(rings):
+    data = kernel_svm.prepare(rings.drop("empty"), "Score")
+    spoiled = data.rows.withColumn("label_index", F.when(F.col("split") == "test", 1 - F.col("label_index")).otherwise(F.col("label_index")))
+    grid = {"C": [100.0], "gamma": [1e-6, 1.0]}
+    tables = [kernel_svm.grid_search(d, grid, dimension=64, iterations=10).collect() for d in (data, replace(data, rows=spoiled))]
+    assert [[r[:4] for r in t] for t in tables][0] == [[r[:4] for r in t] for t in tables][1]
 
 
 def test_three_classes(spark, rings):

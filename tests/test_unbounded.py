@@ -12,7 +12,7 @@ def nothing_is_small(monkeypatch, spark):
     monkeypatch.setattr(session, "bounded_table", lambda df, *bounds: None)
     monkeypatch.setattr(splits, "bounded_table", lambda df, *bounds: None)
     monkeypatch.setattr(classes, "bounded_table", lambda df, *bounds: None)
-    monkeypatch.setattr(words, "bounded_broadcast", lambda df: df)
+    monkeypatch.setattr(words, "bounded_table", lambda df, *bounds: None)
     monkeypatch.setattr(classes, "bounded_broadcast", lambda df: df)
 
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,10 +13,11 @@ from voxtally.operators.ranking import global_row_number
 from voxtally.session import bounded_broadcast
 
 KEY = "comment_id"
-PAGE_SIZE = 30
+PAGE_SIZE = 30  # fixed value
 # Up to this many rows, texts included, a top-k may hold; deeper pages are found by number.
 HEAP_ROWS = 3_000
 
+# The periods on offer.
 PERIODS = {"All time": None, "Last 7 days": 7, "Last 30 days": 30, "Last 90 days": 90}
 
 
@@ -25,7 +25,7 @@ def search(df: DataFrame, query: str, text: str = "text", literal: bool = False)
     r"""Rows whose text matches the query in any case; NULL texts never do.
 
     The query is a regular expression, with classes like ``\w`` over all scripts, unless
-    ``literal``. A broken expression fails here, not
+    ``literal``. Spark itself tries it on one row first, so that a broken expression fails here, not
     in the middle of a job.
     """
     if not query:
@@ -33,7 +33,7 @@ def search(df: DataFrame, query: str, text: str = "text", literal: bool = False)
     if literal:
         found = F.lower(text).contains(F.lower(F.lit(query)))
     else:
-        re.compile(query)
+        df.sparkSession.range(1).select(F.lit("").rlike(f"(?iU){query}")).collect()
         found = F.col(text).rlike(f"(?iU){query}")
     return df.filter(F.coalesce(found, F.lit(False)))
 
@@ -47,12 +47,17 @@ def filter_recent(
 ) -> DataFrame:
     """Rows of the last days, counted back from the instant ``as_of`` (default now).
 
+    Stored times are in UTC, and so is an ``as_of`` without offset; one with an offset is converted.
+
     The cutoff is a literal, so on a stored column the filter reaches the file scan.
     """
     days = PERIODS[period] if isinstance(period, str) else period
     if days is None:
         return df
-    cutoff = (as_of or datetime.now()) - timedelta(days=days)
+    until = as_of or datetime.now(UTC)
+    if until.tzinfo is not None:
+        until = until.astimezone(UTC).replace(tzinfo=None)
+    cutoff = until - timedelta(days=days)
     return df.filter(F.col(ts) >= F.lit(cutoff.isoformat(sep=" ")).cast("timestamp_ntz"))
 
 

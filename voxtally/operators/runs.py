@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# The stages' names.
 STAGES = ("Pre", "Tuning 1", "Tuning 2", "Tuning 3")
 START_ACCURACY = 0.0
 
@@ -25,12 +26,20 @@ def runs_long(wide: DataFrame, stages: tuple[str, ...] = STAGES, ids: tuple[str,
 
 
 def best_run(runs: DataFrame) -> DataFrame:
-    """Per model the best accuracy with its split and stage; of equals the first split and stage."""
+    """Per model the best accuracy with its split and stage; of equals the first split and stage.
+
+    Runs without an accuracy are passed over; a model that has no other gets NULLs.
+    """
     found = F.struct("accuracy", "split_ratio", "stage_no", "stage")
-    best = F.min_by(found, F.struct(-F.col("accuracy"), "split_ratio", "stage_no"))
+    best = F.min_by(found, _best_first())
     return runs.groupBy("model").agg(best.alias("best")).select("model", "best.*")
 
 
+def _best_first():
+    """Order of runs, NULL for those without an accuracy."""
+    return F.when(F.col("accuracy").isNotNull(), F.struct(-F.col("accuracy"), "split_ratio", "stage_no"))
+
+
 def _by_stage():
     return Window.partitionBy("model", "split_ratio").orderBy("stage_no")
 
@@ -45,7 +54,7 @@ def gain_over_baseline(runs: DataFrame) -> DataFrame:
     """Per model the best run's gain over the first stage of the same split."""
     rows = with_baseline(runs)
     found = F.struct("split_ratio", "stage", "accuracy", "baseline", "gain")
-    best = F.min_by(found, F.struct(-F.col("accuracy"), "split_ratio", "stage_no"))
+    best = F.min_by(found, _best_first())
     return rows.groupBy("model").agg(best.alias("best")).select("model", "best.*")
 
 

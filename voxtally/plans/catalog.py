@@ -30,8 +30,6 @@ from voxtally.sinks import results
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 AS_OF = datetime(2024, 6, 15, 12, 30)
-VOCABULARY_SIZE = 2000
-MAX_LENGTH = 128
 
 
 def query(function):
@@ -309,17 +307,16 @@ def word_freq(spark, sf_dir):
 
 @query
 def vocabulary(spark, sf_dir):
-    return words.vocabulary(views.comments(spark, sf_dir), size=VOCABULARY_SIZE)
+    return words.vocabulary(views.comments(spark, sf_dir))
 
 
 @query
 def encode_fixed_length(spark, sf_dir):
-    rows = views.comments(spark, sf_dir).select("comment_id", "text")
-    encoded = words.encode_fixed_length(
-        rows, words.vocabulary(rows, size=VOCABULARY_SIZE), "comment_id", max_length=MAX_LENGTH
-    )
+    rows = views.comments(spark, sf_dir).select("comment_id", "label", "text")
+    encoded = words.encode_fixed_length(rows, words.vocabulary(rows), "comment_id", label="label")
     return encoded.select(
         "comment_id",
+        "label",
         F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"),
         F.array_join(F.col("attention_mask").cast("array<string>"), " ").alias("attention_mask"),
     )
@@ -564,6 +561,66 @@ def best_epoch(spark, sf_dir):
     return rounded(runs.best_epoch(views.history(spark, sf_dir)))
 
 
+# ---- schema ----------------------------------------------------------------------------------
+
+
+@query
+def trimmed_headers(spark, sf_dir):
+    customers = views.table(spark, sf_dir, "customer")
+    padded = customers.select(F.col("c_custkey").alias("  c_custkey"), F.col("c_acctbal").alias("\tc_acctbal  "))
+    return columns.trim_headers(padded)
+
+
+@query
+def target_column(spark, sf_dir):
+    """A score under a padded name in mixed case, found and renamed."""
+    events = views.table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("Score kind"), "event_id", F.col("value").alias(" sCORE ")
+    )
+    trimmed = columns.trim_headers(events)
+    return columns.rename_target(trimmed, columns.find_target_exact(trimmed)).drop("Score kind")
+
+
+@query
+def target_and_features(spark, sf_dir):
+    """The first column that contains the word is the target; what is left are the features."""
+    events = views.table(spark, sf_dir, "events").select("event_id", F.col("value").alias("Final_Score"), "user_id")
+    features_side, _ = columns.split_target(events, columns.find_target_contains(events))
+    return features_side
+
+
+@query
+def title_labels(spark, sf_dir):
+    padded = F.concat(F.lit("  "), F.upper("event_type"), F.lit("\t"))
+    return views.table(spark, sf_dir, "events").select("event_id", text.trim_title(padded).alias("label"))
+
+
+@query
+def trainable_counts(spark, sf_dir):
+    rows, found = cleaning.require_trainable(cleaning.text_training_rows(views.text_training(spark, sf_dir)), "label")
+    return spark.createDataFrame([(rows, found)], "n_rows long, n_classes long")
+
+
+# ---- models: test sides, which SQL can tell ---------------------------------------------------
+
+
+@query
+def forest_test_side(spark, sf_dir):
+    return _forest(spark, sf_dir).predictions.select("vec_id", "label")
+
+
+@query
+def kernel_svm_test_side(spark, sf_dir):
+    data = kernel_svm.prepare(views.features(spark, sf_dir), "label", "vec_id")
+    return data.rows.filter("split = 'test'").select("vec_id", F.col("target").alias("label"))
+
+
+@query
+def text_classifier_test_side(spark, sf_dir):
+    run = text_classifier.train_text_classifier(views.text_training(spark, sf_dir))
+    return run.predict().select("id", "label")
+
+
 # ---- models: results without an SQL counterpart ----------------------------------------------
 
 
@@ -588,16 +645,13 @@ def forest_report(spark, sf_dir):
 
 @query
 def kernel_svm_predictions(spark, sf_dir):
-    run = kernel_svm.train_kernel_svm(
-        views.features(spark, sf_dir), "label", "vec_id", dimension=256, iterations=20, parallelism=8
-    )
-    return run.predictions
+    return kernel_svm.train_kernel_svm(views.features(spark, sf_dir), "label", "vec_id").predictions
 
 
 @query
 def grid_search(spark, sf_dir):
     data = kernel_svm.prepare(views.features(spark, sf_dir), "label", "vec_id")
-    return kernel_svm.grid_search(data, dimension=256, iterations=10, parallelism=8)
+    return kernel_svm.grid_search(data, {"C": [10.0, 100.0], "gamma": [0.001]})
 
 
 @query

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voxtally.operators.classes import decode_labels, encode_labels, label_index
 from voxtally.operators.columns import to_vector
 from voxtally.operators.splits import stratified_split
-from voxtally.plans.training import KEY, TARGET, TrainingRun, prepare_forest_table
+from voxtally.plans.training import FIT_PARTS, KEY, TARGET, TrainingRun, laid_out, prepare_forest_table
 
 # The forest's parameters. A leaf of three rows implies the minimum of five (six)
 # rows for a split.
@@ -39,13 +39,21 @@ def train_forest(
     trees: int = TREES,
     depth: int = DEPTH,
     seed: int = SEED,
+    parts: int = FIT_PARTS,
 ) -> TrainingRun:
-    """Clean, split by class where possible, fit, predict the test side."""
+    """Clean, split by class where possible, fit, predict the test side.
+
+    The training rows are laid out by key in ``parts`` partitions, so that equal rows give an equal forest.
+    """
     table = prepare_forest_table(df, target, key)
     index = label_index(table.rows, TARGET)
     coded = to_vector(encode_labels(table.rows, TARGET, index)).drop("values")
     split = stratified_split(coded, key, TARGET, test_fraction, seed)
-    train = split.filter("split = 'train'").select("features", "label_index")
+    # The number of classes is stated, as Spark infers a hundred at most.
+    classes = {"ml_attr": {"type": "nominal", "name": "label_index", "num_vals": max(2, index.count())}}
+    train = laid_out(split.filter("split = 'train'"), key, parts).select(
+        "features", F.col("label_index").cast("double").alias("label_index", metadata=classes)
+    )
     model = Pipeline(stages=[forest(len(table.names), trees, depth, seed)]).fit(train)
     scored = model.transform(split.filter("split = 'test'")).withColumnRenamed("prediction", "prediction_index")
     decoded = decode_labels(scored, "prediction_index", index, "prediction")

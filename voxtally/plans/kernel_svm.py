@@ -8,8 +8,7 @@ machine on them is a kernel machine on the original features; the error falls wi
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import product
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -33,6 +32,7 @@ from voxtally.plans.training import KEY, TARGET, TrainingRun, prepare_svm_table
 # The machine's parameters.
 GRID = {"C": [100.0], "gamma": [0.001]}
 TEST_FRACTION, SEED = 0.4, 42
+VALIDATION_FRACTION = 0.25
 DIMENSION = 1024
 
 
@@ -125,16 +125,35 @@ def fit(
     seed: int = SEED,
     parallelism: int = 4,
 ) -> TrainingRun:
-    """Fit with class weights; balanced weights sum up to the rows, which turns C into Spark's
-    regularisation ``1 / (C * rows)``."""
+    """Fit with class weights and predict the test side."""
+    return _fit_all(data, [C], gamma, dimension, iterations, seed, parallelism)[0]
+
+
+def _fit_all(
+    data: SvmData,
+    values: list[float],
+    gamma: float,
+    dimension: int = DIMENSION,
+    iterations: int = 50,
+    seed: int = SEED,
+    parallelism: int = 4,
+) -> list[TrainingRun]:
+    """A run for each value of C; the rows are scaled and mapped once for all of them.
+
+    Balanced weights sum up to the rows, which turns C into Spark's regularisation ``1 / (C * rows)``.
+    """
     scaling = data.scaler.stage()
     mapping = FourierFeatures(inputCol="scaled", gamma=gamma, dimension=dimension, seed=seed)
     train = with_class_weights(data.rows.filter("split = 'train'"), "label_index")
     mapped = mapping.transform(scaling.transform(train)).select("label_index", "weight", "features")
     mapped = mapped.persist(StorageLevel.MEMORY_AND_DISK)
-    machine = _machine(data.labels.count(), 1.0 / (C * mapped.count()), iterations, parallelism)
-    model = PipelineModel(stages=[scaling, mapping, machine.fit(mapped)])
+    size, classes = mapped.count(), data.labels.count()
+    models = [_machine(classes, 1.0 / (C * size), iterations, parallelism).fit(mapped) for C in values]
     mapped.unpersist()
+    return [_run(data, PipelineModel(stages=[scaling, mapping, model])) for model in models]
+
+
+def _run(data: SvmData, model: PipelineModel) -> TrainingRun:
     scored = model.transform(data.rows.filter("split = 'test'")).withColumnRenamed("prediction", "prediction_index")
     decoded = decode_labels(scored, "prediction_index", data.labels, "prediction")
     predictions = decoded.select(data.key, F.col(TARGET).alias("label"), "prediction")
@@ -145,11 +164,28 @@ def train_kernel_svm(df: DataFrame, target: str, key: str = KEY, **parameters) -
     return fit(prepare(df, target, key), **parameters)
 
 
-def grid_search(data: SvmData, grid: dict[str, list[float]] | None = None, **parameters) -> DataFrame:
-    """``C, gamma, accuracy`` on the test side for every combination of the grid."""
+def grid_search(
+    data: SvmData,
+    grid: dict[str, list[float]] | None = None,
+    validation_fraction: float = VALIDATION_FRACTION,
+    **parameters,
+) -> DataFrame:
+    """``C, gamma, accuracy, chosen, test_accuracy`` for every combination of the grid.
+
+    ``accuracy`` is measured on a part of the training side that the fits do not see. The best combination (the
+    first of equals) is fitted on the whole training side and only then meets the test side.
+    """
     grid = grid or GRID
-    rows = []
-    for C, gamma in product(grid["C"], grid["gamma"]):
-        run = fit(data, C=C, gamma=gamma, **parameters)
-        rows.append((float(C), float(gamma), metrics.accuracy(run.predictions).first()["accuracy"]))
-    return data.rows.sparkSession.createDataFrame(rows, "C double, gamma double, accuracy double")
+    train = data.rows.filter("split = 'train'").drop("split")
+    inner = stratified_split(train, data.key, TARGET, validation_fraction, SEED + 1, stratify=True)
+    scaler = Standardizer.fit(inner.filter("split = 'train'"))
+    choosing, rows = replace(data, rows=inner, scaler=scaler), []
+    for gamma in grid["gamma"]:
+        for C, run in zip(grid["C"], _fit_all(choosing, grid["C"], gamma, **parameters), strict=True):
+            rows.append((float(C), float(gamma), metrics.accuracy(run.predictions).first()["accuracy"]))
+    best = max(range(len(rows)), key=lambda i: (rows[i][2] or 0.0, -i))
+    final = fit(data, rows[best][0], rows[best][1], **parameters)
+    tested = metrics.accuracy(final.predictions).first()["accuracy"]
+    table = [(*row, i == best, tested if i == best else None) for i, row in enumerate(rows)]
+    schema = "C double, gamma double, accuracy double, chosen boolean, test_accuracy double"
+    return data.rows.sparkSession.createDataFrame(table, schema)

@@ -19,14 +19,18 @@ from voxtally.operators.columns import (
     quoted,
     truth_columns,
 )
-from voxtally.session import spread_scan, written
+from voxtally.session import written
 
 KEY = "row_id"
 TARGET = "target"
+FIT_PARTS = 32
 
 
 def with_key(df: DataFrame, key: str = KEY) -> DataFrame:
-    """The table with a unique key: its own, or each row's place in the files."""
+    """The table with a unique key: its own, or each row's place in the files.
+
+    A place depends on the files' layout. Give a key where splits have to stay the same on other clusters.
+    """
     return df if key in df.columns else df.withColumn(key, F.monotonically_increasing_id())
 
 
@@ -57,19 +61,23 @@ class FeatureTable:
     names: list[str]
 
 
-def _complete_rows(
-    df: DataFrame, names: list[str], target: str, key: str, truths: list[str], spread: bool
-) -> DataFrame:
+def laid_out(rows: DataFrame, key: str, parts: int = FIT_PARTS) -> DataFrame:
+    """The rows dealt to ``parts`` partitions by key, sorted in each.
+
+    Bagging draws by partition and place, so a fit is repeatable only on a layout that depends neither on the
+    number of cores nor on how files were written or read back. Raise ``parts`` with the size of the table; it
+    is part of what the model depends on, like the seed.
+    """
+    return rows.repartition(parts, quoted(key)).sortWithinPartitions(quoted(key))
+
+
+def _complete_rows(df: DataFrame, names: list[str], target: str, key: str, truths: list[str]) -> DataFrame:
     """Packed rows without gaps. They are parsed once and written: splitting, scaling and
     fitting read them many times, and their plans need not carry the parsing of every column.
-
-    ``spread`` deals few splits out to all cores, for fits bound by the processor.
     """
     packed = pack_features(df, names, truths=truths)
     slim = packed.select(quoted(key).alias(key), quoted(target).alias(TARGET), "values")
     rows = written(slim)
-    if spread:
-        rows = spread_scan(rows)
     return _typed_target(complete_features(rows).dropna("any", subset=[TARGET]))
 
 
@@ -95,7 +103,7 @@ def prepare_forest_table(df: DataFrame, target: str, key: str = KEY) -> FeatureT
     keyed = with_key(df, key)
     profile = column_profile(keyed, feature_columns(keyed, target, key))
     names = [name for name, (values, _) in profile.items() if values > 0]
-    rows = _complete_rows(keyed, names, target, key, truth_columns(profile), spread=True)
+    rows = _complete_rows(keyed, names, target, key, truth_columns(profile))
     require_trainable(rows, TARGET, min_classes=1)
     return FeatureTable(rows, names)
 
@@ -108,6 +116,6 @@ def prepare_svm_table(df: DataFrame, target: str, key: str = KEY) -> FeatureTabl
     keyed = with_key(df, key)
     names = feature_columns(keyed, target, key)
     truths = truth_columns(column_profile(keyed, names))
-    rows = _complete_rows(keyed, names, target, key, truths, spread=False)
+    rows = _complete_rows(keyed, names, target, key, truths)
     require_trainable(rows, TARGET)
     return FeatureTable(rows, names)

@@ -10,7 +10,6 @@ from voxtally.functions.scoring import score_texts, sentiment_of
 from voxtally.operators.columns import spread_array
 from voxtally.operators.runs import STAGES
 from voxtally.operators.splits import SPLIT_RATIOS, ratio_column, split_ratios
-from voxtally.session import spread_scan
 
 EMBEDDING_WIDTH = 64
 
@@ -32,8 +31,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, text`` of all documents, on all cores."""
-    return spread_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """``doc_id, text`` of all documents."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:

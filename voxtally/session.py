@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-PARTS_PER_SPLIT = 16
 
 
 def local_session(app: str = "voxtally", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -47,7 +46,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="voxtally-checkpoint-")
     context.setCheckpointDir(configured)
-    return context.getCheckpointDir()
+    folder = context.getCheckpointDir()
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -55,7 +57,7 @@ def written(df: DataFrame) -> DataFrame:
 
     For rows that several passes read: what made them runs once, later passes read only the
     columns they need, and lost executors cost nothing but their tasks. The folder belongs to
-    the application and goes with it.
+    the application; it is deleted when the driver's JVM ends in good order.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
@@ -63,16 +65,6 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread_scan(df: DataFrame) -> DataFrame:
-    """A file scan with fewer splits than cores, dealt out to all of them.
-
-    Text work is bound by the processor, and a file of one row group would keep it on one core.
-    A scan with enough splits, as any large table has, stays as it is, without a shuffle.
-    """
-    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
-    return df if splits >= cores else df.repartition(min(cores, PARTS_PER_SPLIT * max(splits, 1)))
-
-
 def bounded_table(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> pa.Table | None:
     """The rows of a table that should be small, None if it is not.
 
