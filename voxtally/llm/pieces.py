@@ -10,10 +10,11 @@ from __future__ import annotations
 import base64
 import re
 
+import public_tokenizers
 import regex
 
 #: Cuts that a worker remembers; then it starts anew.
-MEMORY = 400_000
+MEMORY = 800_000
 MARK = "\x00"
 
 _not_before_word = re.compile(r" (?:\s|$)")
@@ -30,10 +31,32 @@ def cuts(text: str) -> list[str]:
     return parts if parts[0] else parts[1:]
 
 
+class Memory(dict):
+    """Remembers what a function gave for a cut."""
+
+    def __init__(self, function):
+        super().__init__()
+        self.function = function
+
+    def __missing__(self, part: str):
+        value = self[part] = self.function(part)
+        return value
+
+
 def splitter(pattern: str):
-    """The pattern's matches in a string, with Unicode's white space."""
-    return regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(
-        r"\S", r"\P{White_Space}")).findall
+    """The pattern's matches in a string, with Unicode's white space.
+
+    For the public pattern, letters with or without a space before them are one match.
+    """
+    spaces = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}")
+    find = regex.compile(spaces.replace(r"\S", r"\P{White_Space}")).findall
+    if pattern != public_tokenizers.PATTERN:
+        return find
+
+    def split(part: str) -> list[str]:
+        return [part] if part.isalpha() or part[:1] == " " and part[1:].isalpha() else find(part)
+
+    return split
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -15,6 +15,7 @@ Rows: a null text is an empty one and has the end id only. Repeated rows are all
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -48,7 +49,7 @@ class TextEncoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.model = Tokenizer.from_file(path).model
-        self.split, self.memory = pieces.splitter(pattern), {}
+        self.split, self.memory, self.matches = pieces.splitter(pattern), pieces.Memory(self.ids), {}
         plain = ByteLevel(add_prefix_space=False, use_regex=False)
         # the library's character for each byte, read off valid two-byte and one-byte strings
         self.shown = {}
@@ -61,21 +62,22 @@ class TextEncoder:
                     self.shown[byte] = char
 
     def ids(self, part: str) -> bytes:
+        """The ids of a cut, from those of the pattern's matches in it, which many cuts share."""
         found = []
         for match in self.split(part):
-            shown = match.encode().decode("latin-1").translate(self.shown)
-            found.extend(token.id for token in self.model.tokenize(shown))
-        return np.array(found, "<u4").tobytes()
+            known = self.matches.get(match)
+            if known is None:
+                shown = match.encode().decode("latin-1").translate(self.shown)
+                ids = [token.id for token in self.model.tokenize(shown)]
+                known = self.matches[match] = struct.pack(f"<{len(ids)}I", *ids)
+            found.append(known)
+        return found[0] if len(found) == 1 else b"".join(found)
 
     def encode(self, text: str | None) -> bytes:
         memory = self.memory
         if len(memory) > pieces.MEMORY:
-            memory.clear()
-        parts = pieces.cuts(text or "")
-        for part in parts:
-            if part not in memory:
-                memory[part] = self.ids(part)
-        return b"".join(map(memory.__getitem__, parts))
+            memory.clear(), self.matches.clear()
+        return b"".join(map(memory.__getitem__, pieces.cuts(text or "")))
 
 
 def text_encoder(path: str, pattern: str) -> TextEncoder:
