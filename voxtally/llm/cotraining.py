@@ -34,16 +34,17 @@ from voxtally.session import bounded_broadcast
 
 LABELLED = 12_000
 POOL = 12_000
-ROUNDS = 3
+ROUNDS = 2
 SURE = 0.95
 #: Pseudo-labels of a class that a view hands over in a round.
-HANDED = 500
+HANDED = 1000
 LEAST = 10
 THRESHOLD = 0.5
 TRIGRAMS = 40
 META_FEATURES = 512
-#: The samples are small tables; their fits run in this many tasks.
-FIT_PARTS = 4
+#: The samples are small tables; their fits run in this many tasks and steps.
+FIT_PARTS = 3
+FIT_STEPS = 12
 REGULARIZATION = 0.001
 #: Log odds of a view are held within this bound.
 MOST_ODDS = 8.0
@@ -110,6 +111,7 @@ def meta_columns(df: DataFrame) -> list[Column]:
     ]
 
 
+COLUMNS = ("doc_id", "text", "source", "lang", "n_chars")
 META = ["m_source", "m_lang", "m_size", "m_both"]
 
 
@@ -138,7 +140,7 @@ def _odds(df: DataFrame, model: LogisticRegressionModel, view: str, name: str) -
 
 
 def _fit(rows: DataFrame, view: str) -> LogisticRegressionModel:
-    return LogisticRegression(featuresCol=view, labelCol="label", regParam=REGULARIZATION, maxIter=25).fit(rows)
+    return LogisticRegression(featuresCol=view, labelCol="label", regParam=REGULARIZATION, maxIter=FIT_STEPS).fit(rows)
 
 
 def _sample(column: str, share: float) -> Column:
@@ -163,7 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(prior)
     n_docs = docs.count()
     chosen = bounded_broadcast(known.filter(_sample("doc_id", LABELLED / n_known)))
-    keyed = docs.filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
+    read = [name for name in COLUMNS if name in docs.columns]
+    keyed = docs.select(*read).filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
     columns = ["doc_id", F.col("text").cast("string").alias("text"), *meta_columns(keyed)]
     labelled = keyed.join(chosen, "doc_id").select(*columns, "label")
     pooled = keyed.filter(_sample("doc_id", POOL / n_docs)).select(*columns).join(known.select("doc_id"), "doc_id", "left_anti")
@@ -187,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     fits = []
     for model, view in ((content, "view"), (meta, "meta")):
         one = _odds(kept_aside, model, view, "odds").select("label", array_to_vector(F.array("odds")).alias("one"))
-        platt = LogisticRegression(featuresCol="one", labelCol="label", regParam=REGULARIZATION).fit(one)
+        platt = LogisticRegression(featuresCol="one", labelCol="label", maxIter=FIT_STEPS).fit(one)
         fits.append((float(platt.coefficients[0]), float(platt.intercept)))
     rows.unpersist()
     return Model(prior, content, meta, *fits)
@@ -205,12 +208,14 @@ def _sure(scored: DataFrame, rounds: int) -> DataFrame:
 
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """Add content_score, meta_score and score (the probability of good quality) to all rows of ``docs``."""
+    """All rows of ``docs`` in ``_row``, with content_score, meta_score and score (the probability of good quality)."""
     share = 1 / (1 + math.exp(-model.prior))
     if model.content is None:
-        return docs.withColumns({name: F.lit(share) for name in ("content_score", "meta_score", "score")})
+        row = F.struct(*docs.columns).alias("_row")
+        return docs.select(row, *(F.lit(share).alias(name) for name in ("content_score", "meta_score", "score")))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), *meta_columns(docs), content_column(text, docs).alias("content"))
+    row = F.struct(*docs.columns).alias("_row")
+    rows = docs.select(row, *meta_columns(docs), content_column(text, docs).alias("content"))
     rows = _odds(_odds(_views(rows), model.content, "view", "content_odds"), model.meta, "meta", "meta_odds")
     odds = {
         name: F.col(f"{name}_odds") * slope + offset
@@ -218,7 +223,7 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
     }
     chance = lambda x: 1 / (1 + F.exp(-x))
     return rows.select(
-        "row.*",
+        "_row",
         chance(odds["content"]).alias("content_score"),
         chance(odds["meta"]).alias("meta_score"),
         chance(odds["content"] + odds["meta"] - model.prior).alias("score"),
@@ -227,10 +232,10 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
     """Per row of ``docs``: doc_id, content_score, meta_score, score, kept."""
-    columns = [c for c in ("doc_id", "text", "source", "lang", "n_chars") if c in docs.columns]
+    columns = [name for name in COLUMNS if name in docs.columns]
     kept = F.lit(True) if model.content is None else F.col("score") >= THRESHOLD
     return with_scores(docs.select(*columns), model).select(
-        F.col("doc_id").cast("long").alias("doc_id"), "content_score", "meta_score", "score", kept.alias("kept")
+        F.col("_row.doc_id").cast("long").alias("doc_id"), "content_score", "meta_score", "score", kept.alias("kept")
     )
 
 
@@ -238,4 +243,4 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that the model keeps, all columns unchanged."""
     if model.content is None:
         return docs
-    return with_scores(docs, model).filter(F.col("score") >= THRESHOLD).select(docs.columns)
+    return with_scores(docs, model).filter(F.col("score") >= THRESHOLD).select("_row.*")
