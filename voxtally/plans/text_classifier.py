@@ -16,7 +16,7 @@ from pyspark.storagelevel import StorageLevel
 
 from voxtally.functions.columns import as_column
 from voxtally.functions.labels import label_name
-from voxtally.functions.text import WORD
+from voxtally.functions.text import WORD, clean_text
 from voxtally.operators.classes import with_class_weights
 from voxtally.operators.cleaning import require_trainable, text_training_rows
 from voxtally.operators.splits import three_way_split
@@ -82,9 +82,14 @@ def train_text_classifier(
 
 
 def classify(df: DataFrame, model: PipelineModel, name: str = "model_sentiment") -> DataFrame:
-    """Add the sentiment a fitted classifier gives; what it adds on the way is dropped."""
-    scored = model.transform(df)
-    return scored.select(*df.columns, label_name(F.col("prediction").cast("int")).alias(name))
+    """Add the sentiment a fitted classifier gives; what it adds on the way is dropped.
+
+    The classifier learned from cleaned texts, so it is asked about cleaned ones; the text itself stays.
+    """
+    text = model.stages[0].getInputCol()
+    scored = model.transform(df.withColumn("_raw", F.col(text)).withColumn(text, clean_text(text)))
+    kept = [F.col("_raw").alias(text) if column == text else F.col(column) for column in df.columns]
+    return scored.select(*kept, label_name(F.col("prediction").cast("int")).alias(name))
 
 
 def model_sentiment(text: Column | str, load: Callable[[], Callable[[list[str]], np.ndarray]], strict: bool = False) -> Column:

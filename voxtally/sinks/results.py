@@ -28,8 +28,10 @@ def write_test_results(
     best_validation_accuracy: float | None = None,
     config: dict[str, Any] | None = None,
 ) -> None:
-    """Metrics and confusion counts as one JSON row under ``metrics``, the predictions themselves
-    as a Parquet table under ``predictions``."""
+    """The predictions as a Parquet table under ``predictions``, metrics and confusion counts as one JSON
+    row under ``metrics``. The figures are taken from the stored predictions, so all three agree."""
+    predictions.write.mode("overwrite").parquet(f"{path}/predictions")
+    predictions = predictions.sparkSession.read.schema(predictions.schema).parquet(f"{path}/predictions")
     cells = confusion_matrix(predictions, label, prediction).agg(
         F.array_sort(F.collect_list(F.struct("label", "prediction", "n"))).alias("confusion_matrix")
     )
@@ -42,7 +44,6 @@ def write_test_results(
         }
     )
     row.coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
-    predictions.write.mode("overwrite").parquet(f"{path}/predictions")
 
 
 def write_prediction_samples(
