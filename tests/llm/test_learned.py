@@ -110,3 +110,8 @@ def test_scan_documents(scanner, documents):
     got = {r.doc_id: (r.license, r.n_confirmed) for r in licenses.scan(documents(rows), scanner).collect()}
     assert got == {1: ("MIT", 1), None: (None, 0), 2: (None, 0), 3: ("Proprietary", 2)} or got[3][0] == "Proprietary"
     assert licenses.scan(documents([]), scanner).count() == 0
+
+
+def test_labels_without_documents_teach_nothing(spark, documents):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    assert cotraining.fit(documents([], extra=False), labels).content is None

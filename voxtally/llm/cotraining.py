@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     keyed = docs.select(*read).filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
     columns = ["doc_id", F.col("text").cast("string").alias("text"), *meta_columns(keyed)]
     labelled = keyed.join(chosen, "doc_id").select(*columns, "label")
-    pooled = keyed.filter(_sample("doc_id", POOL / n_docs)).select(*columns).join(known.select("doc_id"), "doc_id", "left_anti")
+    pooled = keyed.filter(_sample("doc_id", POOL / max(n_docs, 1))).select(*columns).join(known.select("doc_id"), "doc_id", "left_anti")
     both = labelled.unionByName(pooled.withColumn("label", F.lit(None).cast("double")))
     rows = written(both.select("doc_id", "label", *META, content_column(F.col("text"), both).alias("content")).coalesce(FIT_PARTS))
     rows = _views(rows.coalesce(FIT_PARTS)).select("doc_id", "label", "view", "meta").persist()
