@@ -9,7 +9,7 @@ second permutation, shifted circularly by k, gives coordinate k, so the coordina
 are one contiguous slice of that permutation and a signature is the minimum over such slices. 51 bands of 5
 coordinates miss a pair at similarity 0.75 with probability 1e-6. For documents that share a bucket 1024
 coordinates are made; their lowest bits are a sketch. At similarity 0.75 seven eighths of these agree on average,
-and pairs more than five standard deviations below that (3e-7) are not compared by text.
+and pairs more than four and a half standard deviations below that (3e-6) are not compared by text.
 
 Documents with equal sets form a class, which goes through the search once. In each bucket members
 are compared with leaders instead of with each other; a bucket is closed when its members are in one
@@ -40,7 +40,7 @@ UNIVERSE_BITS = 20
 BANDS, ROWS = 51, 5
 SKETCH = 1024
 #: How many lowest bits may differ.
-DIFFERENT = 181
+DIFFERENT = 176
 LEADERS = 1024
 SEED = 20240607
 NO_ID = -(1 << 63)
