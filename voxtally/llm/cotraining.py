@@ -42,8 +42,8 @@ LEAST = 10
 THRESHOLD = 0.5
 TRIGRAMS = 40
 META_FEATURES = 512
-#: The samples are small tables; their fits run in this many tasks and steps.
-FIT_PARTS = 3
+#: The samples are bounded, so each step of a fit is one task over figures that were written in parallel.
+FIT_PARTS = 1
 FIT_STEPS = 12
 REGULARIZATION = 0.001
 #: Log odds of a view are held within this bound.
@@ -140,7 +140,7 @@ def _odds(df: DataFrame, model: LogisticRegressionModel, view: str, name: str) -
 
 
 def _fit(rows: DataFrame, view: str) -> LogisticRegressionModel:
-    return LogisticRegression(featuresCol=view, labelCol="label", regParam=REGULARIZATION, maxIter=FIT_STEPS).fit(rows)
+    return LogisticRegression(featuresCol=view, labelCol="label", regParam=REGULARIZATION, maxIter=FIT_STEPS).fit(rows.coalesce(FIT_PARTS))
 
 
 def _sample(column: str, share: float) -> Column:
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     labelled = keyed.join(chosen, "doc_id").select(*columns, "label")
     pooled = keyed.filter(_sample("doc_id", POOL / max(n_docs, 1))).select(*columns).join(known.select("doc_id"), "doc_id", "left_anti")
     both = labelled.unionByName(pooled.withColumn("label", F.lit(None).cast("double")))
-    rows = written(both.select("doc_id", "label", *META, content_column(F.col("text"), both).alias("content")).coalesce(FIT_PARTS))
+    rows = written(both.select("doc_id", "label", *META, content_column(F.col("text"), both).alias("content")))
     rows = _views(rows.coalesce(FIT_PARTS)).select("doc_id", "label", "view", "meta").persist()
     aside = F.expr("pmod(xxhash64(doc_id, 5), 4) = 0")
     train, kept_aside = rows.filter(F.col("label").isNotNull() & ~aside), rows.filter(F.col("label").isNotNull() & aside)
