@@ -49,8 +49,10 @@ REGULARIZATION = 0.001
 #: Log odds of a view are held within this bound.
 MOST_ODDS = 8.0
 
-_classes = str.maketrans({**{chr(c): "0" for c in range(48, 58)}, "\n": "n", "\t": " "})
 _upper, _lower, _same = re.compile(r"[A-ZÀ-ÖØ-Þ]"), re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]"), re.compile(r"([Aa0])\1+")
+#: Classes of the characters up to U+024F, taken from the patterns; later letters are left to the pattern.
+_classes = {c: _lower.sub("a", _upper.sub("A", chr(c))) for c in range(0x250)}
+_classes |= {c: "0" for c in range(48, 58)} | {10: "a", 9: " "}
 
 
 def content_features(text: str | None) -> list[float]:
@@ -73,14 +75,15 @@ def content_features(text: str | None) -> list[float]:
         sum(map(text.count, ".!?")) / n,
         text.count("!") / n,
         text.count(",") / n,
-        sum(map(str.isdigit, text)) / n,
+        sum(map(text.count, "0123456789")) / n,
         (len(lines) - len(set(lines))) / max(1, len(lines)),
         sum(len(w) > 20 for w in words) / n,
         sum(line.rstrip()[-1] in ".!?" for line in lines) / max(1, len(lines)),
     ]
-    shape = _same.sub(r"\1", _lower.sub("a", _upper.sub("A", text.translate(_classes))))
+    shape = text.translate(_classes)
+    shape = _same.sub(r"\1", shape if shape.isascii() else _lower.sub("a", shape))
     buckets, total = [0.0] * TRIGRAMS, max(1, len(shape) - 2)
-    for gram, count in Counter(map("".join, zip(shape, shape[1:], shape[2:], strict=False))).items():
+    for gram, count in Counter(zip(shape, shape[1:], shape[2:], strict=False)).items():
         code = 0
         for char in gram:
             code = (code * 8191 + ord(char)) % 1_000_003
