@@ -1,4 +1,5 @@
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -105,6 +106,28 @@ def test_licenses(scanner, text, families):
     assert licenses.scan_text(scanner, text)[0] == families
 
 
+LONG_NOTICES = [
+    (family, text) for family, texts in licenses.TEMPLATES.items() for text in texts if len(text) > 72
+]
+
+
+@pytest.mark.parametrize("prefix", ["", "# ", " * "])
+@pytest.mark.parametrize(("family", "notice"), LONG_NOTICES)
+def test_wrapped_notices(scanner, family, notice, prefix):
+    lines = [prefix + line for line in textwrap.wrap(notice, 72)]
+    text = "\n".join(["w1 w2 w3 w4.", prefix.rstrip(), *lines, prefix.rstrip(), "w5 w6."])
+    found = licenses.scan_text(scanner, text)
+    assert found[0] == [family] and found[3] >= 1 and found[4] == 0
+
+
+def test_wrapped_notices_among_other_lines(scanner):
+    mit, bsd = licenses.TEMPLATES["MIT"][2], licenses.TEMPLATES["BSD"][2]
+    prose = "\n".join("w1 w2 w3 w4 w5 w6 w7 w8." for _ in range(20))
+    text = "\n".join([prose, *textwrap.wrap(mit, 72), *textwrap.wrap(bsd, 72), prose])
+    assert licenses.scan_text(scanner, text)[0] == ["BSD", "MIT"]
+    assert licenses.scan_text(scanner, text.replace("\n", "\r\n"))[0] == ["BSD", "MIT"]
+
+
 def test_scan_documents(scanner, documents):
     rows = [(1, "Released under the MIT License."), (None, None), (2, ""), (3, "w1 " * 50_000 + "All rights reserved.")]
     got = {r.doc_id: (r.license, r.n_confirmed) for r in licenses.scan(documents(rows), scanner).collect()}

@@ -1,11 +1,16 @@
 """Licence scans: a trained paragraph classifier, confirmed against templates.
 
-A paragraph is a line; a line of more than 120 words is read in windows of 120 words, a half apart. A sparse
-logistic regression over its words and word pairs gives the probability of each licence family and of the
+Lines are looked at one by one, for short notices, and paragraphs as a whole, for notices wrapped over several
+lines. A paragraph is a run of lines with words between lines without any (a bare comment sign is none), joined.
+What has more than 120 words is read in windows of 120 words, a half apart. A sparse logistic regression over its words and word pairs gives the probability of each licence family and of the
 class ``unknown``. It is trained on variants of the families' templates (parts of them, among other words)
-against a bounded sample of paragraphs of the corpus and templates with their words shuffled. The probability
+against a bounded sample of lines and paragraphs of the corpus and templates with their words shuffled. The probability
 a family must reach is calibrated on negatives kept aside, so that one in a thousand of those passes. A
-prediction is confirmed when the paragraph holds most word pairs of one of the family's templates.
+prediction is confirmed when the window holds most word pairs of one of the family's templates. The words of a
+confirmed family are then taken out of a paragraph's window and the rest is looked at again, so notices that
+follow each other without an empty line are all found. A family that one of a paragraph's lines confirms is not
+counted again for the paragraph, and a line whose family the paragraph confirms is not an unconfirmed one.
+Windows of paragraphs that hold too few word pairs of each template to be confirmed are not predicted.
 
 Rows: a null or empty text has no paragraph. Repeated rows get equal results. Texts are read whole.
 """
@@ -29,7 +34,7 @@ from voxtally.llm.common import map_batches
 from voxtally.llm.license_templates import TEMPLATES
 
 UNKNOWN = "unknown"
-#: Documents, about, and paragraphs at most that negatives are drawn from.
+#: Documents, about, and lines and paragraphs at most that negatives are drawn from.
 SAMPLE_DOCS = 1500
 NEGATIVES = 4000
 COMMON_WORDS = 2000
@@ -47,16 +52,26 @@ def words_of(text: str) -> list[str]:
     return _word.findall(text.lower())
 
 
-def paragraphs(text: str | None) -> Iterator[list[str]]:
-    """The words of each paragraph."""
+def windows(words: list[str]) -> Iterator[list[str]]:
+    if len(words) <= PARAGRAPH_WORDS:
+        if words:
+            yield words
+        return
+    for start in range(0, len(words) - PARAGRAPH_WORDS // 2, PARAGRAPH_WORDS // 2):
+        yield words[start : start + PARAGRAPH_WORDS]
+
+
+def paragraphs(text: str | None) -> Iterator[list[list[str]]]:
+    """The words of each line, by paragraph."""
+    run = []
     for line in (text or "").split("\n"):
-        words = words_of(line)
-        if len(words) <= PARAGRAPH_WORDS:
-            if words:
-                yield words
-            continue
-        for start in range(0, len(words) - PARAGRAPH_WORDS // 2, PARAGRAPH_WORDS // 2):
-            yield words[start : start + PARAGRAPH_WORDS]
+        if words := words_of(line):
+            run.append(words)
+        elif run:
+            yield run
+            run = []
+    if run:
+        yield run
 
 
 def pairs_of(words: list[str]) -> set[tuple[str, str]]:
@@ -66,6 +81,27 @@ def pairs_of(words: list[str]) -> set[tuple[str, str]]:
 _template_pairs = {
     family: [pairs_of(words_of(text)) for text in texts] for family, texts in TEMPLATES.items()
 }
+_holders: dict[tuple[str, str], list[int]] = {}
+_enough: list[float] = []
+for _pairs in (pairs for listed in _template_pairs.values() for pairs in listed):
+    for _pair in _pairs:
+        _holders.setdefault(_pair, []).append(len(_enough))
+    _enough.append(CONFIRMED * len(_pairs))
+
+
+def may_agree(words: list[str]) -> bool:
+    """Whether the words hold most word pairs of any template."""
+    held = Counter(k for pair in _holders.keys() & pairs_of(words) for k in _holders[pair])
+    return any(n >= _enough[k] for k, n in held.items())
+
+
+def without_family(words: list[str], family: str) -> list[str]:
+    """The words with gaps where they are pairs of the family's templates."""
+    known, out = set().union(*_template_pairs[family]), list(words)
+    for i, pair in enumerate(zip(words, words[1:], strict=False)):
+        if pair in known:
+            out[i] = out[i + 1] = ""
+    return out
 
 
 def agreement(words: list[str], family: str) -> float:
@@ -107,12 +143,14 @@ def _variant(rng: random.Random, words: list[str], filler: list[str]) -> list[st
 
 
 def _negative_rows(docs: DataFrame) -> list[list[str]]:
-    """A bounded sample of the corpus's paragraphs that are like no template."""
+    """A bounded sample of the corpus's lines and paragraphs that are like no template."""
     n = docs.count()
     share = F.expr("pmod(xxhash64(doc_id, 23), 1000003)") < int(1000003 * min(1.0, SAMPLE_DOCS / max(n, 1)))
-    lines = docs.filter(share).select(F.explode(F.split(F.col("text").cast("string"), "\n")).alias("line"))
+    text = F.col("text").cast("string")
+    units = F.array_union(F.split(text, "\n"), F.split(text, r"\n\s*\n"))
+    lines = docs.filter(share).select(F.explode(units).alias("line"))
     chosen = lines.filter("trim(line) <> ''").orderBy(F.xxhash64("line"), "line").limit(NEGATIVES).collect()
-    rows = [words for row in chosen for words in paragraphs(row.line)]
+    rows = [words for row in chosen for words in windows(words_of(row.line))]
     return [w for w in rows if all(agreement(w, family) < CONFIRMED / 2 for family in TEMPLATES)]
 
 
@@ -159,25 +197,41 @@ COLUMNS = (
 
 
 def scan_text(model: Model, text: str | None) -> tuple:
-    """The confirmed families, the surest one and its probability, and counts of paragraphs."""
+    """The confirmed families, the surest one and its probability, and counts of lines and paragraphs."""
     confirmed: Counter = Counter()
     best, unconfirmed, total = {}, 0, 0
-    for words in paragraphs(text):
-        total += 1
-        family, chance = model.predict(words)
-        if family == UNKNOWN:
-            continue
-        if agreement(words, family) >= CONFIRMED:
-            confirmed[family] += 1
-            best[family] = max(chance, best.get(family, 0.0))
-        else:
-            unconfirmed += 1
+    for lines in paragraphs(text):
+        here, open_ = set(), []
+        for words in (w for line in lines for w in windows(line)):
+            total += 1
+            family, chance = model.predict(words)
+            if family == UNKNOWN:
+                continue
+            if agreement(words, family) >= CONFIRMED:
+                here.add(family)
+                confirmed[family] += 1
+                best[family] = max(chance, best.get(family, 0.0))
+            else:
+                open_.append(family)
+        whole = set()
+        for words in windows([w for line in lines for w in line]) if len(lines) > 1 else ():
+            total += 1
+            while may_agree(words):
+                family, chance = model.predict(words)
+                if family == UNKNOWN or agreement(words, family) < CONFIRMED:
+                    break
+                if family not in here | whole:
+                    confirmed[family] += 1
+                    best[family] = max(chance, best.get(family, 0.0))
+                whole.add(family)
+                words = without_family(words, family)
+        unconfirmed += sum(family not in whole for family in open_)
     surest = min(best, key=lambda f: (-best[f], f)) if best else None
     return sorted(confirmed), surest, best.get(surest), sum(confirmed.values()), unconfirmed, total
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, licenses, license, probability, counts of paragraphs.
+    """Per row of ``docs`` (doc_id, text): doc_id, licenses, license, probability, counts of lines and paragraphs.
 
     ``license`` is the family found with the highest probability, null if none was confirmed.
     """
