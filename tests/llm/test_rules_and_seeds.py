@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 from collections import Counter
@@ -92,6 +93,48 @@ def test_overlaps_by_brute_force(spark, documents, monkeypatch, broadcast):
     assert got == brute(docs, items) and got
 
 
+@pytest.mark.parametrize("n", range(5, 17))
+def test_masks_hit_every_placing(n):
+    masks = spaced_seeds.LONG_MASKS if n >= spaced_seeds.LONG else spaced_seeds.MASKS
+    for k in range(n * (100 - spaced_seeds.MIN_AGREED) // 100 + 1):
+        for gone in itertools.combinations(range(n), k):
+            assert any(
+                all(flag == "0" or p + j not in gone for j, flag in enumerate(mask))
+                for mask in masks
+                for p in range(n - len(mask) + 1)
+            ), (n, gone)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_all_windows_without_seeds(spark, documents, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(spaced_seeds, "BROADCAST_SEEDS", 0)
+    rng = random.Random(8)
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in (1, 2, 3, 4, 5, 6, 7, 8, 10, 15, 16, 20)]
+    docs = []
+    for n, text in items:
+        for k in range(n // 5 + 2):
+            for _ in range(8):
+                words = text.split()
+                for gone in rng.sample(range(n), min(k, n)):
+                    words[gone] = "other"
+                docs.append((len(docs), "before " + " ".join(words) + " after"))
+    docs.append((len(docs), "before i16x0 i16x1 i16x2 i16x3 i16x4 i16x5 i16x6 a i16x8 b i16x10 c i16x12 i16x13 i16x14 i16x15"))
+    want = {}
+    for doc_id, text in docs:
+        doc = words_of(text)
+        for item_id, item in ((i, words_of(t)) for i, t in items):
+            width = min(spaced_seeds.WINDOW, len(item))
+            for s in range(len(item) - width + 1):
+                for at in range(1 - width, len(doc)):
+                    n = sum(0 <= at + k < len(doc) and doc[at + k] == item[s + k] for k in range(width))
+                    if 100 * n >= spaced_seeds.MIN_AGREED * width:
+                        want[doc_id, item_id] = max(want.get((doc_id, item_id), 0), n)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_agreed for r in spaced_seeds.overlaps(documents(docs, extra=False), benchmark).collect()}
+    assert got == want and {i for _, i in got} == {i for i, _ in items}
+
+
 def test_without_overlaps(spark, documents):
     item = "one two three four five six seven eight nine ten"
     docs = documents([(1, "x " + item), (2, "clean text"), (2, item), (None, item), (None, "clean too"), (3, None)])

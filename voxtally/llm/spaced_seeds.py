@@ -10,8 +10,12 @@ The search is one pass of native columns over the documents, without a shuffle,
 benchmark are few enough to be broadcast (their number is counted first). More seeds are joined by a shuffle
 of the masked hashes, and the documents with hits are compared afterwards; the result is the same.
 
-Rows: a null or empty text has no words and no overlap. Items of fewer than eight words have no seed and are not
-searched for, as such phrases also occur in clean text. Repeated rows of documents or items give one row for
+The masks are short enough that no overlap of this kind is without a hit: in a window of 5 to 16 words with up to
+20 % substituted words, wherever they stand, a mask finds a stretch. The first two do so from 7 words on; the
+others are used only if the benchmark has items of 5 or 6 words. Items of up to three words are shorter than any
+mask and are searched for exactly, as a whole, so a one-word item overlaps with each document that has the word.
+
+Rows: a null or empty text has no words and no overlap. Repeated rows of documents or items give one row for
 their ids.
 """
 
@@ -22,7 +26,11 @@ from pyspark.sql import functions as F
 
 from voxtally.llm.common import written
 
-MASKS = ("11101011", "110110011")
+MASKS = ("1111", "11101", "11011", "10111")
+#: The masks that suffice for windows from so many words on.
+LONG_MASKS, LONG = MASKS[:2], 7
+#: Whole items of fewer words than a mask.
+WHOLE = ("1", "11", "111")
 WINDOW = 16
 MIN_AGREED = 80
 BROADCAST_SEEDS = 500_000
@@ -34,22 +42,25 @@ def word_hashes(text: str) -> Column:
     return F.transform(words, lambda word: F.xxhash64(word))
 
 
-def seeds(words: str) -> Column:
-    """Structs of a mask's number, a place and the hash of the masked stretch there, for all masks and places."""
+def seeds(words: str, masks: tuple[str, ...] = MASKS) -> Column:
+    """The hashes of the masked stretches of words at all places, mask by mask."""
     of_mask = []
-    for number, mask in enumerate(MASKS):
+    for mask in masks:
         used = ", ".join(f"get({words}, i + {k})" for k, flag in enumerate(mask) if flag == "1")
         places = f"if(size({words}) < {len(mask)}, array(), sequence(0, size({words}) - {len(mask)}))"
-        of_mask.append(f"transform({places}, i -> xxhash64({number}, {used}))")
+        of_mask.append(f"transform({places}, i -> xxhash64({int(mask, 2)}, {used}))")
     return F.expr(f"concat({', '.join(of_mask)})")
 
 
-def place_of(position: str, words: str) -> tuple[Column, Column]:
-    """Place and span of the seed at a position of ``seeds``."""
-    first, second = (len(mask) for mask in MASKS)
-    before = f"greatest(size({words}) - {first} + 1, 0)"
-    place = F.expr(f"if({position} < {before}, {position}, {position} - {before})")
-    return place, F.expr(f"if({position} < {before}, {first}, {second})")
+def place_of(position: str, size: str, masks: tuple[str, ...] = MASKS) -> tuple[Column, Column]:
+    """Place and span of the seed at a position of ``seeds``, for a text of ``size`` words."""
+    place, span, before = [], [], "0"
+    for mask in masks:
+        until = f"{before} + greatest({size} - {len(mask)} + 1, 0)"
+        place.append(f"when {position} < {until} then {position} - ({before})")
+        span.append(f"when {position} < {until} then {len(mask)}")
+        before = until
+    return F.expr(f"case {' '.join(place)} end"), F.expr(f"case {' '.join(span)} end")
 
 
 def agreed() -> Column:
@@ -67,14 +78,30 @@ def agreed() -> Column:
     )
 
 
-def benchmark_seeds(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items (item_id, item_words), and their distinct seeds (seed, item_id, item_place, span)."""
-    items = benchmark.select(F.col("item_id").cast("long"), word_hashes("text").alias("item_words")).filter(
-        F.size("item_words") >= min(map(len, MASKS))
-    )
-    place, span = place_of("position", "item_words")
-    listed = items.select("item_id", "item_words", F.posexplode(seeds("item_words")).alias("position", "seed"))
-    return items, listed.select("seed", "item_id", place.alias("item_place"), span.alias("span"), "item_words").distinct()
+def masks_for(items: DataFrame) -> tuple[tuple[str, ...], int]:
+    """The masks that items of these sizes need, and a bound of the number of their seeds."""
+    n = F.size("item_words")
+    least = min(map(len, MASKS))
+    counted = items.agg(
+        F.coalesce(F.sum(n), F.lit(0)), *(F.coalesce(F.max(n == k), F.lit(False)) for k in range(1, LONG))
+    ).first()
+    masks = MASKS if any(counted[k] for k in range(least + 1, LONG)) else LONG_MASKS
+    return masks + tuple(mask for mask in WHOLE if counted[len(mask)]), counted[0] * len(masks)
+
+
+def benchmark_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
+    """The distinct seeds (seed, item_id, item_words, item_place, span) of items (item_id, item_words)."""
+    least = min(map(len, MASKS))
+    parts = []
+    for group in (tuple(m for m in masks if m not in WHOLE), *((m,) for m in masks if m in WHOLE)):
+        fits = F.size("item_words") >= least if group[0] not in WHOLE else F.size("item_words") == len(group[0])
+        place, span = place_of("position", "size(item_words)", group)
+        listed = items.filter(fits).select("item_id", "item_words", F.posexplode(seeds("item_words", group)).alias("position", "seed"))
+        parts.append(listed.select("seed", "item_id", place.alias("item_place"), span.alias("span"), "item_words"))
+    probes = parts[0]
+    for part in parts[1:]:
+        probes = probes.unionAll(part)
+    return probes.distinct()
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -82,16 +109,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] = ("do
 
     ``n_agreed`` is the largest number of words that agree in a window, ``window_words`` its length.
     """
-    items, probes = benchmark_seeds(benchmark)
-    size = items.agg(F.coalesce(F.sum(F.size("item_words")), F.lit(0))).first()[0] * len(MASKS)
+    items = benchmark.select(F.col("item_id").cast("long"), word_hashes("text").alias("item_words"))
+    masks, size = masks_for(items)
+    probes = benchmark_seeds(items, masks)
     rows = docs.select(*keys, word_hashes("text").alias("doc_words"))
-    place, _ = place_of("position", "doc_words")
+    place, _ = place_of("position", "size(doc_words)", masks)
     if size <= BROADCAST_SEEDS:
-        listed = rows.select(*keys, "doc_words", F.posexplode(seeds("doc_words")).alias("position", "seed"))
+        listed = rows.select(*keys, "doc_words", F.posexplode(seeds("doc_words", masks)).alias("position", "seed"))
         hits = listed.join(F.broadcast(probes), "seed")
     else:
         kept = written(rows.withColumn("row", F.monotonically_increasing_id()))
-        listed = kept.select("row", F.size("doc_words").alias("n"), F.posexplode(seeds("doc_words")).alias("position", "seed"))
+        listed = kept.select("row", F.posexplode(seeds("doc_words", masks)).alias("position", "seed"))
         found = listed.select("row", "position", "seed").join(probes, "seed").drop("seed")
         hits = found.join(kept, "row")
     compared = hits.select(
