@@ -36,6 +36,33 @@ def test_line_rules(line, rule):
     assert line_rules.failed_rule(line, len(line.split())) == rule
 
 
+CLEAN = {
+    "hi": "भारत की राजधानी नई दिल्ली में आज सुबह से हल्की बारिश हो रही है और सड़कों पर पानी भर गया है। "
+    "लोगों को अपने काम पर पहुँचने में काफी देर लगी।",
+    "bn": "আজ সকালে শহরের সব রাস্তায় অনেক মানুষ বের হয়েছিল কারণ নতুন বছরের প্রথম দিন ছিল এবং সবাই আনন্দে গান গাইছিল।",
+    "ar": "هل تعرف أن المدينة القديمة تقع على ضفة النهر، وأن الناس كانوا يأتون إليها من كل مكان لشراء الكتب والقماش والتوابل؟",
+    "ur": "آج صبح شہر میں بارش ہوئی اور بہت سے لوگ اپنے گھروں سے باہر نہیں نکلے کیونکہ سڑکوں پر پانی جمع ہو گیا تھا۔",
+    "th": "วันนี้ อากาศ ดี มาก ผู้คน ออก ไป เดิน เล่น ที่ สวน ใหญ่ ใน เมือง และ เด็ก ๆ เล่น น้ำ อย่าง สนุกสนาน กับ เพื่อน",
+    "am": "ዛሬ ጠዋት በከተማው ውስጥ ብዙ ሰዎች ወደ ገበያ ሄዱ ምክንያቱም ነገ በዓል ነው እና ሁሉም ቤተሰብ አብሮ ምግብ ይበላል ሰላም ለሁሉም ሰው።",
+    "my": "ယနေ့ နံနက် တွင် မြို့ ထဲ ၌ လူ များ စွာ ဈေး သို့ သွား ကြ သည် နက်ဖြန် သည် ပွဲတော် နေ့ ဖြစ် သော ကြောင့် တည်း။",
+}
+
+
+@pytest.mark.parametrize("lang", sorted(CLEAN))
+def test_clean_texts_of_other_scripts(lang):
+    found = line_rules.judge([CLEAN[lang]])[0]
+    assert found["kept"] and found["n_failed_lines"] == 0
+
+
+@pytest.mark.parametrize("line", ["यह एक शीर्षक है", "هذا عنوان بلا علامة", "วันนี้ ☃☃☃☃ ★★★★", "ก only latin words here", "मेनू ★★★★ है।"])
+def test_other_scripts_still_fail(line):
+    assert line_rules.failed_rule(line, len(line.split())) == "punctuation"
+
+
+def test_thai_line_without_spaces():
+    assert line_rules.failed_rule("ผู้คนออกไปเดินเล่นที่สวนใหญ่ในเมือง และเด็กๆเล่นน้ำอย่างสนุกสนาน", 2) is None
+
+
 def test_verdicts(documents):
     good = "These words are all different and make one sentence of some length, as people write it every day here. It ends now."
     rows = [(1, good), (2, good + "\n" + "menu | of | a | site\n" * 1), (3, ("no mark here " * 2).strip() + " x1 x2\n" + good[:0] + " ".join(f"w{i}" for i in range(30)))]

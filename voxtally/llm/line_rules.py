@@ -2,8 +2,10 @@
 
 Words are runs without ASCII white space. A line with a word fails when
 
-* punctuation: none of its words ends in a sentence mark (closing quotes and brackets aside), or it has
-  more symbol characters than words;
+* punctuation: none of its words ends in a sentence mark of any script (closing quotes and brackets aside), unless
+  most of its letters are of a script without such marks, or it has more symbol characters than words;
+  marks that belong to letters (Unicode category M) and joiners are no symbols, nor are sentence marks and commas
+  of other scripts;
 * navigation: it has three or more menu separators, or only words of menus;
 * boilerplate: it holds a stock phrase of page frames, or equals an earlier line of its document.
 
@@ -18,6 +20,7 @@ A long text is read once, its windows are numbered exactly, by doubling, without
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,14 +48,35 @@ STOCK_PHRASES = (
     "share this", "skip to content", "back to top", "powered by", "lorem ipsum",
 )
 _stock = re.compile("|".join(map(re.escape, STOCK_PHRASES)))
-_sentence_end = re.compile(r"""[.!?…:;。！？]["'”’»)\]}]*([ \t-\r]|$)""")
+#: Full stops, question and exclamation marks of scripts that have their own.
+SENTENCE_MARKS = ";՜՞։؟۔܀܁܂߹।॥།༎༏༐༑၊။።፧፨᙮᠃᠉។៕᥄᥅᪨᪩᭞᭟᰻᰼᱾᱿‼⁇⁈⁉⳹⳺⳻⳾⸮꓿꘎꘏꛳꛷꡶꡷꣎꣏꤯꧈꧉꩝꩞꩟꫰꯫．｡︒︕︖﹒﹖﹗𑁇𑁈𑃀𑃁𑅁𑅂𑅃𑇅𑇆𑈸𑈹𑑋𑑌𑗂𑗃𑙁𑙂"
+#: Commas, syllable and word separators, quotes and brackets of other scripts; they end no sentence.
+OTHER_COMMAS = "՝،؛٬፡፣፤፥፦་༌、，；：「」『』《》〈〉【】（）"
+#: Letters of Thai, Lao and Tai scripts, which part sentences by spaces.
+UNMARKED = "\u0e01-\u0e30\u0e32\u0e33\u0e40-\u0e46\u0e81-\u0eb0\u0eb2\u0eb3\u0ebd-\u0edf\u1950-\u1974\u1980-\u19c9\uaa80-\uaadd"
+_sentence_end = re.compile(rf"""[.!?…:;。！？{SENTENCE_MARKS}]["'”’»)\]}}]*([ \t-\r]|$)""")
 _symbol = re.compile(r"[^\w\s.,;:'’\-()\"]")
+_unmarked = re.compile(f"[{UNMARKED}]")
 _edges = re.compile(r"^\W+|\W+$")
+_no_symbols = frozenset(SENTENCE_MARKS + OTHER_COMMAS + "\u200c\u200d")
+
+
+def has_no_sentence_mark(line: str) -> bool:
+    if _sentence_end.search(line):
+        return False
+    return line.isascii() or 2 * len(_unmarked.findall(line)) <= sum(map(str.isalpha, line))
+
+
+def n_symbols_of(line: str) -> int:
+    found = _symbol.findall(line)
+    if line.isascii():
+        return len(found)
+    return sum(c.isascii() or c not in _no_symbols and unicodedata.category(c)[0] != "M" for c in found)
 
 
 def failed_rule(line: str, words: int) -> str | None:
     """The rule that a line with words fails, ``None`` if it passes."""
-    if not _sentence_end.search(line) or len(_symbol.findall(line)) > words:
+    if has_no_sentence_mark(line) or n_symbols_of(line) > words:
         return "punctuation"
     if sum(map(line.count, SEPARATORS)) >= 3:
         return "navigation"
