@@ -75,6 +75,25 @@ def test_co_training_finds_bad_documents(spark):
     assert kept.columns == df.columns and kept.count() == sum(r.kept for r in found)
 
 
+def test_rare_bad_labels_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(cotraining, "LABELLED", 200)
+    rng = random.Random(5)
+    docs = []
+    for i in range(3000):
+        bad = i % 150 == 7
+        words = [f"w{rng.randint(0, 300)}" for _ in range(40)]
+        text = " ".join(w.upper() + "!!" for w in words) if bad else " ".join(words) + "."
+        docs.append((i, text, "en", "junk" if bad else "site", len(text)))
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(i % 150 != 7), 0) for i in range(3000) if i % 10 != 3], "doc_id long, quality int, toxic int")
+    model = cotraining.fit(df, labels)
+    assert model.content is not None and model.shift > 1
+    found = {r.doc_id: r.kept for r in cotraining.classify(df, model).collect()}
+    bad = [i for i in found if i % 150 == 7]
+    assert sum(not found[i] for i in bad) >= 0.9 * len(bad)
+    assert sum(not kept for kept in found.values()) <= 1.1 * len(bad)
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 1, 0), (2, 1, 0)]])
 def test_nothing_learned_keeps_all(spark, documents, labels):
     docs = documents([(1, "a"), (2, None)], extra=False)

@@ -7,17 +7,21 @@ prior's. The text view has figures of the text and shares of character-class tri
 source, language and size class.
 
 Models are fitted on bounded samples, chosen by a hash of the id: about ``LABELLED`` labelled and ``POOL``
-unlabelled documents. All documents are scored, on their whole texts.
+unlabelled documents. Each class of labels has half of ``LABELLED``, and what the other class leaves of its half; a
+class below its bound takes part whole. The log odds of a view are corrected by what the classes' shares in the
+sample differ from those of all labels. A quarter of each class is kept aside; if that is fewer than ``LEAST`` rows of a
+class, the views' odds are used without calibration. All documents are scored, on their whole texts.
 
 Rows: a null text counts as an empty one; missing metadata is left out of the view. Ids with labels that disagree
-take the more frequent one, a tie counts as good. If one of the two classes has fewer than ``LEAST`` training
-rows, nothing can be learned: every score is the share of good labels (1 without labels) and all rows are kept.
+take the more frequent one, a tie counts as good. If one of the two classes has fewer than ``LEAST`` labelled
+documents in all, nothing can be learned: every score is the share of good labels (1 without labels) and all rows are kept.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -120,13 +124,17 @@ META = ["m_source", "m_lang", "m_size", "m_both"]
 
 @dataclass
 class Model:
-    """The two views with their calibrations (slope, offset), and the log odds of the prior."""
+    """The two views with their calibrations (slope, offset), and the log odds of the prior.
+
+    ``shift`` is the prior's log odds less the sample's.
+    """
 
     prior: float
     content: LogisticRegressionModel | None = None
     meta: LogisticRegressionModel | None = None
     content_fit: tuple[float, float] = (1.0, 0.0)
     meta_fit: tuple[float, float] = (1.0, 0.0)
+    shift: float = 0.0
 
 
 def _views(df: DataFrame) -> DataFrame:
@@ -135,10 +143,11 @@ def _views(df: DataFrame) -> DataFrame:
     return hasher.transform(df.withColumn("view", array_to_vector("content")))
 
 
-def _odds(df: DataFrame, model: LogisticRegressionModel, view: str, name: str) -> DataFrame:
-    """Add a view's log odds."""
+def _odds(df: DataFrame, model: LogisticRegressionModel, view: str, name: str, shift: float) -> DataFrame:
+    """Add a view's log odds, as the sample has them; the bound leaves room for the shift."""
+    most = MOST_ODDS + abs(shift)
     model = model.copy({model.featuresCol: view, model.predictionCol: "", model.probabilityCol: "", model.rawPredictionCol: "_raw"})
-    bounded = F.greatest(F.lit(-MOST_ODDS), F.least(F.lit(MOST_ODDS), vector_to_array("_raw")[1]))
+    bounded = F.greatest(F.lit(-most), F.least(F.lit(most), vector_to_array("_raw")[1]))
     return model.transform(df).withColumn(name, bounded).drop("_raw")
 
 
@@ -150,6 +159,17 @@ def _sample(column: str, share: float) -> Column:
     return F.expr(f"pmod(xxhash64({column}, 71), 1000003)") < int(1000003 * min(1.0, share))
 
 
+def _order(doc_id: int) -> int:
+    return zlib.crc32(str(doc_id).encode())
+
+
+def sampled(n_good: float, n_bad: float) -> Column:
+    """Whether a labelled id is in the sample, which has all rows of a class that is below its bound."""
+    half = LABELLED / 2
+    shares = [max(half, LABELLED - other) / n for n, other in ((n_good, n_bad), (n_bad, n_good))]
+    return F.when(F.col("label") == 1, _sample("doc_id", shares[0])).otherwise(_sample("doc_id", shares[1]))
+
+
 def labelled_ids(labels: DataFrame) -> DataFrame:
     return (
         labels.filter("doc_id is not null and quality is not null")
@@ -160,14 +180,16 @@ def labelled_ids(labels: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Co-train on ``docs`` (doc_id, text, source, lang, n_chars) and ``labels`` (doc_id, quality)."""
-    known = labelled_ids(labels)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    known = written(labelled_ids(labels).join(ids, "doc_id", "left_semi"))
     n_known, n_good = known.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     share = n_good / n_known if n_known else 1.0
     prior = math.log(max(share, 1e-6) / max(1 - share, 1e-6))
-    if min(n_good, n_known - n_good) < LEAST:
+    n_bad = n_known - n_good
+    if min(n_good, n_bad) < LEAST:
         return Model(prior)
     n_docs = docs.count()
-    chosen = bounded_broadcast(known.filter(_sample("doc_id", LABELLED / n_known)))
+    chosen = bounded_broadcast(known.filter(sampled(n_good, n_bad)))
     read = [name for name in COLUMNS if name in docs.columns]
     keyed = docs.select(*read).filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
     columns = ["doc_id", F.col("text").cast("string").alias("text"), *meta_columns(keyed)]
@@ -176,35 +198,39 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     both = labelled.unionByName(pooled.withColumn("label", F.lit(None).cast("double")))
     rows = written(both.select("doc_id", "label", *META, content_column(F.col("text"), both).alias("content")))
     rows = _views(rows.coalesce(FIT_PARTS)).select("doc_id", "label", "view", "meta").persist()
-    aside = F.expr("pmod(xxhash64(doc_id, 5), 4) = 0")
-    train, kept_aside = rows.filter(F.col("label").isNotNull() & ~aside), rows.filter(F.col("label").isNotNull() & aside)
-    found = {(r.label, r.aside): r.n for r in rows.filter("label is not null").groupBy("label", aside.alias("aside")).agg(F.count("*").alias("n")).collect()}
-    if min(found.get((label, side), 0) for label in (0.0, 1.0) for side in (True, False)) < LEAST:
-        rows.unpersist()
-        return Model(prior)
+    own = rows.filter("label is not null").select("doc_id", "label").distinct().collect()
+    of_class = [sorted((r.doc_id for r in own if r.label == label), key=_order) for label in (0.0, 1.0)]
+    held = [doc_id for listed in of_class for doc_id in listed[::4]]
+    shift = math.log(n_good / n_bad) - math.log(len(of_class[1]) / len(of_class[0]))
+    aside = F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in held], "doc_id long"))
+    known_rows = rows.filter("label is not null")
+    train, kept_aside = known_rows.join(aside, "doc_id", "left_anti"), known_rows.join(aside, "doc_id", "left_semi")
     pool = rows.filter("label is null").drop("label")
     for_content = for_meta = None
     for left in range(ROUNDS, -1, -1):
         content = _fit(train if for_content is None else train.unionByName(for_content), "view")
         meta = _fit(train if for_meta is None else train.unionByName(for_meta), "meta")
         if left:
-            for_meta = _sure(_odds(pool, content, "view", "odds"), ROUNDS + 1 - left)
-            for_content = _sure(_odds(pool, meta, "meta", "odds"), ROUNDS + 1 - left)
+            for_meta = _sure(_odds(pool, content, "view", "odds", shift), ROUNDS + 1 - left, shift)
+            for_content = _sure(_odds(pool, meta, "meta", "odds", shift), ROUNDS + 1 - left, shift)
     fits = []
     for model, view in ((content, "view"), (meta, "meta")):
-        one = _odds(kept_aside, model, view, "odds").select("label", array_to_vector(F.array("odds")).alias("one"))
+        if min(len(listed[::4]) for listed in of_class) < LEAST:
+            fits.append((1.0, 0.0))
+            continue
+        one = _odds(kept_aside, model, view, "odds", shift).select("label", array_to_vector(F.array("odds")).alias("one"))
         platt = LogisticRegression(featuresCol="one", labelCol="label", maxIter=FIT_STEPS).fit(one)
         fits.append((float(platt.coefficients[0]), float(platt.intercept)))
     rows.unpersist()
-    return Model(prior, content, meta, *fits)
+    return Model(prior, content, meta, *fits, shift)
 
 
-def _sure(scored: DataFrame, rounds: int) -> DataFrame:
+def _sure(scored: DataFrame, rounds: int, shift: float) -> DataFrame:
     """The pool's rows that a view is surest of, a bounded number of each class that grows by round."""
     bound = math.log(SURE / (1 - SURE))
     parts = []
     for label, order in ((1.0, F.desc("odds")), (0.0, F.asc("odds"))):
-        side = F.col("odds") >= bound if label else F.col("odds") <= -bound
+        side = F.col("odds") + shift >= bound if label else F.col("odds") + shift <= -bound
         best = scored.filter(side).orderBy(order, "doc_id").limit(HANDED * rounds)
         parts.append(best.select("doc_id", F.lit(label).alias("label"), "view", "meta"))
     return parts[0].unionByName(parts[1])
@@ -219,9 +245,10 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     row = F.struct(*docs.columns).alias("_row")
     rows = docs.select(row, *meta_columns(docs), content_column(text, docs).alias("content"))
-    rows = _odds(_odds(_views(rows), model.content, "view", "content_odds"), model.meta, "meta", "meta_odds")
+    rows = _odds(_views(rows), model.content, "view", "content_odds", model.shift)
+    rows = _odds(rows, model.meta, "meta", "meta_odds", model.shift)
     odds = {
-        name: F.col(f"{name}_odds") * slope + offset
+        name: F.col(f"{name}_odds") * slope + offset + model.shift
         for name, (slope, offset) in (("content", model.content_fit), ("meta", model.meta_fit))
     }
     chance = lambda x: 1 / (1 + F.exp(-x))
