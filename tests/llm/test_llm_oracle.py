@@ -5,7 +5,7 @@ import pytest
 
 from voxtally.llm import oracle, queries
 
-TABLES = ("documents", "pages", "benchmark", "labels")
+TABLES = ("documents", "pages", "benchmark", "labels", "embeddings")
 
 
 @pytest.mark.parametrize("name", sorted(oracle.STATEMENTS))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxtally.llm import line_rules, spaced_seeds
+from voxtally.llm import bitplane_clusters, kronecker_negatives, line_rules, spaced_seeds
 
 STATEMENTS: dict[str, str] = {}
 
@@ -120,3 +120,67 @@ reach AS (
   SELECT doc_id AS source, doc_id AS target FROM docs UNION SELECT source, b FROM reach JOIN links ON target = a)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, min(target) AS component_id, d.doc_id = min(target) AS kept
 FROM docs d LEFT JOIN sizes USING (doc_id) JOIN reach ON source = d.doc_id GROUP BY d.doc_id, n"""
+
+
+STATEMENTS["op12_kronecker_negatives"] = f"""
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+    CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score
+  FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= {kronecker_negatives.POSITIVES})
+SELECT anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+  other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND {kronecker_negatives.LOW} * positive_score <= 100 * score
+  AND 100 * score <= {kronecker_negatives.HIGH} * positive_score
+QUALIFY rank <= {kronecker_negatives.NEGATIVES}"""
+
+
+def _clusters() -> str:
+    """The rounds one after the other."""
+    apart = "CAST(list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS BIGINT)"
+    parts = [
+        f"""rows AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{bitplane_clusters.SEED}:' || vec_id), v) - 1 AS k, v AS c FROM rows
+  QUALIFY k < {bitplane_clusters.CENTROIDS})"""
+    ]
+    for i in range(bitplane_clusters.ROUNDS + 1):
+        parts.append(
+            f"""a{i} AS MATERIALIZED (
+  SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, min(k) AS k, any_value(d) AS d
+  FROM (SELECT r, vec_id, v, k, {apart} AS d FROM rows, c{i} QUALIFY d = min(d) OVER (PARTITION BY r)) GROUP BY r)"""
+        )
+        if i < bitplane_clusters.ROUNDS:
+            parts.append(
+                f"""s{i} AS (
+  SELECT k, i, sum(v[i]) AS s, count(*) AS n FROM a{i}, unnest(range(1, 65)) AS u(i) GROUP BY k, i),
+m{i} AS (SELECT k, list(CAST((s - ((s % n) + n) % n) / n AS BIGINT) ORDER BY i) AS c FROM s{i} GROUP BY k),
+c{i + 1} AS MATERIALIZED (SELECT k, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (k))"""
+            )
+    last = bitplane_clusters.ROUNDS
+    return (
+        "WITH "
+        + ", ".join(parts)
+        + f"""
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance,
+  CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{last} JOIN c{last} USING (k)"""
+    )
+
+
+STATEMENTS["op13_bitplane_clusters"] = _clusters()

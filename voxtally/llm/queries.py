@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtally.llm import circulant_minhash, cotraining, licenses, line_rules, segment_bpe, spaced_seeds, token_counts, token_files, warc, word_backoff
+from voxtally.llm import (
+    bitplane_clusters,
+    circulant_minhash,
+    cotraining,
+    golay_simhash,
+    kronecker_negatives,
+    licenses,
+    line_rules,
+    segment_bpe,
+    spaced_seeds,
+    token_counts,
+    token_files,
+    warc,
+    word_backoff,
+)
 from voxtally.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +93,18 @@ def op9_circulant_minhash(spark, sf_dir):
 @query
 def op10_token_counts(spark, sf_dir):
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), RANKS, PATTERN)
+
+
+@query
+def op11_golay_simhash(spark, sf_dir):
+    return golay_simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_kronecker_negatives(spark, sf_dir):
+    return kronecker_negatives.mine(read_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_bitplane_clusters(spark, sf_dir):
+    return bitplane_clusters.cluster_vectors(read_table(spark, sf_dir, "embeddings"))
