@@ -23,7 +23,7 @@ from voxtally.operators import (
     trends,
     words,
 )
-from voxtally.plans import forest, kernel_svm, text_classifier, views
+from voxtally.plans import epochs, forest, kernel_svm, text_classifier, views
 from voxtally.session import written
 from voxtally.sinks import results
 
@@ -660,9 +660,28 @@ def text_classifier_predictions(spark, sf_dir):
     return run.predict().drop("text", "probability")
 
 
+def _epochs(spark, sf_dir):
+    return epochs.train(views.text_training(spark, sf_dir))
+
+
 @query
 def text_classifier_history(spark, sf_dir):
-    return text_classifier.train_text_classifier(views.text_training(spark, sf_dir)).history()
+    """The seven figures of each logged epoch."""
+    return _epochs(spark, sf_dir).history()
+
+
+@query
+def text_classifier_early_stop(spark, sf_dir):
+    """The trace of early stopping over all epochs that ran, with the epoch whose weights were kept."""
+    run = _epochs(spark, sf_dir)
+    traced = runs.early_stop(run.epochs(), run.settings.patience)
+    return traced.join(run.best_epoch().select("run_id", "best_epoch"), "run_id")
+
+
+@query
+def text_classifier_kept_predictions(spark, sf_dir):
+    """The test side by the weights of the best epoch."""
+    return _epochs(spark, sf_dir).predict().drop("probability")
 
 
 @query

@@ -52,6 +52,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def new_table_path(spark: SparkSession) -> str:
+    """A fresh folder name for a table under the checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """The table, written once as Parquet under the checkpoint folder and read back.
 
@@ -60,7 +65,7 @@ def written(df: DataFrame) -> DataFrame:
     the application; it is deleted when the driver's JVM ends in good order.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = new_table_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
