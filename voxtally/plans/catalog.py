@@ -24,8 +24,9 @@ from voxtally.operators import (
     words,
 )
 from voxtally.plans import epochs, forest, kernel_svm, text_classifier, views
-from voxtally.session import written
+from voxtally.session import new_table_path, written
 from voxtally.sinks import results
+from voxtally.sources import csv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -108,6 +109,15 @@ def text_training_rows(spark, sf_dir):
     return cleaning.text_training_rows(views.text_training(spark, sf_dir))
 
 
+@query
+def csv_documents(spark, sf_dir):
+    """The documents written as CSV, line breaks and quotes included, and read back in several tasks."""
+    path = new_table_path(spark)
+    options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    views.texts(spark, sf_dir).write.options(**options).csv(path)
+    return csv.read_csv(spark, path).select(F.col("doc_id").cast("long"), "text")
+
+
 # ---- trends and classes ----------------------------------------------------------------------
 
 

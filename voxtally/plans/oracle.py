@@ -9,6 +9,7 @@ from __future__ import annotations
 from voxtally.functions.lexicon import DEFAULT_LEXICON
 from voxtally.operators.splits import SPLIT_RATIOS, ratio_column
 from voxtally.plans import views
+from voxtally.sources.csv import MISSING
 
 WORD = r"\p{L}\p{N}_"
 BLANK = (
@@ -298,6 +299,8 @@ def statements() -> dict[str, str]:
             WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)
             SELECT e.label, e.vec_id, round((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * c.n), 6) AS weight
             FROM embeddings e JOIN c USING (label)""",
+        "csv_documents": f"""
+            SELECT doc_id, CASE WHEN text NOT IN ({", ".join(map(_text, MISSING))}) THEN text END AS text FROM documents""",
         "search_comments": f"""
             WITH {ENRICHED} SELECT comment_id, label FROM enriched WHERE lower(text) LIKE '%terima kasih%'""",
         "search_pattern": f"""

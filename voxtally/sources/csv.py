@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtally.operators.columns import find_target_contains, rename_target, trim_headers
+from voxtally.sources import csv_records
 
 SEPARATORS = (",", ";", "\t")
 
@@ -32,18 +33,14 @@ def read_csv(
 ) -> DataFrame:
     """A CSV table with header; fields that mean "missing" become NULL.
 
-    Quoted fields may hold line breaks. Where they never do, ``multiline=False`` lets Spark split
-    large files among tasks.
+    Quoted fields may hold line breaks. Large files are split among tasks all the same, at the price of a second
+    look at their quotes, which ``multiline=False`` saves where there are no such line breaks. Only files in an
+    encoding that is not based on ASCII take a task each.
     """
-    frame = (
-        spark.read.option("header", True)
-        .option("sep", sep)
-        .option("encoding", encoding)
-        .option("multiLine", multiline)
-        .option("escape", '"')
-        .csv(path)
-    )
-    return _missing_to_null(frame)
+    if multiline and encoding.upper() in csv_records.ASCII_BASED:
+        return _missing_to_null(csv_records.read_records(spark, path, sep, encoding))
+    options = csv_records.parser_options(sep) | {"header": "true", "encoding": encoding, "multiLine": str(multiline)}
+    return _missing_to_null(spark.read.options(**options).csv(path))
 
 
 def _paths(uris) -> list[str]:
@@ -87,12 +84,12 @@ def read_csv_sniffed(
     """
     for sep in separators:
         try:
-            frame = trim_headers(read_csv(spark, path, sep, multiline=multiline))
+            names = csv_records.header_of(spark, path, sep, "UTF-8")
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
                 raise
             continue
-        target = find_target_contains(frame, target_word)
-        if len(frame.columns) >= 2 and target is not None:
-            return rename_target(frame, target, target_name)
+        if len(names) >= 2 and any(target_word.lower() in name.lower() for name in names):
+            frame = trim_headers(read_csv(spark, path, sep, multiline=multiline))
+            return rename_target(frame, find_target_contains(frame, target_word), target_name)
     return None
