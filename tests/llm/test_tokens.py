@@ -64,8 +64,8 @@ def test_encode_documents(spark, documents, texts, reference):
 def test_token_files_round_trip(spark, documents, texts):
     rows = [(1000 - i, x) for i, x in enumerate(texts[-80:])] + [(-4, None), (2, ""), (None, "no id")]
     rows.append((3, "same")), rows.append((3, "same"))
+    rows += [(i, f"hello {special} world") for i, special in enumerate(("<|endoftext|>", "<|endoftext|><|endoftext|>"), 2000)]
     tool = Tokenizer.from_file(JSON_TOKENIZER)
-    tool.encode_special_tokens = True
     got = token_files.token_file_round_trip(spark, documents(rows), JSON_TOKENIZER, PATTERN).collect()
     start, want = 0, []
     for i, x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
@@ -79,13 +79,36 @@ def test_token_files_of_no_documents(spark, documents):
     assert token_files.token_file_round_trip(spark, documents([]), JSON_TOKENIZER, PATTERN).count() == 0
 
 
-def test_small_files_and_random_access(spark, documents, tmp_path, monkeypatch):
-    monkeypatch.setattr(token_files, "FILE_IDS", 50)
+def test_files_roll_over(spark, documents, tmp_path):
     rows = [(i, f"text number {i} " * (i % 9)) for i in range(60)]
-    # batches run in workers that import the module anew, so only the layout is looked at here
-    files = token_files.write_tokens(documents(rows), JSON_TOKENIZER, PATTERN, str(tmp_path / "tokens"))
+    files = token_files.write_tokens(documents(rows), JSON_TOKENIZER, PATTERN, str(tmp_path / "tokens"), file_ids=50)
     found = files.orderBy("path").collect()
+    assert any(r.path.endswith("000001.dac") for r in found) and sum(r.n_docs for r in found) == 60
     assert [r.base for r in found] == list(np.cumsum([0, *(r.n_ids for r in found[:-1])]))
+    tool = Tokenizer.from_file(JSON_TOKENIZER)
+    start = 0
+    for row, (i, text) in zip(token_files.read_tokens(files).orderBy("doc_id").collect(), rows, strict=True):
+        ids = [*tool.encode(text, add_special_tokens=False).ids, 0]
+        assert tuple(row) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_memories_stay_within_their_bytes():
+    """Long texts without spaces, and more distinct words than there is room for."""
+    rng = random.Random(6)
+    long = ["漢字" * 6000 + str(i) for i in range(30)] + ["x" * 50_000]
+    many = [" ".join(str(rng.random()) for _ in range(400)) for _ in range(250)]
+    encoder = segment_bpe.encoder(MULTI_RANKS, PATTERN)
+    counter, files = token_counts.counter(RANKS, PATTERN), token_files.text_encoder(JSON_TOKENIZER, PATTERN)
+    for text in long + many:
+        list(encoder.encode([text])), counter.counts(text), files.encode(text)
+    for memory in (encoder.memory, counter.memory, files.memory, files.matches):
+        assert memory and memory.used <= memory.room // 2 and max(map(len, memory)) <= pieces.LONGEST
+        for part in (memory, memory.old):
+            assert sum(pieces.ENTRY + len(k) + 8 * len(v) for k, v in part.items()) <= memory.room // 2 + 4096
+
+
+def test_random_access(tmp_path):
     rng = random.Random(2)
     ids = np.array([rng.choice([0, 3, 255, 256, 65535, 65536, 2**31]) for _ in range(3000)], "<u4")
     path = str(tmp_path / "one.dac")

@@ -44,7 +44,8 @@ DIFFERENT = 176
 LEADERS = 1024
 SEED = 20240607
 NO_ID = -(1 << 63)
-CACHE_WORDS = 500_000
+#: Word hashes that a worker remembers, of words of at most so many bytes: about 16 MB.
+CACHE_WORDS, LONGEST_WORD = 100_000, 32
 MIX_1, MIX_2, BASE = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
 #: What is known of a class without its text.
@@ -89,7 +90,9 @@ def shingle_hashes(words: list[bytes], size: int = WORDS) -> np.ndarray:
     for word in words:
         h = known(word)
         if h is None:
-            h = _word_hashes[word] = xxhash.xxh3_64_intdigest(word)
+            h = xxhash.xxh3_64_intdigest(word)
+            if len(word) <= LONGEST_WORD:
+                _word_hashes[word] = h
         hashed.append(h)
     ids = np.array(hashed, np.uint64)
     width = min(size, len(ids))

@@ -17,8 +17,9 @@ from voxtally.session import ensure_checkpoint_dir, written
 
 __all__ = ["file_store", "map_batches", "put_file", "read_table", "shared_folder", "ship", "written"]
 
-#: Rows of an Arrow batch. Texts may be long, so a batch is far below Spark's 10,000 rows.
+#: Rows and bytes of an Arrow batch. Texts may be long, so a batch is far below Spark's 10,000 rows and 64 MB.
 BATCH_ROWS = 512
+BATCH_BYTES = 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,10 +48,16 @@ def map_batches(
 ) -> DataFrame:
     """``mapInArrow`` with small batches and the library at hand on the executors."""
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches for the session. Spark reads these settings when a job starts, so they stay on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the checkpoint folder, which all executors see; it is not made yet."""
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -33,7 +33,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxtally.llm.common import BATCH_ROWS, ship, written
+from voxtally.llm.common import ship, small_batches, written
 from voxtally.session import bounded_broadcast
 
 LABELLED = 12_000
@@ -97,7 +97,7 @@ def content_features(text: str | None) -> list[float]:
 
 def content_column(text: Column, df: DataFrame) -> Column:
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(df.sparkSession)
 
     @F.pandas_udf("array<double>")
     def features(texts: pd.Series) -> pd.Series:

@@ -2,7 +2,8 @@
 
 A space before a character that is no white space always starts a match of the splitting pattern,
 whatever stands around it. So a text is first cut there, by fast string methods; the pattern runs on
-distinct cuts only.
+distinct cuts only. A memory is bounded in bytes: long cuts (a text without spaces is one) are worked out each
+time, and when half the room is used the older half is forgotten.
 """
 
 from __future__ import annotations
@@ -13,8 +14,11 @@ import re
 import public_tokenizers
 import regex
 
-#: Cuts that a worker remembers; then it starts anew.
-MEMORY = 800_000
+#: Bytes that a memory may take in a worker, and the characters of the longest string it keeps.
+ROOM = 24 << 20
+LONGEST = 64
+#: Bytes of an entry besides its contents: key and value objects and their place in a table.
+ENTRY = 250
 MARK = "\x00"
 
 _not_before_word = re.compile(r" (?:\s|$)")
@@ -32,16 +36,28 @@ def cuts(text: str) -> list[str]:
 
 
 class Memory(dict):
-    """Remembers what a function gave for a cut."""
+    """Remembers what a function gave for short strings, within a bound of bytes."""
 
-    def __init__(self, function):
+    def __init__(self, function=None, room: int = ROOM):
         super().__init__()
-        self.function = function
+        self.function, self.room, self.used, self.old = function, room, 0, {}
 
     def __missing__(self, part: str):
-        value = self[part] = self.function(part)
+        value = self.old.get(part)
+        if value is None:
+            value = self.function(part)
+        self.keep(part, value)
         return value
 
+    def keep(self, part: str, value) -> None:
+        """Remember a value; long strings are not."""
+        if len(part) <= LONGEST:
+            self[part] = value
+            self.used += ENTRY + len(part) + 8 * len(value)
+            if self.used > self.room // 2:
+                self.old, self.used = dict(self), 0
+                self.clear()
+
 
 def splitter(pattern: str):
     """The pattern's matches in a string, with Unicode's white space.

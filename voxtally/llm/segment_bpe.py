@@ -6,7 +6,8 @@ changes three leaves (the merged position, the one it swallows, the live neighbo
 point update up to the root. Trees of the same height are kept in one array and merged together.
 
 Rows: a null text encodes as an empty one: no ids. Repeated rows give equal results. Any text round-trips,
-as every byte is a token. Work on a text grows with n log n, whatever its words are.
+as every byte is a token. Work on a text grows with n log n, whatever its words are, and a very long one takes
+memory in proportion to its bytes while its batch is worked on. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ class Encoder:
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"bytes without a token: {missing[:5]}")
-        self.ranks, self.split, self.memory = ranks, pieces.splitter(pattern), {}
+        self.ranks, self.split, self.memory = ranks, pieces.splitter(pattern), pieces.Memory()
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
@@ -180,19 +181,23 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
         """The ids of each text."""
-        if len(self.memory) > pieces.MEMORY:
-            self.memory.clear()
-        memory = self.memory
+        memory, old = self.memory, self.memory.old
         cut = [pieces.cuts(text or "") for text in texts]
         fresh = {x for parts in cut for x in parts if x not in memory}
-        if fresh:
-            matches = {x: [m.encode() for m in self.split(x)] for x in fresh}
+        known = {x: old[x] for x in fresh if x in old}
+        matches = {x: [m.encode() for m in self.split(x)] for x in fresh if x not in known}
+        if matches:
             distinct = list(dict.fromkeys(chain.from_iterable(matches.values())))
             ids = dict(zip(distinct, self.encode_pieces(distinct), strict=True))
             for x, found in matches.items():
-                memory[x] = ids[found[0]] if len(found) == 1 else tuple(chain.from_iterable(ids[m] for m in found))
+                known[x] = ids[found[0]] if len(found) == 1 else tuple(chain.from_iterable(ids[m] for m in found))
+        memory.update(known)  # for these texts, the long ones too
         for parts in cut:
             yield list(chain.from_iterable(map(memory.__getitem__, parts)))
+        for x in known:
+            del memory[x]
+        for x, found in known.items():
+            memory.keep(x, found)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))

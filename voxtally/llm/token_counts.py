@@ -8,7 +8,8 @@ at most 2n steps.
 With a ``prefix`` (such as ``##``) tokens that go on inside a word carry it, and first tokens do not; without one
 every token may stand anywhere. A word that the vocabulary cannot cover counts as one unknown token.
 
-Rows: a null or empty text has no words and no tokens. Repeated rows give equal results.
+Rows: a null or empty text has no words and no tokens. Repeated rows give equal results. Texts of any length are
+counted whole, in time that grows with their length. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -92,19 +93,18 @@ class Counter:
     """Counts of words, tokens and unknown words of texts."""
 
     def __init__(self, automaton: Automaton, pattern: str):
-        self.automaton, self.split, self.memory = automaton, pieces.splitter(pattern), {}
+        self.automaton, self.split, self.memory = automaton, pieces.splitter(pattern), pieces.Memory(self.part_counts)
+
+    def part_counts(self, part: str) -> tuple[int, int, int]:
+        lengths = [self.automaton.length(x.encode()) for x in self.split(part)]
+        missed = lengths.count(0)
+        return len(lengths), sum(lengths) + missed, missed
 
     def counts(self, text: str | None) -> tuple[int, int, int]:
         memory = self.memory
-        if len(memory) > pieces.MEMORY:
-            memory.clear()
         words = tokens = unknown = 0
         for part in pieces.cuts(text or ""):
-            known = memory.get(part)
-            if known is None:
-                lengths = [self.automaton.length(x.encode()) for x in self.split(part)]
-                missed = lengths.count(0)
-                known = memory[part] = (len(lengths), sum(lengths) + missed, missed)
+            known = memory[part]
             words += known[0]
             tokens += known[1]
             unknown += known[2]

@@ -10,7 +10,9 @@ Files hold whole documents and at most about ``FILE_IDS`` ids, so a task needs m
 layout (little-endian): magic, number of documents, ids and levels; per level its number of chunks and the
 places of chunks, bitmap and directory; then doc ids, null flags, first positions, and the levels.
 
-Rows: a null text is an empty one and has the end id only. Repeated rows are all written.
+Rows: a null text is an empty one and has the end id only. Repeated rows are all written. Rows of equal ids (or
+without one) stand in the order of their texts' hashes. A document is never split, so a very long one
+makes its file as long as it is. An empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -40,16 +42,19 @@ _loaded: dict[tuple[str, str], TextEncoder] = {}
 class TextEncoder:
     """Ids of texts by a file of the tokenizers library, as little-endian 32-bit numbers.
 
-    Cuts of a text that were met before are looked up; the library's model encodes the other ones.
-    Strings of special tokens in a text are ordinary text.
+    Cuts of a text that were met before are looked up; the library's model encodes the other ones. A text that holds
+    the string of a token that was added to the file's vocabulary goes to the library whole.
     """
 
     def __init__(self, path: str, pattern: str):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.model = Tokenizer.from_file(path).model
-        self.split, self.memory, self.matches = pieces.splitter(pattern), pieces.Memory(self.ids), {}
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        self.added = [token.content for token in self.whole.get_added_tokens_decoder().values()]
+        self.split = pieces.splitter(pattern)
+        self.memory, self.matches = pieces.Memory(self.ids), pieces.Memory(self.match_ids)
         plain = ByteLevel(add_prefix_space=False, use_regex=False)
         # the library's character for each byte, read off valid two-byte and one-byte strings
         self.shown = {}
@@ -63,21 +68,20 @@ class TextEncoder:
 
     def ids(self, part: str) -> bytes:
         """The ids of a cut, from those of the pattern's matches in it, which many cuts share."""
-        found = []
-        for match in self.split(part):
-            known = self.matches.get(match)
-            if known is None:
-                shown = match.encode().decode("latin-1").translate(self.shown)
-                ids = [token.id for token in self.model.tokenize(shown)]
-                known = self.matches[match] = struct.pack(f"<{len(ids)}I", *ids)
-            found.append(known)
+        found = [self.matches[match] for match in self.split(part)]
         return found[0] if len(found) == 1 else b"".join(found)
 
+    def match_ids(self, match: str) -> bytes:
+        shown = match.encode().decode("latin-1").translate(self.shown)
+        ids = [token.id for token in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def encode(self, text: str | None) -> bytes:
-        memory = self.memory
-        if len(memory) > pieces.MEMORY:
-            memory.clear(), self.matches.clear()
-        return b"".join(map(memory.__getitem__, pieces.cuts(text or "")))
+        text = text or ""
+        if any(token in text for token in self.added):
+            ids = self.whole.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join(map(self.memory.__getitem__, pieces.cuts(text)))
 
 
 def text_encoder(path: str, pattern: str) -> TextEncoder:
@@ -172,10 +176,13 @@ class TokenFile:
         return out
 
 
-def write_tokens(docs: DataFrame, path: str, pattern: str, folder: str, end_id: int = 0) -> DataFrame:
+def write_tokens(
+    docs: DataFrame, path: str, pattern: str, folder: str, end_id: int = 0, file_ids: int = FILE_IDS
+) -> DataFrame:
     """Write token files of ``docs`` (doc_id, text) and return them: path, n_docs, n_ids, base.
 
-    ``base`` is the number of ids in the files before. The table has a row a file.
+    A file is closed when it holds ``file_ids`` ids or more. ``base`` is the number of ids in the files before. The
+    table has a row a file.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +205,7 @@ def write_tokens(docs: DataFrame, path: str, pattern: str, folder: str, end_id:
                 encoded.append(tool.encode(text) + end)
                 sizes.append(len(encoded[-1]) // 4), ids.append(doc_id)
                 held += sizes[-1]
-                if held >= FILE_IDS:
+                if held >= file_ids:
                     flush()
         if ids:
             flush()
