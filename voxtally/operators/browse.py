@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from voxtally.functions.text import preview
 from voxtally.operators.comments import TIME
 from voxtally.operators.ranking import global_row_number
-from voxtally.session import bounded_broadcast
+from voxtally.operators.selection import rows_from
 
 KEY = "comment_id"
 PAGE_SIZE = 30  # fixed value
-# Up to this many rows, texts included, a top-k may hold; deeper pages are found by number.
+# Up to this many rows, texts included, a top-k may hold; deeper pages are found by counting.
 HEAP_ROWS = 3_000
 
 # The periods on offer.
@@ -84,9 +84,9 @@ def page(
     """One page of the newest-first list; a number out of range gives the nearest page.
 
     Pass ``total`` if the number of rows is known, it saves a count. Early pages are a
-    distributed top-k. For deep ones times and keys are numbered globally, so that no task holds
-    the rows before them, and the page's rows are picked by their keys. :func:`page_after` walks
-    on from a page without either.
+    distributed top-k. For deep ones the page's range of times is found by counting, without a sort or
+    shuffle of the rows, and the page is a top-k of that range. :func:`page_after` walks on from a page
+    without counts.
     """
     if number > 1:
         total = df.count() if total is None else total
@@ -95,9 +95,10 @@ def page(
     skipped = (number - 1) * size
     if skipped + size <= HEAP_ROWS:
         return newest_first(df, ts, key).offset(skipped).limit(size)
-    numbered = global_row_number(df.select(ts, key), newest_order(ts, key), "_row")
-    keys = numbered.filter(F.col("_row").between(skipped + 1, skipped + size)).select(key)
-    return newest_first(df.join(bounded_broadcast(keys), key, "left_semi"), ts, key)
+    if skipped >= total:
+        return df.limit(0)
+    rows, leading = rows_from(df, ts, key, skipped, size, HEAP_ROWS)
+    return newest_first(rows, ts, key).offset(leading).limit(size)
 
 
 def page_after(
