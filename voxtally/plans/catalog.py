@@ -19,6 +19,7 @@ from voxtally.operators import (
     features,
     metrics,
     runs,
+    search_index,
     splits,
     trends,
     words,
@@ -189,6 +190,23 @@ def search_pattern(spark, sf_dir):
     return browse.search(_enriched(spark, sf_dir), "luar biasa|gagal (total|semua)").select("comment_id", "label")
 
 
+def _indexed(spark, sf_dir):
+    rows = _enriched(spark, sf_dir).select("comment_id", "label", "text")
+    return search_index.build_index(rows, new_table_path(spark))
+
+
+@query
+def indexed_search(spark, sf_dir):
+    """The search for a phrase by the index of trigrams."""
+    return _indexed(spark, sf_dir).search("terima kasih").select("comment_id", "label")
+
+
+@query
+def indexed_pattern(spark, sf_dir):
+    """The search for a pattern with alternatives by the index of trigrams."""
+    return _indexed(spark, sf_dir).search("luar biasa|gagal (total|semua)").select("comment_id", "label")
+
+
 @query
 def filter_by_label(spark, sf_dir):
     return browse.filter_label(_enriched(spark, sf_dir), "Positive").select("comment_id", "label", "month")

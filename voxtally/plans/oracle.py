@@ -306,6 +306,11 @@ def statements() -> dict[str, str]:
         "search_pattern": f"""
             WITH {ENRICHED} SELECT comment_id, label FROM enriched
             WHERE regexp_matches(text, 'luar biasa|gagal (total|semua)', 'i')""",
+        "indexed_search": f"""
+            WITH {ENRICHED} SELECT comment_id, label FROM enriched WHERE lower(text) LIKE '%terima kasih%'""",
+        "indexed_pattern": f"""
+            WITH {ENRICHED} SELECT comment_id, label FROM enriched
+            WHERE regexp_matches(text, 'luar biasa|gagal (total|semua)', 'i')""",
         "filter_by_label": f"WITH {ENRICHED} SELECT comment_id, label, month FROM enriched WHERE label = 'Positive'",
         "filter_recent": f"""
             WITH {ENRICHED} SELECT comment_id, createTimeISO FROM enriched
