@@ -1,20 +1,25 @@
 """Quality classifier by co-training: a view of the text and a view of the page's metadata.
 
-Both views are logistic regressions. In each round a view labels the documents of an unlabelled pool that it is
+Both views are logistic regressions. In each round a view scores all unlabelled documents, labels those that it is
 sure of, and the other view learns from them. Each view is then calibrated on labelled documents kept
 aside, and the calibrated views are combined as independent evidence: their log odds add up, less the
 prior's. The text view has figures of the text and shares of character-class trigrams; the metadata view hashes
 source, language and size class.
 
-Models are fitted on bounded samples, chosen by a hash of the id: about ``LABELLED`` labelled and ``POOL``
-unlabelled documents. Each class of labels has half of ``LABELLED``, and what the other class leaves of its half; a
-class below its bound takes part whole. The log odds of a view are corrected by what the classes' shares in the
-sample differ from those of all labels. A quarter of each class is kept aside; if that is fewer than ``LEAST`` rows of a
-class, the views' odds are used without calibration. All documents are scored, on their whole texts.
-
-Rows: a null text counts as an empty one; missing metadata is left out of the view. Ids with labels that disagree
-take the more frequent one, a tie counts as good. If one of the two classes has fewer than ``LEAST`` labelled
-documents in all, nothing can be learned: every score is the share of good labels (1 without labels) and all rows are kept.
+Only the labelled documents are sampled, by a hash of the id: about ``LABELLED`` of them. Each class of labels has half
+of ``LABELLED``, and what the other class leaves of its half; a class below its bound takes part whole. The log
+odds of a view are corrected by what the classes' shares in the sample differ from those of all labels. A
+quarter of each class is kept aside; if that is fewer than ``LEAST`` rows of a class, the views' odds are used
+without calibration. The pool is every document without a label. All of it above ``SURE`` is handed over; where that
+is more than the sample has of a class, each row weighs less, so that together they weigh as much as the labelled
+rows of the class. The figures of all documents are written once; rounds and fits read them in as many tasks as there
+are parts. All documents are scored, on their whole texts.
+
+Rows: a null text counts as an empty one, and very long ones are read whole, in time that grows with their length;
+missing metadata is left out of the view. Repeated rows take part, and are scored, as often as they occur. Ids with
+labels that disagree take the more frequent one, a tie counts as good. If one of the two classes has fewer than
+``LEAST`` labelled documents in all, nothing can be learned: every score is the share of good labels (1 without
+labels) and all rows are kept. Scores of exactly ``THRESHOLD`` are kept. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,18 +42,13 @@ from voxtally.llm.common import ship, small_batches, written
 from voxtally.session import bounded_broadcast
 
 LABELLED = 12_000
-POOL = 12_000
-ROUNDS = 2
+ROUNDS = 3
 SURE = 0.95
-#: Pseudo-labels of a class that a view hands over in a round.
-HANDED = 1000
 LEAST = 10
 THRESHOLD = 0.5
 TRIGRAMS = 40
 META_FEATURES = 512
-#: The samples are bounded, so each step of a fit is one task over figures that were written in parallel.
-FIT_PARTS = 1
-FIT_STEPS = 12
+FIT_STEPS = 25
 REGULARIZATION = 0.001
 #: Log odds of a view are held within this bound.
 MOST_ODDS = 8.0
@@ -152,7 +152,10 @@ def _odds(df: DataFrame, model: LogisticRegressionModel, view: str, name: str, s
 
 
 def _fit(rows: DataFrame, view: str) -> LogisticRegressionModel:
-    return LogisticRegression(featuresCol=view, labelCol="label", regParam=REGULARIZATION, maxIter=FIT_STEPS).fit(rows.coalesce(FIT_PARTS))
+    regression = LogisticRegression(
+        featuresCol=view, labelCol="label", weightCol="weight", regParam=REGULARIZATION, maxIter=FIT_STEPS
+    )
+    return regression.fit(rows.select(view, "label", "weight"))
 
 
 def _sample(column: str, share: float) -> Column:
@@ -188,16 +191,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     n_bad = n_known - n_good
     if min(n_good, n_bad) < LEAST:
         return Model(prior)
-    n_docs = docs.count()
     chosen = bounded_broadcast(known.filter(sampled(n_good, n_bad)))
     read = [name for name in COLUMNS if name in docs.columns]
     keyed = docs.select(*read).filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
     columns = ["doc_id", F.col("text").cast("string").alias("text"), *meta_columns(keyed)]
     labelled = keyed.join(chosen, "doc_id").select(*columns, "label")
-    pooled = keyed.filter(_sample("doc_id", POOL / max(n_docs, 1))).select(*columns).join(known.select("doc_id"), "doc_id", "left_anti")
+    pooled = keyed.select(*columns).join(known.select("doc_id"), "doc_id", "left_anti")
     both = labelled.unionByName(pooled.withColumn("label", F.lit(None).cast("double")))
     rows = written(both.select("doc_id", "label", *META, content_column(F.col("text"), both).alias("content")))
-    rows = _views(rows.coalesce(FIT_PARTS)).select("doc_id", "label", "view", "meta").persist()
+    rows = _views(rows).select("doc_id", "label", "view", "meta", F.lit(1.0).alias("weight"))
     own = rows.filter("label is not null").select("doc_id", "label").distinct().collect()
     of_class = [sorted((r.doc_id for r in own if r.label == label), key=_order) for label in (0.0, 1.0)]
     held = [doc_id for listed in of_class for doc_id in listed[::4]]
@@ -205,14 +207,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     aside = F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in held], "doc_id long"))
     known_rows = rows.filter("label is not null")
     train, kept_aside = known_rows.join(aside, "doc_id", "left_anti"), known_rows.join(aside, "doc_id", "left_semi")
-    pool = rows.filter("label is null").drop("label")
+    pool = rows.filter("label is null").drop("label", "weight")
+    of_train = [len(listed) - len(listed[::4]) for listed in of_class]
     for_content = for_meta = None
     for left in range(ROUNDS, -1, -1):
         content = _fit(train if for_content is None else train.unionByName(for_content), "view")
         meta = _fit(train if for_meta is None else train.unionByName(for_meta), "meta")
         if left:
-            for_meta = _sure(_odds(pool, content, "view", "odds", shift), ROUNDS + 1 - left, shift)
-            for_content = _sure(_odds(pool, meta, "meta", "odds", shift), ROUNDS + 1 - left, shift)
+            for_meta = _sure(_odds(pool, content, "view", "odds", shift), of_train, shift)
+            for_content = _sure(_odds(pool, meta, "meta", "odds", shift), of_train, shift)
     fits = []
     for model, view in ((content, "view"), (meta, "meta")):
         if min(len(listed[::4]) for listed in of_class) < LEAST:
@@ -221,19 +224,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         one = _odds(kept_aside, model, view, "odds", shift).select("label", array_to_vector(F.array("odds")).alias("one"))
         platt = LogisticRegression(featuresCol="one", labelCol="label", maxIter=FIT_STEPS).fit(one)
         fits.append((float(platt.coefficients[0]), float(platt.intercept)))
-    rows.unpersist()
     return Model(prior, content, meta, *fits, shift)
 
 
-def _sure(scored: DataFrame, rounds: int, shift: float) -> DataFrame:
-    """The pool's rows that a view is surest of, a bounded number of each class that grows by round."""
+def _sure(scored: DataFrame, of_train: list[int], shift: float) -> DataFrame:
+    """All of the pool's rows that a view is sure of; those of a class weigh no more than its labelled rows (bad, good)."""
     bound = math.log(SURE / (1 - SURE))
-    parts = []
-    for label, order in ((1.0, F.desc("odds")), (0.0, F.asc("odds"))):
-        side = F.col("odds") + shift >= bound if label else F.col("odds") + shift <= -bound
-        best = scored.filter(side).orderBy(order, "doc_id").limit(HANDED * rounds)
-        parts.append(best.select("doc_id", F.lit(label).alias("label"), "view", "meta"))
-    return parts[0].unionByName(parts[1])
+    odds = F.col("odds") + shift
+    sure = scored.withColumn("label", F.when(odds >= bound, 1.0).when(odds <= -bound, 0.0)).filter("label is not null")
+    n_bad, n_good = sure.agg(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).first()
+    shares = [min(1.0, own / max(1, n)) for own, n in zip(of_train, (n_bad, n_good), strict=True)]
+    weight = F.when(F.col("label") == 0, shares[0]).otherwise(shares[1])
+    return sure.select("doc_id", "label", "view", "meta", weight.alias("weight"))
 
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:

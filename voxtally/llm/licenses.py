@@ -36,6 +36,8 @@ from voxtally.llm.license_templates import TEMPLATES
 UNKNOWN = "unknown"
 #: Documents, about, and lines and paragraphs at most that negatives are drawn from.
 SAMPLE_DOCS = 1500
+#: Longer lines and paragraphs are no negative examples, so that what the driver sees is bounded.
+UNIT_CHARS = 4_000
 NEGATIVES = 4000
 COMMON_WORDS = 2000
 VARIANTS = 60
@@ -148,7 +150,7 @@ def _negative_rows(docs: DataFrame) -> list[list[str]]:
     share = F.expr("pmod(xxhash64(doc_id, 23), 1000003)") < int(1000003 * min(1.0, SAMPLE_DOCS / max(n, 1)))
     text = F.col("text").cast("string")
     units = F.array_union(F.split(text, "\n"), F.split(text, r"\n\s*\n"))
-    lines = docs.filter(share).select(F.explode(units).alias("line"))
+    lines = docs.filter(share).select(F.explode(units).alias("line")).filter(F.length("line") <= UNIT_CHARS)
     chosen = lines.filter("trim(line) <> ''").orderBy(F.xxhash64("line"), "line").limit(NEGATIVES).collect()
     rows = [words for row in chosen for words in windows(words_of(row.line))]
     return [w for w in rows if all(agreement(w, family) < CONFIRMED / 2 for family in TEMPLATES)]

@@ -5,17 +5,21 @@ frequency of its longest n-grams that are known, from 4 characters down to 1; ea
 weight. A text gets the language with the largest sum; the score is that language's share of the
 posterior over the languages, with equal priors.
 
-The model is fitted on a bounded sample: about ``SAMPLE_DOCS`` labelled documents a language, chosen by a hash of
-the id, and of their words and n-grams the most frequent ``MAX_WORDS`` and ``MAX_GRAMS``. All texts are scored whole.
+A word is a run of letters (Unicode category L) with the marks (category M) that belong to them. The model is fitted
+on a bounded sample: about ``SAMPLE_DOCS`` labelled documents a language, chosen by a hash of the id, with all their
+words and n-grams that occur twice or more. All texts are scored whole.
 
 Rows: a null text or one without a letter is ``und`` with score 0, and so is any text if no language was
 learned. Rows without language are scored like others. A row without id is neither trained on nor held out.
-Ties go to the language that sorts first. Repeated rows count as often as they occur.
+Ties go to the language that sorts first. Repeated rows count as often as they occur. Very long texts are scored in
+pieces. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -30,19 +34,33 @@ from voxtally.llm.common import map_batches, written
 from voxtally.session import bounded_broadcast
 
 SAMPLE_DOCS = 4000
-MAX_WORDS = 200_000
-MAX_GRAMS = 200_000
 LONGEST = 4
 LESS = 0.4
 SMOOTHING = 0.5
 #: Numbers that a worker keeps for words it has met.
 MEMORY_CELLS = 4_000_000
 
-_letters = re.compile(r"[^\W\d_]+")
+def _ranges(category: str) -> str:
+    """The characters of a Unicode category, as ranges of a pattern."""
+    held = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == category]
+    cuts = [0, *(i for i in range(1, len(held)) if held[i] != held[i - 1] + 1), len(held)]
+    return "".join(f"\\U{held[a]:08x}-\\U{held[b - 1]:08x}" for a, b in zip(cuts, cuts[1:], strict=False))
+
+
+_ascii = re.compile("[a-z]+")
+_letters: list[re.Pattern] = []
 
 
 def words_of(text: str | None) -> list[str]:
-    return _letters.findall(text.lower()) if text else []
+    if not text:
+        return []
+    lower = text.lower()
+    if lower.isascii():
+        return _ascii.findall(lower)
+    if not _letters:
+        letters, marks = _ranges("L"), _ranges("M")
+        _letters.append(re.compile(f"[{letters}][{letters}{marks}]*"))
+    return _letters[0].findall(lower)
 
 
 def grams_of(word: str, size: int) -> list[str]:
@@ -147,12 +165,13 @@ def _grams(batches):
     return _count(batches, lambda word, n: ((g, n) for size in range(1, LONGEST + 1) for g in grams_of(word, size)))
 
 
-def _most_frequent(counts: DataFrame, most: int) -> list:
-    """(item, {lang: n}) of the items that occur twice or more, the most frequent ones."""
+def _frequent(counts: DataFrame) -> list:
+    """(item, {lang: n}) of the items of the sample that occur twice or more, the most frequent first."""
     listed = counts.groupBy("item").agg(
         F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang")
     )
-    return listed.filter("total > 1").orderBy(F.desc("total"), "item").limit(most).select("item", "by_lang").collect()
+    found = listed.filter("total > 1").select("item", "by_lang", "total").collect()
+    return sorted(found, key=lambda r: (-r.total, r.item))
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
@@ -185,7 +204,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
                 counts[i, place[lang]] = n
         return np.log((counts + SMOOTHING) / (per_word * size + SMOOTHING * (len(found) + 1)))
 
-    kept_words, kept_grams = _most_frequent(words, MAX_WORDS), _most_frequent(grams, MAX_GRAMS)
+    kept_words, kept_grams = _frequent(words), _frequent(grams)
     model.words = {row.item: i for i, row in enumerate(kept_words)}
     model.grams = {row.item: len(kept_words) + i for i, row in enumerate(kept_grams)}
     model.table = np.concatenate([rows(kept_words, 1.0), rows(kept_grams, 4.0)])
