@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import numpy as np
@@ -70,7 +71,36 @@ def test_keep_first_keeps_columns(documents):
     docs = documents([(2, "a b c d e f"), (1, "a b c d e f"), (5, None), (None, "a b c d e f")])
     kept = op.keep_first(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "5", "None"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "5"]
+
+
+def test_keep_first_keeps_one_row_of_a_group(documents):
+    """Whatever ids its rows have or lack, and whatever the extra columns are called."""
+    text, other, alone = "a b c d e f", "p q r s t u v", "only here and nowhere else at all"
+    rows = [(None, text), (None, text), (5, text), (5, text), (None, other), (None, other), (None, alone), (None, ""), (None, "")]
+    docs = documents(rows).selectExpr("*", "7 as __id", "'p' as __print", "'q' as ROW_ID", "1.5 as row_print", "2 as group_id")
+    kept = op.keep_first(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("5", text), ("None", other), ("None", alone), ("None", ""), ("None", "")])
+    assert {(r["__id"], r["__print"], r["ROW_ID"], float(r["row_print"]), r["group_id"]) for r in got} == {(7, "p", "q", 1.5, 2)}
+    assert op.keep_first(documents([])).count() == 0
+
+
+def test_a_very_long_text(documents):
+    words = [f"w{i}" for i in range(300_000)]
+    changed = [*words[:-2000], *(f"x{i}" for i in range(2000))]
+    rows = [(4, " ".join(words)), (2, " ".join(changed)), (9, " ".join(words[:100_000])), (8, "y" * 500_000)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op.near_duplicates(documents(rows)).collect()}
+    assert got == {4: (299_996, 2), 2: (299_996, 2), 9: (99_996, 9), 8: (1, 8)}
+
+
+def test_sketches_lose_next_to_no_link():
+    """100,000 lone pairs of similarity 0.75: the binomial tail allows less than one to be ruled out."""
+    tail = sum(math.comb(op.SKETCH, k) * 0.125**k * 0.875 ** (op.SKETCH - k) for k in range(op.DIFFERENT + 1, op.SKETCH + 1))
+    assert tail < 1e-6
+    agree = np.random.default_rng(7).binomial(op.SKETCH, 0.125, 100_000)
+    assert (agree > op.DIFFERENT).sum() <= 1
 
 
 @pytest.mark.parametrize("similarity", [0.3, 0.75])

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from voxtally.llm import line_rules, spaced_seeds
 
@@ -75,7 +76,10 @@ def test_verdicts(documents):
     assert got[2].clean_text == good + "\n" and got[2].n_failed_lines == 1 and got[6].n_dup_lines == 1
     assert not got[3].base_failed and got[7].base_failed and got[7].n_repeat_words == 320
     kept = line_rules.keep_good(docs)
-    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "None"]
+    assert kept.schema == docs.schema
+    rows = {r.doc_id: r for r in kept.collect()}
+    assert set(rows) == {1, 2, None} and rows[2].text == good + "\n" and rows[2].n_chars == len(good) + 1
+    assert rows[1].text == good and rows[1].n_chars == len(good) and rows[1].path == "x"
     assert line_rules.apply_rules(documents([])).count() == 0
 
 
@@ -170,3 +174,26 @@ def test_without_overlaps(spark, documents):
     assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == [("2", "clean text"), ("3", "None"), ("None", "clean too")]
     empty = spark.createDataFrame([], "item_id long, text string")
     assert spaced_seeds.without_overlaps(docs, empty).count() == 6
+
+
+def test_short_items_and_odd_columns_drop_nothing(spark, documents):
+    docs = documents([(1, "yes we can"), (2, "they said yes to it"), (3, "a b c d")])
+    docs = docs.selectExpr("*", "5 as __id", "6 as __print", "'i' as Item_Id", "'r' as row_id", "'s' as ROW_PRINT")
+    items = spark.createDataFrame([(0, "Yes"), (1, "yes we can"), (2, "a b c d"), (2, "other words of one id")], "item_id long, text string")
+    kept = spaced_seeds.without_overlaps(docs, items)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert sorted(r.doc_id for r in got) == [1, 2]
+    assert {(r["__id"], r["__print"], r["Item_Id"], r["row_id"], r["ROW_PRINT"]) for r in got} == {(5, 6, "i", "r", "s")}
+    found = {(r.doc_id, r.item_id) for r in spaced_seeds.overlaps(docs, items).collect()}
+    assert found == {(1, 0), (1, 1), (2, 0), (3, 2)}
+
+
+def test_many_seeds_of_long_items_are_broadcast_without_their_words(spark, documents):
+    words = [f"w{i}" for i in range(3000)]
+    items = spark.createDataFrame([(i, " ".join(words[i:] + words[:i])) for i in range(40)], "item_id long, text string")
+    docs = documents([(1, " ".join(words[100:140])), (2, "nothing of the kind")])
+    got = spaced_seeds.overlaps(docs, items)
+    assert {r.doc_id for r in got.collect()} == {1}
+    rows = items.select("item_id", spaced_seeds.word_hashes("text").alias("item_words")).withColumn("item", F.col("item_id"))
+    assert spaced_seeds.benchmark_seeds(rows, spaced_seeds.LONG_MASKS).columns == ["seed", "item", "item_place", "span"]

@@ -9,7 +9,8 @@ second permutation, shifted circularly by k, gives coordinate k, so the coordina
 are one contiguous slice of that permutation and a signature is the minimum over such slices. 51 bands of 5
 coordinates miss a pair at similarity 0.75 with probability 1e-6. For documents that share a bucket 1024
 coordinates are made; their lowest bits are a sketch. At similarity 0.75 seven eighths of these agree on average,
-and pairs more than four and a half standard deviations below that (3e-6) are not compared by text.
+and pairs whose sketches differ in more than 181 of 1024 bits, which a pair at 0.75 does with probability 7.6e-7, are
+not compared by text.
 
 Documents with equal sets form a class, which goes through the search once. In each bucket members
 are compared with leaders instead of with each other; a bucket is closed when its members are in one
@@ -19,7 +20,8 @@ larger one. Among the members of open buckets, shingles that only one document h
 documents can share at most follows from that, and rules out most pairs without a look at their texts.
 
 Rows: a null text or one without words has an empty set, is linked with nothing and kept. Repeated
-rows are in one class. A row with a null id takes part; it is kept only if its whole component has no id.
+rows are in one class. A row with a null id takes part; it is kept only if its whole component has no id. Very long
+texts are hashed whole, a bounded number of shingles at a time. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtally.llm.common import map_batches, written
+from voxtally.llm.common import free_name, map_batches, written
 
 WORDS = 5
 SIMILARITY = 75
@@ -40,7 +42,7 @@ UNIVERSE_BITS = 20
 BANDS, ROWS = 51, 5
 SKETCH = 1024
 #: How many lowest bits may differ.
-DIFFERENT = 176
+DIFFERENT = 181
 LEADERS = 1024
 SEED = 20240607
 NO_ID = -(1 << 63)
@@ -340,7 +342,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, print, n_shingles, component_id, kept, class_id.
 
     component_id is the smallest doc_id reachable over links, the row's own included; kept marks the
-    rows whose id it is. print hashes the text, class_id numbers the distinct sets (null for the empty one).
+    rows whose id it is. print hashes the text, class_id numbers the distinct sets (null for the empty one), group_id
+    the components.
     """
     sets = written(shingle_sets(docs))
     classes = written(
@@ -357,13 +360,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     labels = linked_classes(classes, docs)
     rep = F.when(F.col("key") != NO_ID, F.col("key"))
-    named = classes.select("node", "high", "low", rep.alias("component_id"))
+    named = classes.select("node", "high", "low", rep.alias("component_id"), F.col("node").alias("group_id"))
     if labels is not None:
         reps = labels.join(classes.select("node", rep.alias("rep")), "node")
         smallest = reps.groupBy("component").agg(F.min("rep").alias("smallest"))
-        linked = labels.join(smallest, "component").select("node", "smallest")
+        linked = labels.join(smallest, "component").select("node", "smallest", "component")
         named = named.join(linked, "node", "left").select(
-            "node", "high", "low", F.coalesce("smallest", "component_id").alias("component_id")
+            "node",
+            "high",
+            "low",
+            F.coalesce("smallest", "component_id").alias("component_id"),
+            F.coalesce("component", "node").alias("group_id"),
         )
     return sets.join(named, ["high", "low"], "left").select(
         "doc_id",
@@ -374,13 +381,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .alias("kept"),
         F.col("node").alias("class_id"),
+        "group_id",
     )
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each component, all columns unchanged; rows without id stay."""
-    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__print": F.xxhash64(F.col("text").cast("string"))})
-    dropped = near_duplicates(docs).filter("not kept and doc_id is not null").select(
-        F.col("doc_id").alias("__id"), F.col("print").alias("__print")
-    )
-    return keyed.join(dropped, ["__id", "__print"], "left_anti").select(docs.columns)
+    """One row of each component, all columns unchanged; rows without words all stay.
+
+    It is the one with the smallest id, of equal ids the one with the smallest hash of its text; rows without id come
+    last. Of rows that agree in both any one stays.
+    """
+    found = near_duplicates(docs).filter("group_id is not null")
+    texts = written(found.groupBy("group_id", "doc_id", "print").agg(F.count("*").alias("n")))
+    place = F.struct(F.col("doc_id").isNull().alias("late"), F.coalesce("doc_id", F.lit(0)).alias("key"), "print")
+    chosen = texts.groupBy("group_id").agg(F.min(place).alias("chosen"))
+    marked = texts.join(chosen, "group_id").withColumn("first", place == F.col("chosen"))
+    row_id, row_print = free_name(docs, "row_id"), free_name(docs, "row_print")
+    keys = {row_id: F.col("doc_id").cast("long"), row_print: F.xxhash64(F.col("text").cast("string"))}
+    keyed = docs.withColumns(keys)
+
+    def by_key(rows: DataFrame, of: DataFrame, how: str) -> DataFrame:
+        named = of.select(F.col("doc_id").alias("of_id"), F.col("print").alias("of_print"))
+        return rows.join(named, rows[row_id].eqNullSafe(named.of_id) & (rows[row_print] == named.of_print), how)
+
+    dropped, repeated = marked.filter("not first"), marked.filter("first and n > 1")
+    stay = by_key(keyed, dropped, "left_anti")
+    if repeated.isEmpty():
+        return stay.select(docs.columns)
+    once = by_key(stay, repeated, "left_anti").select(docs.columns)
+    many = by_key(stay, repeated, "left_semi").groupBy(row_id, row_print).agg(F.first(F.struct(*docs.columns)).alias("row"))
+    return once.unionByName(many.select("row.*"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 import voxtally
 from voxtally.session import ensure_checkpoint_dir, written
 
-__all__ = ["file_store", "map_batches", "put_file", "read_table", "shared_folder", "ship", "written"]
+__all__ = ["file_store", "free_name", "map_batches", "put_file", "read_table", "shared_folder", "ship", "written"]
 
 #: Rows and bytes of an Arrow batch. Texts may be long, so a batch is far below Spark's 10,000 rows and 64 MB.
 BATCH_ROWS = 512
@@ -58,6 +58,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have, whatever the case of its letters."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the checkpoint folder, which all executors see; it is not made yet."""
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -14,7 +14,7 @@ eight-word windows that occur twice or more), or when its failed lines hold over
 characters. The kept lines are the cleaned text.
 
 Rows: a null text has no words and is rejected, as an empty one is. Repeated rows get equal verdicts.
-A long text is read once, its windows are numbered exactly, by doubling, without hashes.
+A long text is read once, its windows are numbered exactly, by doubling, without hashes. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -175,12 +175,23 @@ def apply_rules(docs: DataFrame, clean_text: bool = False) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns unchanged."""
+    """The rows of ``docs`` that the rules keep, with their cleaned texts.
+
+    ``n_chars``, if there, counts the characters of the cleaned text. All else is unchanged.
+    """
     place = docs.columns.index("text")
+    counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = judge(batch.column(place).cast(pa.string()).to_pylist())
-            yield batch.filter(pa.array([x["kept"] for x in found], pa.bool_()))
+            found = judge(batch.column(place).cast(pa.string()).to_pylist(), keep_text=True)
+            columns, clean = list(batch.columns), [x["clean_text"] for x in found]
+            columns[place] = pa.array(clean, pa.string()).cast(columns[place].type)
+            if counted is not None:
+                old = columns[counted]
+                sizes = [len(x) if row["n_failed_lines"] else n for x, row, n in zip(clean, found, old.to_pylist(), strict=True)]
+                columns[counted] = pa.array(sizes).cast(old.type)
+            cleaned = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            yield cleaned.filter(pa.array([x["kept"] for x in found], pa.bool_()))
 
     return map_batches(docs, run, docs.schema)

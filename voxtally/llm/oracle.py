@@ -8,6 +8,8 @@ STATEMENTS: dict[str, str] = {}
 
 SPACE = r"[\x20\x09-\x0D]"
 LETTER = r"\p{L}\p{N}_"
+#: White space of all scripts.
+BLANK = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
 def quoted(values) -> str:
@@ -34,8 +36,10 @@ marked AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again FROM sized WHERE n > 0),
 failed AS (
   SELECT *, again
-    OR NOT regexp_matches(line, '[.!?…:;。！？]["''”’»)\]}}]*([ \t-\r]|$)')
-    OR length(regexp_replace(line, '[{LETTER}\s.,;:''’\-()"]', '', 'g')) > n
+    OR (NOT regexp_matches(line, '[.!?…:;。！？{line_rules.SENTENCE_MARKS}]["''”’»)\]}}]*([ \t-\r]|$)')
+      AND (regexp_matches(line, '^[\x00-\x7F]*$')
+        OR 2 * length(regexp_replace(line, '[^{line_rules.UNMARKED}]', '', 'g')) <= length(regexp_replace(line, '[^\p{{L}}]', '', 'g'))))
+    OR length(regexp_replace(line, '[{LETTER}{BLANK}.,;:''’\-()"\p{{M}}\x{{200c}}\x{{200d}}{line_rules.SENTENCE_MARKS}{line_rules.OTHER_COMMAS}]', '', 'g')) > n
     OR length(regexp_replace(line, '[^|»›•·>]', '', 'g')) >= 3
     OR (n <= 12 AND len(list_filter(list_transform(string_split_regex(lower(line), '{SPACE}+'),
         lambda w: regexp_replace(w, '^[^{LETTER}]+|[^{LETTER}]+$', '', 'g')),

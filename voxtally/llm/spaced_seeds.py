@@ -7,16 +7,18 @@ document and item are compared at equal offsets: a window of 16 item words (the
 that holds the stretch must agree in 80 % of its words.
 
 The search is one pass of native columns over the documents, without a shuffle, as long as the seeds of the
-benchmark are few enough to be broadcast (their number is counted first). More seeds are joined by a shuffle
+benchmark are few enough to be broadcast (their number is counted first; a seed takes some 40 bytes, whatever its item,
+and the items' words, which are fewer than the seeds, eight each). More seeds are joined by a shuffle
 of the masked hashes, and the documents with hits are compared afterwards; the result is the same.
 
 The masks are short enough that no overlap of this kind is without a hit: in a window of 5 to 16 words with up to
 20 % substituted words, wherever they stand, a mask finds a stretch. The first two do so from 7 words on; the
 others are used only if the benchmark has items of 5 or 6 words. Items of up to three words are shorter than any
-mask and are searched for exactly, as a whole, so a one-word item overlaps with each document that has the word.
+mask and are searched for exactly, as a whole, so a one-word item overlaps with each document that has the word. Such
+overlaps are reported, but ``without_overlaps`` drops no document for them.
 
 Rows: a null or empty text has no words and no overlap. Repeated rows of documents or items give one row for
-their ids.
+their ids. Texts of any length are searched whole. An empty table on either side gives no overlap.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxtally.llm.common import written
+from voxtally.llm.common import free_name, written
 
 MASKS = ("1111", "11101", "11011", "10111")
 #: The masks that suffice for windows from so many words on.
@@ -34,6 +36,8 @@ WHOLE = ("1", "11", "111")
 WINDOW = 16
 MIN_AGREED = 80
 BROADCAST_SEEDS = 500_000
+#: Items of fewer words drop no document by themselves.
+LEAST_WORDS = 4
 
 
 def word_hashes(text: str) -> Column:
@@ -90,14 +94,14 @@ def masks_for(items: DataFrame) -> tuple[tuple[str, ...], int]:
 
 
 def benchmark_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """The distinct seeds (seed, item_id, item_words, item_place, span) of items (item_id, item_words)."""
+    """The distinct seeds (seed, item, item_place, span) of items (item, item_words)."""
     least = min(map(len, MASKS))
     parts = []
     for group in (tuple(m for m in masks if m not in WHOLE), *((m,) for m in masks if m in WHOLE)):
         fits = F.size("item_words") >= least if group[0] not in WHOLE else F.size("item_words") == len(group[0])
         place, span = place_of("position", "size(item_words)", group)
-        listed = items.filter(fits).select("item_id", "item_words", F.posexplode(seeds("item_words", group)).alias("position", "seed"))
-        parts.append(listed.select("seed", "item_id", place.alias("item_place"), span.alias("span"), "item_words"))
+        listed = items.filter(fits).select("item", "item_words", F.posexplode(seeds("item_words", group)).alias("position", "seed"))
+        parts.append(listed.select("seed", "item", place.alias("item_place"), span.alias("span")))
     probes = parts[0]
     for part in parts[1:]:
         probes = probes.unionAll(part)
@@ -109,19 +113,20 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] = ("do
 
     ``n_agreed`` is the largest number of words that agree in a window, ``window_words`` its length.
     """
-    items = benchmark.select(F.col("item_id").cast("long"), word_hashes("text").alias("item_words"))
+    items = benchmark.select(F.col("item_id").cast("long"), word_hashes("text").alias("item_words")).distinct()
+    items = items.withColumn("item", F.xxhash64("item_id", "item_words"))
     masks, size = masks_for(items)
     probes = benchmark_seeds(items, masks)
     rows = docs.select(*keys, word_hashes("text").alias("doc_words"))
     place, _ = place_of("position", "size(doc_words)", masks)
     if size <= BROADCAST_SEEDS:
         listed = rows.select(*keys, "doc_words", F.posexplode(seeds("doc_words", masks)).alias("position", "seed"))
-        hits = listed.join(F.broadcast(probes), "seed")
+        hits = listed.join(F.broadcast(probes), "seed").join(F.broadcast(items), "item")
     else:
         kept = written(rows.withColumn("row", F.monotonically_increasing_id()))
         listed = kept.select("row", F.posexplode(seeds("doc_words", masks)).alias("position", "seed"))
         found = listed.select("row", "position", "seed").join(probes, "seed").drop("seed")
-        hits = found.join(kept, "row")
+        hits = found.join(kept, "row").join(items, "item")
     compared = hits.select(
         *keys, "item_id", "item_words", "doc_words", place.alias("place"), "item_place", "span"
     ).select(
@@ -138,13 +143,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] = ("do
 
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that overlap with no benchmark item, all columns unchanged.
+    """The documents that overlap with no benchmark item of ``LEAST_WORDS`` words or more, all columns unchanged.
 
     Rows are told apart by id and text, so a row without id goes for its own text only.
     """
-    id_key, print_key = "__id", "__print"
-    keyed = docs.withColumn(id_key, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn(
-        print_key, F.xxhash64(F.col("text").cast("string"))
-    )
-    dirty = overlaps(keyed, benchmark, (id_key, print_key)).select(id_key, print_key)
-    return keyed.join(dirty, [id_key, print_key], "left_anti").select(docs.columns)
+    text_print = F.xxhash64(F.col("text").cast("string"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("row_id"), text_print.alias("row_print"), "text")
+    long_items = benchmark.filter(F.size(word_hashes("text")) >= LEAST_WORDS)
+    dirty = overlaps(keyed, long_items, ("row_id", "row_print")).select("row_id", "row_print").distinct()
+    dirty = dirty.toDF(id_key := free_name(docs, "row_id"), print_key := free_name(docs, "row_print"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_key)) & (text_print == F.col(print_key))
+    return docs.join(dirty, same, "left_anti")
