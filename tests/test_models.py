@@ -5,6 +5,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from voxtally.operators.splits import stratified_folds
 from voxtally.plans import forest, kernel_svm, text_classifier
 from voxtally.plans.training import prepare_forest_table, prepare_svm_table
 from voxtally.sinks.results import save_model
@@ -99,7 +100,7 @@ def test_kernel_svm_separates_rings_and_is_saved(spark, rings, tmp_path):
     loaded = PipelineModel.load(str(tmp_path / "svm")).transform(test).select("row_id", "prediction")
     assert loaded.exceptAll(run.model.transform(test).select("row_id", "prediction")).count() == 0
     table = kernel_svm.grid_search(data, {"C": [100.0], "gamma": [1e-6, 1.0]}, dimension=64, iterations=10).collect()
-    assert len(table) == 2 and table[1].accuracy > table[0].accuracy
+    assert table[0].deviation >= 0 and len(table) == 2 and table[1].accuracy > table[0].accuracy
     assert [r.chosen for r in table] == [False, True] and table[0].test_accuracy is None and table[1].test_accuracy > 0.9
 
 
@@ -111,6 +112,20 @@ def test_parameters_are_chosen_without_the_test_side(rings):
     assert [[r[:4] for r in t] for t in tables][0] == [[r[:4] for r in t] for t in tables][1]
 
 
+def test_folds_are_predicted_by_fits_on_the_others(rings):
+    """Against fits on folds cut out by hand."""
+    data = kernel_svm.prepare(rings.drop("empty"), "Score")
+    options = {"dimension": 32, "iterations": 8}
+    got = kernel_svm.fold_accuracies(data, [1.0, 100.0], 0.5, folds=3, **options)
+    train = stratified_folds(data.rows.filter("split = 'train'"), data.key, "target", 3, kernel_svm.SEED + 1)
+    for fold in range(3):
+        split = F.when(F.col("fold") == fold, "test").otherwise("train")
+        by_hand = replace(data, rows=train.withColumn("split", split).drop("fold"))
+        for i, C in enumerate((1.0, 100.0)):
+            want = kernel_svm.fit(by_hand, C=C, gamma=0.5, **options).accuracy().first()[0]
+            assert abs(got[i][fold] - want) < 1e-9
+
+
 def test_three_classes(spark, rings):
     third = rings.drop("empty").withColumn("Score", F.when(F.col("row_id") % 3 == 0, "far").otherwise(F.col("Score")))
     moved = third.withColumn("x", F.when(F.col("Score") == "far", "9.0").otherwise(F.col("x")))

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -102,3 +103,25 @@ def test_split_neither_sorts_nor_shuffles_the_rows(spark, sf_dir):
     got = splits.stratified_split(rows, "o_orderkey", "o_orderstatus", 0.2)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "Window" not in plan and "Sort" not in plan
+
+
+@pytest.mark.parametrize("folds", [2, 3, 10])
+def test_folds_are_exact_by_class_and_in_all(spark, folds):
+    rng = random.Random(folds)
+    labels = ["a"] * 700 + ["b"] * 61 + [None] * 5 + ["c"] * 2 + ["d"]
+    rng.shuffle(labels)
+    df = spark.createDataFrame(list(enumerate(labels)), "id long, label string")
+    got = splits.stratified_folds(df, "id", "label", folds, bucket_rows=20).collect()
+    assert len(got) == len(labels) and {r.fold for r in got} == set(range(folds))
+    for kind in {*labels, "all"}:
+        sizes = [sum(r.fold == k and kind in (r.label, "all") for r in got) for k in range(folds)]
+        assert max(sizes) - min(sizes) <= 1, (kind, sizes)
+    again = splits.stratified_folds(df.repartition(3), "id", "label", folds).collect()
+    assert sorted((r.id, r.fold) for r in again) == sorted((r.id, r.fold) for r in got)
+
+
+def test_folds_need_two(spark):
+    with pytest.raises(ValueError, match="at least 2"):
+        splits.stratified_folds(spark.range(9), "id", None, 1)
+    plain = splits.stratified_folds(spark.range(9), "id", None, 3).groupBy("fold").count().collect()
+    assert [r["count"] for r in plain] == [3, 3, 3]

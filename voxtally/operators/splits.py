@@ -84,6 +84,24 @@ def _fetch(df: DataFrame, largest: str) -> tuple[DataFrame, int]:
     return broadcast_table(df, table), pc.max(table[largest]).as_py() or 0
 
 
+def fold_quotas(counts: DataFrame, folds: int) -> DataFrame:
+    """Rows of each class in the first folds up to each one but the last: ``stratum, cut, quota``.
+
+    Rows are dealt in turn to the folds, class after class, so that sizes differ by one row at most, within each
+    class and in all.
+    """
+    before = Window.orderBy(F.asc_nulls_first("stratum")).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = lambda place: (  # noqa: E731  of the first rows of all classes, those in folds up to the cut's
+        F.call_function("div", place, F.lit(folds)) * (F.col("cut") + 1) + F.least(place % folds, F.col("cut") + 1)
+    )
+    first = F.col("first")
+    return (
+        counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long"))
+        .select("stratum", "n", "first", F.explode(F.sequence(F.lit(0), F.lit(folds - 2))).alias("cut"))
+        .select("stratum", "cut", (dealt(first + F.col("n")) - dealt(first)).alias("quota"))
+    )
+
+
 def cut_rows(
     df: DataFrame,
     key: str,
@@ -91,10 +109,12 @@ def cut_rows(
     fractions: Sequence[float],
     seed: int | str,
     bucket_rows: int = BUCKET_ROWS,
+    folds: int | None = None,
 ) -> DataFrame:
     """Per class the last row inside each fraction: ``stratum, cut_0, cut_1, ...``.
 
-    A cut is a struct of hash and key, NULL if the class gives no row to that fraction.
+    A cut is a struct of hash and key, NULL if the class gives no row to that fraction. With ``folds`` the cuts are the
+    last rows of the folds but the last one, instead of those of ``fractions``.
     """
     hashed = df.select(stratum.alias("stratum"), split_hash(seed, key).alias("hash"), F.col(key).alias("key"))
 
@@ -102,7 +122,9 @@ def cut_rows(
     buckets = hashed.groupBy("stratum", F.substring("hash", 1, digits).alias("bucket")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    quotas = class_quotas(buckets.groupBy("stratum").agg(F.sum("n").alias("n")), fractions)
+    counts = buckets.groupBy("stratum").agg(F.sum("n").alias("n"))
+    quotas = class_quotas(counts, fractions) if folds is None else fold_quotas(counts, folds)
+    n_cuts = len(fractions) if folds is None else folds - 1
     named = quotas.withColumnRenamed("stratum", "_stratum")
     with_quota = buckets.join(named, F.col("stratum").eqNullSafe(F.col("_stratum"))).drop("_stratum")
     columns = ("stratum", "cut", "bucket", "n", "quota")
@@ -119,7 +141,7 @@ def cut_rows(
     last = _at_quota(_running(candidates.agg(F.count(F.lit(1)).alias("n")), "hash", "key"))
     wide = last.groupBy("stratum").agg(
         F.max("n").alias("copies"),
-        *[F.max(F.when(F.col("cut") == i, F.struct("hash", "key"))).alias(f"cut_{i}") for i in range(len(fractions))],
+        *[F.max(F.when(F.col("cut") == i, F.struct("hash", "key"))).alias(f"cut_{i}") for i in range(n_cuts)],
     )
     cuts, copies = _fetch(wide, "copies")
     if copies > 1:
@@ -200,6 +222,31 @@ def three_way_split(
     return joined.withColumn(name, side).drop("_held", "_stratum", "cut_0")
 
 
+def stratified_folds(
+    df: DataFrame,
+    key: str,
+    label: str | None,
+    folds: int = 5,
+    seed: int | str = 42,
+    name: str = "fold",
+    bucket_rows: int = BUCKET_ROWS,
+) -> DataFrame:
+    """Add the number of the row's fold, 0 to ``folds - 1``, dealt by class.
+
+    The last row of every fold and class is found in one descent; a row's fold then follows from comparisons.
+    """
+    if folds < 2:
+        raise ValueError(f"{folds} fold(s), at least 2 needed")
+    stratum = F.lit(0) if label is None else F.col(label)
+    cuts = cut_rows(df, key, stratum, (), seed, bucket_rows, folds).withColumnRenamed("stratum", "_stratum")
+    position = F.struct(split_hash(seed, key).alias("hash"), F.col(key).alias("key"))
+    fold = F.lit(folds - 1)
+    for i in reversed(range(folds - 1)):
+        fold = F.when(F.coalesce(position <= F.col(f"cut_{i}"), F.lit(False)), i).otherwise(fold)
+    joined = df.join(cuts, stratum.eqNullSafe(F.col("_stratum")), "left")
+    return joined.withColumn(name, fold).drop("_stratum", *(f"cut_{i}" for i in range(folds - 1)))
+
+
 SPLIT_RATIOS = {"60/40": 0.4, "70/30": 0.3, "80/20": 0.2}
 
 

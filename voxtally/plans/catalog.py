@@ -441,6 +441,19 @@ def stratified_split(spark, sf_dir):
     return splits.stratified_split(rows, "vec_id", "label", 0.4)
 
 
+@query
+def stratified_folds(spark, sf_dir):
+    rows = views.features(spark, sf_dir).select("vec_id", "label")
+    return splits.stratified_folds(rows, "vec_id", "label", 5)
+
+
+@query
+def stratified_folds_orders(spark, sf_dir):
+    """Seven folds of the orders, by status."""
+    rows = views.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return splits.stratified_folds(rows, "o_orderkey", "o_orderstatus", 7)
+
+
 @query
 def stratified_split_orders(spark, sf_dir):
     """An 80/20 split of the orders, by status."""
@@ -679,7 +692,7 @@ def kernel_svm_predictions(spark, sf_dir):
 @query
 def grid_search(spark, sf_dir):
     data = kernel_svm.prepare(views.features(spark, sf_dir), "label", "vec_id")
-    return kernel_svm.grid_search(data, {"C": [10.0, 100.0], "gamma": [0.001]})
+    return kernel_svm.grid_search(data, {"C": [10.0, 100.0], "gamma": [0.001]}, folds=3, dimension=256, iterations=20)
 
 
 @query

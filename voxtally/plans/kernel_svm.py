@@ -8,7 +8,7 @@ machine on them is a kernel machine on the original features; the error falls wi
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,13 +26,13 @@ from pyspark.storagelevel import StorageLevel
 from voxtally.operators import metrics
 from voxtally.operators.classes import decode_labels, encode_labels, label_index, with_class_weights
 from voxtally.operators.features import Standardizer
-from voxtally.operators.splits import stratified_split
+from voxtally.operators.splits import stratified_folds, stratified_split
 from voxtally.plans.training import KEY, TARGET, TrainingRun, prepare_svm_table
 
 # The machine's parameters.
 GRID = {"C": [100.0], "gamma": [0.001]}
 TEST_FRACTION, SEED = 0.4, 42
-VALIDATION_FRACTION = 0.25
+FOLDS = 5
 DIMENSION = 1024
 
 
@@ -164,28 +164,55 @@ def train_kernel_svm(df: DataFrame, target: str, key: str = KEY, **parameters) -
     return fit(prepare(df, target, key), **parameters)
 
 
-def grid_search(
+def fold_accuracies(
     data: SvmData,
-    grid: dict[str, list[float]] | None = None,
-    validation_fraction: float = VALIDATION_FRACTION,
-    **parameters,
+    values: list[float],
+    gamma: float,
+    folds: int = FOLDS,
+    dimension: int = DIMENSION,
+    iterations: int = 50,
+    seed: int = SEED,
+    parallelism: int = 4,
+) -> list[list[float]]:
+    """For each value of C the accuracy on each fold of the training side, by a fit on the other folds.
+
+    The training side is scaled and mapped once. A fold is a mask: a fit takes the rows of the others, with class
+    weights of their own, and the accuracy those of the fold.
+    """
+    train = stratified_folds(data.rows.filter("split = 'train'").drop("split"), data.key, TARGET, folds, seed + 1)
+    mapping = FourierFeatures(inputCol="scaled", gamma=gamma, dimension=dimension, seed=seed)
+    mapped = mapping.transform(data.scaler.stage().transform(train)).select("label_index", "fold", "features")
+    mapped = mapped.persist(StorageLevel.MEMORY_AND_DISK)
+    classes, found = data.labels.count(), [[] for _ in values]
+    for fold in range(folds):
+        others = with_class_weights(mapped.filter(F.col("fold") != fold), "label_index").drop("fold")
+        others = others.persist(StorageLevel.MEMORY_AND_DISK)
+        size, held = others.count(), mapped.filter(F.col("fold") == fold)
+        for i, C in enumerate(values):
+            model = _machine(classes, 1.0 / (C * size), iterations, parallelism).fit(others)
+            hit = (F.col("prediction") == F.col("label_index")).cast("double")
+            found[i].append(model.transform(held).agg(F.avg(hit)).first()[0] or 0.0)
+        others.unpersist()
+    mapped.unpersist()
+    return found
+
+
+def grid_search(
+    data: SvmData, grid: dict[str, list[float]] | None = None, folds: int = FOLDS, **parameters
 ) -> DataFrame:
-    """``C, gamma, accuracy, chosen, test_accuracy`` for every combination of the grid.
+    """``C, gamma, accuracy, chosen, test_accuracy, deviation`` for every combination of the grid.
 
-    ``accuracy`` is measured on a part of the training side that the fits do not see. The best combination (the
-    first of equals) is fitted on the whole training side and only then meets the test side.
+    ``accuracy`` and ``deviation`` are mean and standard deviation over stratified folds of the training side, each
+    predicted by a fit on the others. The best combination (the first of equals) is fitted on the whole training
+    side and only then meets the test side.
     """
-    grid = grid or GRID
-    train = data.rows.filter("split = 'train'").drop("split")
-    inner = stratified_split(train, data.key, TARGET, validation_fraction, SEED + 1, stratify=True)
-    scaler = Standardizer.fit(inner.filter("split = 'train'"))
-    choosing, rows = replace(data, rows=inner, scaler=scaler), []
+    grid, rows = grid or GRID, []
     for gamma in grid["gamma"]:
-        for C, run in zip(grid["C"], _fit_all(choosing, grid["C"], gamma, **parameters), strict=True):
-            rows.append((float(C), float(gamma), metrics.accuracy(run.predictions).first()["accuracy"]))
-    best = max(range(len(rows)), key=lambda i: (rows[i][2] or 0.0, -i))
+        for C, found in zip(grid["C"], fold_accuracies(data, grid["C"], gamma, folds, **parameters), strict=True):
+            rows.append((float(C), float(gamma), float(np.mean(found)), float(np.std(found))))
+    best = max(range(len(rows)), key=lambda i: (rows[i][2], -i))
     final = fit(data, rows[best][0], rows[best][1], **parameters)
     tested = metrics.accuracy(final.predictions).first()["accuracy"]
-    table = [(*row, i == best, tested if i == best else None) for i, row in enumerate(rows)]
-    schema = "C double, gamma double, accuracy double, chosen boolean, test_accuracy double"
+    table = [(C, gamma, mean, i == best, tested if i == best else None, deviation) for i, (C, gamma, mean, deviation) in enumerate(rows)]
+    schema = "C double, gamma double, accuracy double, chosen boolean, test_accuracy double, deviation double"
     return data.rows.sparkSession.createDataFrame(table, schema)

@@ -105,6 +105,17 @@ def two_way(source: str, key: str, stratum: str, fraction: float, name: str = "p
 {name} AS (SELECT * EXCLUDE (drawn), CASE WHEN drawn THEN 'test' ELSE 'train' END AS split FROM {name}_m)"""
 
 
+def folds(source: str, key: str, stratum: str, count: int) -> str:
+    """Rows dealt in turn to the folds, class after class; a class's rows then go to its folds in the hash's order."""
+    return f"""dealt AS (
+  SELECT {stratum} AS s, (row_number() OVER (ORDER BY {stratum}) - 1) % {count} AS fold FROM {source}),
+sizes AS (SELECT s, fold, count(*) AS n FROM dealt GROUP BY s, fold),
+upto AS (SELECT s, fold, sum(n) OVER (PARTITION BY s ORDER BY fold) AS last FROM sizes),
+hashed AS (SELECT {key}, {stratum}, row_number() OVER (PARTITION BY {stratum} ORDER BY md5('42:' || {key})) AS place FROM {source}),
+folded AS (SELECT {key}, {stratum}, CAST(min(fold) AS INTEGER) AS fold FROM hashed JOIN upto ON s = {stratum} AND place <= last
+  GROUP BY {key}, {stratum})"""
+
+
 def three_way(source: str, key: str, stratum: str, name: str = "parted") -> str:
     first = draws(source, key, stratum, 0.2, "42", f"{name}_h", "held")
     second = draws(f"{name}_hh", key, stratum, 0.5, "42:2", f"{name}_t", "tested")
@@ -161,30 +172,27 @@ traced AS (
 
 
 def _runs() -> str:
-    models = {
+    leads = {
         "terms": "positive_terms - negative_terms",
         "patterns": "positive_patterns - negative_patterns",
         "rules": "positive - negative",
     }
-    cells, selects = [], []
-    for model, lead in models.items():
-        for ratio in SPLIT_RATIOS:
-            for number, (stage, margin) in enumerate(views.STAGE_MARGINS.items()):
-                hit = f"(CASE WHEN {lead} > {margin} THEN 'Positive' ELSE 'Negative' END) = ({CANONICAL})"
-                cells.append(
-                    f"100.0::DOUBLE * avg(CASE WHEN {hit} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) "
-                    f"FILTER (WHERE {ratio_column(ratio)} = 'test') AS a{len(cells)}"
-                )
-                selects.append(
-                    f"SELECT '{model}' AS model, '{ratio}' AS split_ratio, {number} AS stage_no, '{stage}' AS stage, "
-                    f"a{len(cells) - 1} AS accuracy FROM cells"
-                )
-    return (
-        f"{COMMENTS}, labelled AS (SELECT * FROM comments WHERE label IS NOT NULL), "
-        f"{scored('labelled', name='scored_m')}, scored AS MATERIALIZED (SELECT * EXCLUDE (text, low) FROM scored_m), "
-        f"{ratio_split('scored', 'comment_id', 'label')}, cells AS MATERIALIZED (SELECT {', '.join(cells)} FROM parted), "
-        "runs AS MATERIALIZED (" + " UNION ALL ".join(selects) + ")"
-    )
+    models = ", ".join(f"{{'model': '{model}', 'lead': {lead}}}" for model, lead in leads.items())
+    sides = ", ".join(f"{{'split_ratio': '{ratio}', 'side': {ratio_column(ratio)}}}" for ratio in SPLIT_RATIOS)
+    stages = ", ".join(f"({i}, '{stage}', {margin})" for i, (stage, margin) in enumerate(views.STAGE_MARGINS.items()))
+    return f"""{COMMENTS}, labelled AS (SELECT * FROM comments WHERE label IS NOT NULL),
+{scored('labelled', name='scored_m')},
+scored AS MATERIALIZED (SELECT * EXCLUDE (text, low) FROM scored_m),
+{ratio_split('scored', 'comment_id', 'label')},
+tested AS MATERIALIZED (SELECT {CANONICAL} AS truth, m.model, m.lead, r.split_ratio
+  FROM parted, unnest([{models}]) AS t(m), unnest([{sides}]) AS u(r) WHERE r.side = 'test'),
+stages(stage_no, stage, margin) AS (VALUES {stages}),
+runs AS MATERIALIZED (
+  SELECT model, split_ratio, stage_no, stage,
+    100.0::DOUBLE * avg(CASE WHEN (CASE WHEN lead > margin THEN 'Positive' ELSE 'Negative' END) = truth
+                             THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS accuracy
+  FROM tested, stages GROUP BY ALL)"""
+
 
 
 def _report(source: str, digits: int) -> str:
@@ -411,6 +419,10 @@ def statements() -> dict[str, str]:
         "stratified_split": f"""
             WITH base AS (SELECT vec_id, label FROM embeddings), {two_way('base', 'vec_id', 'label', 0.4)}
             SELECT vec_id, label, split FROM parted""",
+        "stratified_folds": f"""
+            WITH {folds('embeddings', 'vec_id', 'label', 5)} SELECT vec_id, label, fold FROM folded""",
+        "stratified_folds_orders": f"""
+            WITH {folds('orders', 'o_orderkey', 'o_orderstatus', 7)} SELECT o_orderkey, o_orderstatus, fold FROM folded""",
         "stratified_split_orders": f"""
             WITH base AS (SELECT o_orderkey, o_orderstatus FROM orders),
             {two_way('base', 'o_orderkey', 'o_orderstatus', 0.2)}
@@ -505,11 +517,11 @@ def statements() -> dict[str, str]:
             FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY accuracy DESC, split_ratio, stage_no) AS rn
                   FROM runs) WHERE rn = 1""",
         "gain_over_baseline": f"""
-            WITH {_runs()} SELECT b.model, b.split_ratio, b.stage, round(b.accuracy, 6) AS accuracy,
-                round(f.accuracy, 6) AS baseline, round(b.accuracy - f.accuracy, 6) AS gain
-            FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY accuracy DESC, split_ratio, stage_no) AS rn
-                  FROM runs) b
-            JOIN runs f ON f.model = b.model AND f.split_ratio = b.split_ratio AND f.stage_no = 0 WHERE rn = 1""",
+            WITH {_runs()}, ranked AS (
+              SELECT *, first_value(accuracy) OVER (PARTITION BY model, split_ratio ORDER BY stage_no) AS baseline,
+                     row_number() OVER (PARTITION BY model ORDER BY accuracy DESC, split_ratio, stage_no) AS rn FROM runs)
+            SELECT model, split_ratio, stage, round(accuracy, 6) AS accuracy, round(baseline, 6) AS baseline,
+                   round(accuracy - baseline, 6) AS gain FROM ranked WHERE rn = 1""",
         "stage_gain": f"""
             WITH {_runs()} SELECT r.model, r.split_ratio, r.stage_no, r.stage, round(r.accuracy, 6) AS accuracy,
                 round(r.accuracy - p.accuracy, 6) AS change
