@@ -98,14 +98,18 @@ def test_memories_stay_within_their_bytes():
     rng = random.Random(6)
     long = ["漢字" * 6000 + str(i) for i in range(30)] + ["x" * 50_000]
     many = [" ".join(str(rng.random()) for _ in range(400)) for _ in range(250)]
-    encoder = segment_bpe.encoder(MULTI_RANKS, PATTERN)
-    counter, files = token_counts.counter(RANKS, PATTERN), token_files.text_encoder(JSON_TOKENIZER, PATTERN)
+    encoder = segment_bpe.Encoder(pieces.read_ranks(MULTI_RANKS), PATTERN)
+    counter = token_counts.Counter(token_counts.Automaton(pieces.read_ranks(RANKS)), PATTERN)
+    files = token_files.TextEncoder(JSON_TOKENIZER, PATTERN)
+    for memory in (encoder.memory, counter.memory, files.memory, files.matches):
+        memory.room = 4 << 20
     for text in long + many:
         list(encoder.encode([text])), counter.counts(text), files.encode(text)
     for memory in (encoder.memory, counter.memory, files.memory, files.matches):
         assert memory and memory.used <= memory.room // 2 and max(map(len, memory)) <= pieces.LONGEST
         for part in (memory, memory.old):
-            assert sum(pieces.ENTRY + len(k) + 8 * len(v) for k, v in part.items()) <= memory.room // 2 + 4096
+            sizes = (len(k) + len(v) * (1 if type(v) is bytes else pieces.NUMBER) for k, v in part.items())
+            assert sum(pieces.ENTRY + x for x in sizes) <= memory.room // 2 + 4096
 
 
 def test_random_access(tmp_path):

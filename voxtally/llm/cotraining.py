@@ -12,8 +12,8 @@ odds of a view are corrected by what the classes' shares in the sample differ fr
 quarter of each class is kept aside; if that is fewer than ``LEAST`` rows of a class, the views' odds are used
 without calibration. The pool is every document without a label. All of it above ``SURE`` is handed over; where that
 is more than the sample has of a class, each row weighs less, so that together they weigh as much as the labelled
-rows of the class. The figures of all documents are written once; rounds and fits read them in as many tasks as there
-are parts. All documents are scored, on their whole texts.
+rows of the class. The figures of all documents are written once; rounds and fits read them in a task for each
+``FIT_ROWS`` rows. All documents are scored, on their whole texts.
 
 Rows: a null text counts as an empty one, and very long ones are read whole, in time that grows with their length;
 missing metadata is left out of the view. Repeated rows take part, and are scored, as often as they occur. Ids with
@@ -49,6 +49,8 @@ THRESHOLD = 0.5
 TRIGRAMS = 40
 META_FEATURES = 512
 FIT_STEPS = 25
+#: Rows of a task of a fit: a step over few rows is one short task.
+FIT_ROWS = 25_000
 REGULARIZATION = 0.001
 #: Log odds of a view are held within this bound.
 MOST_ODDS = 8.0
@@ -199,7 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     pooled = keyed.select(*columns).join(known.select("doc_id"), "doc_id", "left_anti")
     both = labelled.unionByName(pooled.withColumn("label", F.lit(None).cast("double")))
     rows = written(both.select("doc_id", "label", *META, content_column(F.col("text"), both).alias("content")))
-    rows = _views(rows).select("doc_id", "label", "view", "meta", F.lit(1.0).alias("weight"))
+    parts = -(-rows.count() // FIT_ROWS)
+    rows = _views(rows.coalesce(max(1, parts))).select("doc_id", "label", "view", "meta", F.lit(1.0).alias("weight"))
     own = rows.filter("label is not null").select("doc_id", "label").distinct().collect()
     of_class = [sorted((r.doc_id for r in own if r.label == label), key=_order) for label in (0.0, 1.0)]
     held = [doc_id for listed in of_class for doc_id in listed[::4]]

@@ -15,10 +15,10 @@ import public_tokenizers
 import regex
 
 #: Bytes that a memory may take in a worker, and the characters of the longest string it keeps.
-ROOM = 24 << 20
+ROOM = 64 << 20
 LONGEST = 64
-#: Bytes of an entry besides its contents: key and value objects and their place in a table.
-ENTRY = 250
+#: Bytes of an entry besides its contents (key and value objects and their place in a table), and of a number in a tuple.
+ENTRY, NUMBER = 160, 36
 MARK = "\x00"
 
 _not_before_word = re.compile(r" (?:\s|$)")
@@ -53,7 +53,7 @@ class Memory(dict):
         """Remember a value; long strings are not."""
         if len(part) <= LONGEST:
             self[part] = value
-            self.used += ENTRY + len(part) + 8 * len(value)
+            self.used += ENTRY + len(part) + len(value) * (1 if type(value) is bytes else NUMBER)
             if self.used > self.room // 2:
                 self.old, self.used = dict(self), 0
                 self.clear()
