@@ -15,9 +15,10 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 
 
 def class_distribution(df: DataFrame, label: str) -> DataFrame:
-    """Rows and percent per class. The total is a window over the finished counts."""
-    total = F.sum("n").over(Window.partitionBy())
-    return class_counts(df, label).withColumn("percent", percent("n", total))
+    """Rows and percent per class. The total, one row, is added up from the finished counts."""
+    counts = class_counts(df, label)
+    whole = counts.agg(F.sum("n").alias("_total"))
+    return counts.crossJoin(F.broadcast(whole)).withColumn("percent", percent("n", F.col("_total"))).drop("_total")
 
 
 def class_summary(df: DataFrame, label: str) -> DataFrame:
@@ -29,10 +30,10 @@ def class_summary(df: DataFrame, label: str) -> DataFrame:
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weight ``n / (classes * n_class)`` per class."""
-    everything = Window.partitionBy()
     counts = class_counts(df.filter(F.col(label).isNotNull()), label)
-    total, classes = F.sum("n").over(everything), F.count(F.lit(1)).over(everything)
-    return counts.withColumn("weight", total / (classes * F.col("n")))
+    whole = counts.agg(F.sum("n").alias("_total"), F.count(F.lit(1)).alias("_classes"))
+    weight = F.col("_total") / (F.col("_classes") * F.col("n"))
+    return counts.crossJoin(F.broadcast(whole)).withColumn("weight", weight).drop("_total", "_classes")
 
 
 def with_class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:

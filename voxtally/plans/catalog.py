@@ -21,10 +21,11 @@ from voxtally.operators import (
     runs,
     search_index,
     splits,
+    time_formats,
     trends,
     words,
 )
-from voxtally.plans import epochs, forest, kernel_svm, text_classifier, views
+from voxtally.plans import epochs, forest, kernel_svm, nystrom, text_classifier, views
 from voxtally.session import new_table_path, written
 from voxtally.sinks import results
 from voxtally.sources import csv
@@ -73,6 +74,31 @@ def rejected_timestamps(spark, sf_dir):
     return comments.rejected_timestamps(views.table(spark, sf_dir, "events").select(written.alias("createTimeISO")))
 
 
+def _written_times(spark, sf_dir):
+    """Times in three layouts by the number of the event; every eleventh is out of its layout's order or no time."""
+    kind = F.col("event_id") % 3
+    shown = (
+        F.when(F.col("event_id") % 11 == 5, F.concat(F.lit("12/"), F.dayofmonth("ts") + 12, F.lit("/2024")))
+        .when(kind == 0, F.date_format("ts", "dd/MM/yyyy HH:mm:ss"))
+        .when(kind == 1, times.display_time("ts"))
+        .otherwise(F.date_format("ts", "yyyyMMdd HHmmss"))
+    )
+    shown = F.regexp_replace(shown, " at ", " ")
+    return views.table(spark, sf_dir, "events").select("event_id", shown.alias("createTimeISO"))
+
+
+@query
+def inferred_times(spark, sf_dir):
+    """Times read in the layouts that the column itself tells, day and month by majority."""
+    return time_formats.parse_inferred(_written_times(spark, sf_dir), "createTimeISO")
+
+
+@query
+def time_formats_found(spark, sf_dir):
+    """The layouts of the column, the order that holds in each, and how many texts it rejects."""
+    return time_formats.decided(time_formats.votes(_written_times(spark, sf_dir), "createTimeISO"))
+
+
 @query
 def display_times(spark, sf_dir):
     shown = times.display_time("createTimeISO").alias("shown_at")
@@ -689,6 +715,21 @@ def kernel_svm_predictions(spark, sf_dir):
     return kernel_svm.train_kernel_svm(views.features(spark, sf_dir), "label", "vec_id").predictions
 
 
+@query
+def kernel_svm_nystrom_predictions(spark, sf_dir):
+    """The machine with landmarks of the training side instead of random features."""
+    data = kernel_svm.prepare(views.features(spark, sf_dir), "label", "vec_id")
+    return kernel_svm.fit(data, dimension=128, iterations=20, kernel_map="nystrom").predictions
+
+
+@query
+def nystrom_error(spark, sf_dir):
+    """How far landmarks are from the exact kernel, over all rows."""
+    rows = views.packed_features(spark, sf_dir)
+    points = nystrom.landmarks(rows, "vec_id", "values", 0.001, 64)
+    return nystrom.error_bound(rows, "values", points, 0.001)
+
+
 @query
 def grid_search(spark, sf_dir):
     data = kernel_svm.prepare(views.features(spark, sf_dir), "label", "vec_id")

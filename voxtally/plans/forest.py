@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voxtally.operators.classes import decode_labels, encode_labels, label_index
 from voxtally.operators.columns import to_vector
 from voxtally.operators.splits import stratified_split
-from voxtally.plans.training import FIT_PARTS, KEY, TARGET, TrainingRun, laid_out, prepare_forest_table
+from voxtally.plans.training import KEY, TARGET, TrainingRun, laid_out, prepare_forest_table
 
 # The forest's parameters. A leaf of three rows implies the minimum of five (six)
 # rows for a split.
@@ -39,11 +39,12 @@ def train_forest(
     trees: int = TREES,
     depth: int = DEPTH,
     seed: int = SEED,
-    parts: int = FIT_PARTS,
+    parts: int | None = None,
 ) -> TrainingRun:
     """Clean, split by class where possible, fit, predict the test side.
 
-    The training rows are laid out by key in ``parts`` partitions, so that equal rows give an equal forest.
+    The training rows are laid out by key in ``parts`` partitions (as many as their number asks for), so that equal
+    rows give an equal forest.
     """
     table = prepare_forest_table(df, target, key)
     index = label_index(table.rows, TARGET)

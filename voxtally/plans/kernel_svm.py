@@ -2,7 +2,8 @@
 
 Spark fits linear machines. Random Fourier features (Rahimi and Recht, 2007) map a row to
 ``sqrt(2/D) cos(Wx + b)``, whose inner products approximate the radial kernel, so that a linear
-machine on them is a kernel machine on the original features; the error falls with ``D``.
+machine on them is a kernel machine on the original features; the error falls with ``D``. ``kernel_map="nystrom"``
+takes features that fit the data instead (:mod:`voxtally.plans.nystrom`), with at most ``D`` landmarks.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from voxtally.operators import metrics
 from voxtally.operators.classes import decode_labels, encode_labels, label_index, with_class_weights
 from voxtally.operators.features import Standardizer
 from voxtally.operators.splits import stratified_folds, stratified_split
+from voxtally.plans import nystrom
 from voxtally.plans.training import KEY, TARGET, TrainingRun, prepare_svm_table
 
 # The machine's parameters.
@@ -96,6 +98,16 @@ def prepare(
     return SvmData(split, table.names, labels, scaler, key)
 
 
+def feature_map(train: DataFrame, key: str, kernel_map: str, gamma: float, dimension: int, seed: int) -> Transformer:
+    """The map of scaled rows to features: random ones, or by landmarks of the given (scaled) rows."""
+    if kernel_map == "fourier":
+        return FourierFeatures(inputCol="scaled", gamma=gamma, dimension=dimension, seed=seed)
+    if kernel_map != "nystrom":
+        raise ValueError(f"no such map: {kernel_map}")
+    found = nystrom.landmarks(train, key, "scaled", gamma, dimension, seed=seed)
+    return nystrom.NystromFeatures.by(found, "scaled", gamma)
+
+
 def _machine(classes: int, regularization: float, iterations: int, parallelism: int):
     linear = LinearSVC(
         featuresCol="features",
@@ -124,9 +136,10 @@ def fit(
     iterations: int = 50,
     seed: int = SEED,
     parallelism: int = 4,
+    kernel_map: str = "fourier",
 ) -> TrainingRun:
     """Fit with class weights and predict the test side."""
-    return _fit_all(data, [C], gamma, dimension, iterations, seed, parallelism)[0]
+    return _fit_all(data, [C], gamma, dimension, iterations, seed, parallelism, kernel_map)[0]
 
 
 def _fit_all(
@@ -137,15 +150,16 @@ def _fit_all(
     iterations: int = 50,
     seed: int = SEED,
     parallelism: int = 4,
+    kernel_map: str = "fourier",
 ) -> list[TrainingRun]:
     """A run for each value of C; the rows are scaled and mapped once for all of them.
 
     Balanced weights sum up to the rows, which turns C into Spark's regularisation ``1 / (C * rows)``.
     """
     scaling = data.scaler.stage()
-    mapping = FourierFeatures(inputCol="scaled", gamma=gamma, dimension=dimension, seed=seed)
-    train = with_class_weights(data.rows.filter("split = 'train'"), "label_index")
-    mapped = mapping.transform(scaling.transform(train)).select("label_index", "weight", "features")
+    train = scaling.transform(with_class_weights(data.rows.filter("split = 'train'"), "label_index"))
+    mapping = feature_map(train, data.key, kernel_map, gamma, dimension, seed)
+    mapped = mapping.transform(train).select("label_index", "weight", "features")
     mapped = mapped.persist(StorageLevel.MEMORY_AND_DISK)
     size, classes = mapped.count(), data.labels.count()
     models = [_machine(classes, 1.0 / (C * size), iterations, parallelism).fit(mapped) for C in values]
@@ -173,6 +187,7 @@ def fold_accuracies(
     iterations: int = 50,
     seed: int = SEED,
     parallelism: int = 4,
+    kernel_map: str = "fourier",
 ) -> list[list[float]]:
     """For each value of C the accuracy on each fold of the training side, by a fit on the other folds.
 
@@ -180,8 +195,9 @@ def fold_accuracies(
     weights of their own, and the accuracy those of the fold.
     """
     train = stratified_folds(data.rows.filter("split = 'train'").drop("split"), data.key, TARGET, folds, seed + 1)
-    mapping = FourierFeatures(inputCol="scaled", gamma=gamma, dimension=dimension, seed=seed)
-    mapped = mapping.transform(data.scaler.stage().transform(train)).select("label_index", "fold", "features")
+    train = data.scaler.stage().transform(train)
+    mapping = feature_map(train, data.key, kernel_map, gamma, dimension, seed)
+    mapped = mapping.transform(train).select("label_index", "fold", "features")
     mapped = mapped.persist(StorageLevel.MEMORY_AND_DISK)
     classes, found = data.labels.count(), [[] for _ in values]
     for fold in range(folds):

@@ -259,6 +259,18 @@ def statements() -> dict[str, str]:
                 WHEN 1 THEN date_trunc('second', ts) - INTERVAL 8 HOUR
                 WHEN 2 THEN date_trunc('second', ts) END AS createTimeISO FROM events""",
         "rejected_timestamps": "SELECT count(*) AS rejected FROM events WHERE event_id % 5 = 0",
+        "inferred_times": """
+            SELECT event_id, CASE WHEN event_id % 11 = 5 THEN NULL
+              WHEN event_id % 3 = 1 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END AS createTimeISO
+            FROM events""",
+        "time_formats_found": """
+            WITH e AS (
+              SELECT event_id % 11 = 5 AS odd, event_id % 3 AS kind, day(ts) AS d FROM events)
+            SELECT '1/2/2024' AS layout, 'day first' AS "order",
+              count(*) FILTER (WHERE NOT odd AND kind = 0) AS parsed, count(*) FILTER (WHERE odd) AS rejected,
+              count(*) FILTER (WHERE NOT odd AND kind = 0 AND d <= 12) AS undecided FROM e
+            UNION ALL SELECT 'Jan 2, 2024', 'only', count(*), 0, 0 FROM e WHERE NOT odd AND kind = 1
+            UNION ALL SELECT '20240102', 'only', count(*), 0, 0 FROM e WHERE NOT odd AND kind = 2""",
         "display_times": f"WITH {COMMENTS} SELECT comment_id, {DISPLAY} AS shown_at FROM comments",
         "elapsed_times": """
             WITH t AS (SELECT event_id, CAST(round_even(value * 3600.5::DOUBLE, 0) AS BIGINT) AS s FROM events),

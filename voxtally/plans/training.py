@@ -23,7 +23,8 @@ from voxtally.session import written
 
 KEY = "row_id"
 TARGET = "target"
-FIT_PARTS = 32
+#: Training rows of a partition, and partitions of a small table.
+PART_ROWS, LEAST_PARTS = 100_000, 8
 
 
 def with_key(df: DataFrame, key: str = KEY) -> DataFrame:
@@ -61,13 +62,15 @@ class FeatureTable:
     names: list[str]
 
 
-def laid_out(rows: DataFrame, key: str, parts: int = FIT_PARTS) -> DataFrame:
+def laid_out(rows: DataFrame, key: str, parts: int | None = None) -> DataFrame:
     """The rows dealt to ``parts`` partitions by key, sorted in each.
 
     Bagging draws by partition and place, so a fit is repeatable only on a layout that depends neither on the
-    number of cores nor on how files were written or read back. Raise ``parts`` with the size of the table; it
-    is part of what the model depends on, like the seed.
+    number of cores nor on how files were written or read back. Without ``parts`` their number follows from the
+    number of rows; it is part of what the model depends on, like the seed.
     """
+    if parts is None:
+        parts = max(LEAST_PARTS, -(-rows.count() // PART_ROWS))
     return rows.repartition(parts, quoted(key)).sortWithinPartitions(quoted(key))
 
 
