@@ -22,6 +22,10 @@ def sentiment_totals(df: DataFrame, label: str = "label") -> DataFrame:
         F.count_if(F.col(label) == POSITIVE).alias("positive"),
         F.count_if(F.col(label) == NEGATIVE).alias("negative"),
     )
+    return with_percents(counted)
+
+
+def with_percents(counted: DataFrame) -> DataFrame:
     return counted.withColumns(
         {
             "positive_percent": percent("positive", "total"),
@@ -56,6 +60,11 @@ def monthly_trend(df: DataFrame, ts: str = TIME, label: str = "label", month_onl
             F.count_if(F.col(label) == NEGATIVE).alias(NEGATIVE),
         )
     )
+    return named_months(grouped, month_only_order)
+
+
+def named_months(grouped: DataFrame, month_only_order: bool = False) -> DataFrame:
+    """The trend of finished groups ``month_start, Positive, Negative``."""
     named = grouped.select(
         F.month("month_start").alias("month_num"),
         month_text("month_start").alias("month"),

@@ -22,6 +22,7 @@ from voxtally.operators import (
     search_index,
     splits,
     time_formats,
+    trend_store,
     trends,
     words,
 )
@@ -179,6 +180,27 @@ def monthly_trend(spark, sf_dir):
     return trends.monthly_trend(_enriched(spark, sf_dir))
 
 
+def _stored_trends(spark, sf_dir):
+    """The comments taken in by three batches that overlap; the first one comes twice."""
+    rows = _enriched(spark, sf_dir).drop("text")
+    store = trend_store.TrendStore(spark, new_table_path(spark))
+    place = F.col("comment_id") % 10
+    for name, part in (("a", place < 5), ("b", place.between(3, 7)), ("a", place < 5), ("c", place > 6)):
+        store.apply(rows.filter(part), name)
+    return store
+
+
+@query
+def stored_trend(spark, sf_dir):
+    """The monthly trend from the counts of batches."""
+    return _stored_trends(spark, sf_dir).monthly_trend()
+
+
+@query
+def stored_totals(spark, sf_dir):
+    return rounded(_stored_trends(spark, sf_dir).sentiment_totals())
+
+
 @query
 def class_distribution(spark, sf_dir):
     rows = cleaning.text_training_rows(views.text_training(spark, sf_dir))

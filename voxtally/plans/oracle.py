@@ -305,6 +305,18 @@ def statements() -> dict[str, str]:
             WITH {ENRICHED} SELECT month_num, month, count(*) FILTER (label = 'Positive') AS "Positive",
                 count(*) FILTER (label = 'Negative') AS "Negative"
             FROM enriched GROUP BY month_num, month""",
+        "stored_trend": f"""
+            WITH {ENRICHED} SELECT month_num, month, count(*) FILTER (label = 'Positive') AS "Positive",
+                count(*) FILTER (label = 'Negative') AS "Negative"
+            FROM enriched GROUP BY month_num, month""",
+        "stored_totals": f"""
+            WITH {ENRICHED} SELECT count(*) AS total,
+                count(*) FILTER (label = 'Positive') AS positive, count(*) FILTER (label = 'Negative') AS negative,
+                coalesce(round(100.0::DOUBLE * count(*) FILTER (label = 'Positive') / nullif(count(*), 0), 6), 0)
+                    AS positive_percent,
+                coalesce(round(100.0::DOUBLE * count(*) FILTER (label = 'Negative') / nullif(count(*), 0), 6), 0)
+                    AS negative_percent
+            FROM enriched""",
         "class_distribution": f"""
             WITH {TRAINING} SELECT label, count(*) AS n,
                 round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM training), 6) AS percent
