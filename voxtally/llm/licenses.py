@@ -12,7 +12,9 @@ follow each other without an empty line are all found. A family that one of a pa
 counted again for the paragraph, and a line whose family the paragraph confirms is not an unconfirmed one.
 Windows of paragraphs that hold too few word pairs of each template to be confirmed are not predicted.
 
-Rows: a null or empty text has no paragraph. Repeated rows get equal results. Texts are read whole.
+Rows: a null or empty text has no paragraph. Repeated rows get equal results. Texts are read whole, very long ones window
+by window. Of families with equal probability the first by name is the surest one. An empty table teaches the templates
+alone and gives no rows.
 """
 
 from __future__ import annotations
