@@ -15,8 +15,8 @@ not compared by text.
 Documents with equal sets form a class, which goes through the search once. In each bucket members
 are compared with leaders instead of with each other; a bucket is closed when its members are in one
 component or every pair of different components has been compared. A hot bucket so costs one pass,
-and no link is lost: in a bucket that is still open all members are leaders, or 1024 new ones a round in a
-larger one. Among the members of open buckets, shingles that only one document has are counted first: what two
+and no link is lost: there is one leader first, then 16 in each bucket that is still open, so that most of a large
+group is in one component; in the rounds after that all members are leaders, or 1024 new ones a round in a larger bucket. Among the members of open buckets, shingles that only one document has are counted first: what two
 documents can share at most follows from that, and rules out most pairs without a look at their texts.
 
 Rows: a null text or one without words has an empty set, is linked with nothing and kept. Repeated
@@ -43,7 +43,8 @@ BANDS, ROWS = 51, 5
 SKETCH = 1024
 #: How many lowest bits may differ.
 DIFFERENT = 181
-LEADERS = 1024
+#: Leaders of a bucket in the round after the first, and in later ones.
+FEW_LEADERS, LEADERS = 16, 1024
 SEED = 20240607
 NO_ID = -(1 << 63)
 #: Word hashes that a worker remembers, of words of at most so many bytes: about 16 MB.
@@ -279,6 +280,7 @@ def linked_classes(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
     slim = traits.drop("bands")
     pairs = pairs.join(slim.withColumnsRenamed(LEFT), "a").join(slim.withColumnsRenamed(RIGHT), "b").filter(FITS)
     checked = edges = labels = None
+    limit = min(FEW_LEADERS, LEADERS)
     while True:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if checked is not None:
@@ -306,7 +308,7 @@ def linked_classes(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
         largest = described.agg(F.max("n")).first()[0]
         if largest is None:
             return labels
-        slot = F.expr(f"if(n <= {LEADERS}, node, pmod(xxhash64(node), {LEADERS}))").alias("slot")
+        slot = F.expr(f"if(n <= {limit}, node, pmod(xxhash64(node), {limit}))").alias("slot")
         leaders = described.groupBy("bucket", slot).agg(
             F.min_by(F.struct("node", "component", "shared", *TRAITS), "node").alias("leader")
         )
@@ -314,13 +316,14 @@ def linked_classes(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
         near = described.withColumnsRenamed(RIGHT | {"component": "component_b"}).join(
             leaders.withColumnsRenamed(LEFT | {"component": "component_a"}), "bucket"
         )
-        fresh = f"component_a <> component_b and (n > {LEADERS} or a < b)"
+        fresh = f"component_a <> component_b and (n > {limit} or a < b)"
         pairs = near.filter(f"{fresh} and {SHARES} and {FITS} and {FIRST_SHARED}").select("a", "b")
-        if largest <= LEADERS:
+        if largest <= limit:
             rest = None
         else:
-            wide = described.filter(f"n > {LEADERS}").select("bucket", "node")
+            wide = described.filter(f"n > {limit}").select("bucket", "node")
             rest = written(wide.join(leaders.select("bucket", "node"), ["bucket", "node"], "left_anti"))
+            limit = LEADERS
 
 
 def class_texts(classes: DataFrame, docs: DataFrame) -> DataFrame:
