@@ -138,6 +138,8 @@ def test_co_training_finds_bad_documents(spark):
     right = [r.kept == good[r.doc_id] for r in found if r.doc_id in good]
     assert sum(right) > 0.97 * len(right)
     assert all(0 <= r.score <= 1 for r in found)
+    again = cotraining.classify(df, model, cotraining.figures(df)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, found))
     kept = cotraining.keep_good(df, model)
     assert kept.columns == df.columns and kept.count() == sum(r.kept for r in found)
 

@@ -183,8 +183,18 @@ def labelled_ids(labels: DataFrame) -> DataFrame:
     )
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Co-train on ``docs`` (doc_id, text, source, lang, n_chars) and ``labels`` (doc_id, quality)."""
+def figures(docs: DataFrame) -> DataFrame:
+    """What both views see of each row of ``docs``: doc_id, content and the META columns, written once."""
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")]
+    rows = docs.select(*columns, *meta_columns(docs))
+    return written(rows.select("doc_id", *META, content_column(F.col("text"), rows).alias("content")))
+
+
+def fit(docs: DataFrame, labels: DataFrame, seen: DataFrame | None = None) -> Model:
+    """Co-train on ``docs`` (doc_id, text, source, lang, n_chars) and ``labels`` (doc_id, quality).
+
+    ``seen`` are the documents' figures, if they are at hand.
+    """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     known = written(labelled_ids(labels).join(ids, "doc_id", "left_semi"))
     n_known, n_good = known.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
@@ -194,13 +204,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if min(n_good, n_bad) < LEAST:
         return Model(prior)
     chosen = bounded_broadcast(known.filter(sampled(n_good, n_bad)))
-    read = [name for name in COLUMNS if name in docs.columns]
-    keyed = docs.select(*read).filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
-    columns = ["doc_id", F.col("text").cast("string").alias("text"), *meta_columns(keyed)]
-    labelled = keyed.join(chosen, "doc_id").select(*columns, "label")
-    pooled = keyed.select(*columns).join(known.select("doc_id"), "doc_id", "left_anti")
-    both = labelled.unionByName(pooled.withColumn("label", F.lit(None).cast("double")))
-    rows = written(both.select("doc_id", "label", *META, content_column(F.col("text"), both).alias("content")))
+    seen = (figures(docs) if seen is None else seen).filter("doc_id is not null")
+    labelled = seen.join(chosen, "doc_id")
+    pooled = seen.join(known.select("doc_id"), "doc_id", "left_anti")
+    rows = written(labelled.unionByName(pooled.withColumn("label", F.lit(None).cast("double"))))
     parts = -(-rows.count() // FIT_ROWS)
     rows = _views(rows.coalesce(max(1, parts))).select("doc_id", "label", "view", "meta", F.lit(1.0).alias("weight"))
     own = rows.filter("label is not null").select("doc_id", "label").distinct().collect()
@@ -249,7 +256,11 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
         return docs.select(row, *(F.lit(share).alias(name) for name in ("content_score", "meta_score", "score")))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     row = F.struct(*docs.columns).alias("_row")
-    rows = docs.select(row, *meta_columns(docs), content_column(text, docs).alias("content"))
+    return _combined(docs.select(row, *meta_columns(docs), content_column(text, docs).alias("content")), model)
+
+
+def _combined(rows: DataFrame, model: Model) -> DataFrame:
+    """The scores of rows with content and META columns, with their ``_row``."""
     rows = _odds(_views(rows), model.content, "view", "content_odds", model.shift)
     rows = _odds(rows, model.meta, "meta", "meta_odds", model.shift)
     odds = {
@@ -265,11 +276,15 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
     )
 
 
-def classify(docs: DataFrame, model: Model) -> DataFrame:
-    """Per row of ``docs``: doc_id, content_score, meta_score, score, kept."""
+def classify(docs: DataFrame, model: Model, seen: DataFrame | None = None) -> DataFrame:
+    """Per row of ``docs``: doc_id, content_score, meta_score, score, kept. ``seen`` as in :func:`fit`."""
     columns = [name for name in COLUMNS if name in docs.columns]
     kept = F.lit(True) if model.content is None else F.col("score") >= THRESHOLD
-    return with_scores(docs.select(*columns), model).select(
+    if seen is None or model.content is None:
+        scored = with_scores(docs.select(*columns), model)
+    else:
+        scored = _combined(seen.select(F.struct("doc_id").alias("_row"), *META, "content"), model)
+    return scored.select(
         F.col("_row.doc_id").cast("long").alias("doc_id"), "content_score", "meta_score", "score", kept.alias("kept")
     )
 

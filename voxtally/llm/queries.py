@@ -53,7 +53,8 @@ def op2_word_backoff(spark, sf_dir):
 @query
 def op3_cotraining(spark, sf_dir):
     documents = read_table(spark, sf_dir, "documents")
-    return cotraining.classify(documents, cotraining.fit(documents, read_table(spark, sf_dir, "labels")))
+    seen = cotraining.figures(documents)
+    return cotraining.classify(documents, cotraining.fit(documents, read_table(spark, sf_dir, "labels"), seen), seen)
 
 
 @query
