@@ -33,8 +33,9 @@ from voxtally.llm.common import file_store, map_batches, put_file, shared_folder
 MAGIC = b"VXDAC1\0\0"
 BLOCK = 512
 FILE_IDS = 1 << 22
-#: Bytes that a worker may take to remember cuts: the library is slow on single words, so they are looked up if possible.
-CUTS_ROOM = 160 << 20
+#: Bytes that a worker may take to remember cuts and the pattern's matches in them: the library is slow on single
+#: words, so they are looked up if possible.
+CUTS_ROOM, MATCHES_ROOM = 256 << 20, 96 << 20
 #: Documents of a file that one step of the reader takes.
 READ_DOCS = 4096
 
@@ -56,7 +57,7 @@ class TextEncoder:
         self.model = self.whole.model
         self.added = [token.content for token in self.whole.get_added_tokens_decoder().values()]
         self.split = pieces.splitter(pattern)
-        self.memory, self.matches = pieces.Memory(self.ids, CUTS_ROOM), pieces.Memory(self.match_ids)
+        self.memory, self.matches = pieces.Memory(self.ids, CUTS_ROOM), pieces.Memory(self.match_ids, MATCHES_ROOM)
         plain = ByteLevel(add_prefix_space=False, use_regex=False)
         # the library's character for each byte, read off valid two-byte and one-byte strings
         self.shown = {}
