@@ -15,7 +15,7 @@ import public_tokenizers
 import regex
 
 #: Bytes that a memory may take in a worker, and the characters of the longest string it keeps.
-ROOM = 64 << 20
+ROOM = 128 << 20
 LONGEST = 64
 #: Bytes of an entry besides its contents (key and value objects and their place in a table), and of a number in a tuple.
 ENTRY, NUMBER = 160, 36
