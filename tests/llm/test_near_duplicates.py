@@ -67,6 +67,36 @@ def test_open_buckets_go_on_in_rounds(documents, monkeypatch):
     assert got == brute(rows)
 
 
+def test_few_unlinked_pairs_are_compared_by_text(documents, monkeypatch):
+    """In a group of copies that lack different parts most pairs are just below the bound."""
+    rng, base, rows = random.Random(4), [f"w{i}" for i in range(300)], []
+    for i in range(40):
+        gone = {k for start in rng.sample(range(290), 4) for k in range(start, start + 9)}
+        rows.append((i, " ".join(w for k, w in enumerate(base) if k not in gone)))
+    compared, verify = [], op.verify
+    monkeypatch.setattr(op, "verify", lambda pairs, texts: (compared.append(pairs.count()), verify(pairs, texts))[1])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op.near_duplicates(documents(rows)).collect()}
+    assert got == brute(rows)
+    sets = [op.exact_set(text) for _, text in rows]
+    linked = sum(100 * len(a & b) >= 75 * len(a | b) for a, b in itertools.combinations(sets, 2))
+    assert sum(compared) < 1.2 * linked + 40  # of 780
+
+
+def test_cells_rule_out_no_link():
+    """What two maps allow is never less than what the sets share, and near it."""
+    rng = np.random.default_rng(11)
+    for size in (1, 5, 60, 400, 3000, 20_000):
+        common = rng.integers(0, 2**63, size, np.uint64)
+        a, b = (np.unique(np.concatenate([common, rng.integers(0, 2**63, size // 5, np.uint64)])) for _ in "ab")
+        maps = [op.cells(x).view(np.uint64) for x in (a, b)]
+        beside = [len(x) - int(np.bitwise_count(m).sum()) for x, m in zip((a, b), maps, strict=True)]
+        allowed = int(np.bitwise_count(maps[0] & maps[1]).sum()) + min(beside)
+        shared = len(np.intersect1d(a, b))
+        assert allowed >= shared
+        if size <= 400:
+            assert allowed <= 1.03 * shared + 1
+
+
 def test_keep_first_keeps_columns(documents):
     docs = documents([(2, "a b c d e f"), (1, "a b c d e f"), (5, None), (None, "a b c d e f")])
     kept = op.keep_first(docs)

@@ -17,7 +17,10 @@ are compared with leaders instead of with each other; a bucket is closed when it
 component or every pair of different components has been compared. A hot bucket so costs one pass,
 and no link is lost: there is one leader first, then 16 in each bucket that is still open, so that most of a large
 group is in one component; in the rounds after that all members are leaders, or 1024 new ones a round in a larger bucket. Among the members of open buckets, shingles that only one document has are counted first: what two
-documents can share at most follows from that, and rules out most pairs without a look at their texts.
+documents can share at most follows from that, and rules out most pairs without a look at their texts. The rest is left
+to cells: each shingle marks one of 4096, the further ones of a cell mark one of 1024 more, and two documents share at
+most the cells that both have marked and the lesser number of shingles that marked none. So the pairs whose texts are
+compared are few besides the linked ones, and no linked one is ruled out.
 
 Rows: a null text or one without words has an empty set, is linked with nothing and kept. Repeated
 rows are in one class. A row with a null id takes part; it is kept only if its whole component has no id. Very long
@@ -45,6 +48,8 @@ SKETCH = 1024
 DIFFERENT = 181
 #: Leaders of a bucket in the round after the first, and in later ones.
 FEW_LEADERS, LEADERS = 16, 1024
+#: Cells of a set's map, and those for the further shingles of a cell.
+CELLS, MORE_CELLS = 4096, 1024
 SEED = 20240607
 NO_ID = -(1 << 63)
 #: Word hashes that a worker remembers, of words of at most so many bytes: about 16 MB.
@@ -53,7 +58,7 @@ MIX_1, MIX_2, BASE = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB13311
 
 #: What is known of a class without its text.
 BITS = tuple(f"s{k}" for k in range(SKETCH // 64))
-TRAITS = ("n_shingles", "bands", *BITS)
+TRAITS = ("n_shingles", "bands", "cells", "beside", *BITS)
 LEFT, RIGHT = ({"node": side} | {name: f"{name}_{side}" for name in (*TRAITS, "shared")} for side in "ab")
 #: What sizes and sketches allow.
 FITS = (
@@ -65,6 +70,9 @@ FITS = (
 SHARES = (
     f"100 * least(shared_a, shared_b) >= {SIMILARITY} * (n_shingles_a + n_shingles_b - least(shared_a, shared_b))"
 )
+#: What the cells allow.
+COMMON = "aggregate(zip_with(cells_a, cells_b, (x, y) -> bit_count(x & y)), least(beside_a, beside_b), (n, x) -> n + x)"
+OVERLAPS = f"{100 + SIMILARITY} * {COMMON} >= {SIMILARITY} * (n_shingles_a + n_shingles_b)"
 #: A pair is looked at in one of the buckets it shares. If a side was that bucket's leader, that is done.
 FIRST_SHARED = "bucket = array_min(array_intersect(bands_a, bands_b))"
 
@@ -139,6 +147,13 @@ def sketch(signed: np.ndarray) -> np.ndarray:
     return np.packbits((signed & np.uint32(1)).astype(np.uint8)).view(np.int64)
 
 
+def cells(hashes: np.ndarray) -> np.ndarray:
+    """The map of a set: which of the cells its shingles fall on, 64 a number."""
+    counts = np.bincount(((hashes >> np.uint64(32)) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+    further = np.maximum(counts - 1, 0).reshape(-1, MORE_CELLS).sum(axis=0)
+    return np.packbits(np.concatenate([counts, further]) > 0).view(np.int64)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, high, low, bands = [], [], [], []
@@ -172,16 +187,19 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add set sizes, buckets and sketches to texts."""
+    """Add set sizes, buckets, maps and sketches to texts."""
     for batch in batches:
         sizes, bands, bits = [], [], np.empty((batch.num_rows, SKETCH // 64), np.int64)
+        maps = np.empty((batch.num_rows, (CELLS + MORE_CELLS) // 64), np.int64)
         for i, text in enumerate(batch.column(1).to_pylist()):
             hashes = shingle_hashes(words_of(text))
             sizes.append(len(hashes))
             signed = signature(hashes, SKETCH)
             bands.append(band_hashes(signed[: BANDS * ROWS]))
-            bits[i] = sketch(signed)
+            bits[i], maps[i] = sketch(signed), cells(hashes)
+        beside = np.array(sizes, np.int64) - np.bitwise_count(maps.view(np.uint64)).sum(axis=1, dtype=np.int64)
         columns = [pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+        columns += [pa.array(list(maps), pa.list_(pa.int64())), pa.array(beside)]
         columns += [pa.array(x, pa.int64()) for x in bits.T]
         yield pa.RecordBatch.from_arrays([*batch.columns, *columns], ["node", "text", *TRAITS])
 
@@ -255,13 +273,13 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def with_shared(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Add ``shared``: how many of a node's shingles other nodes of ``members`` have too."""
-    own = texts.join(members.select("node").distinct(), "node", "left_semi").select("node", "text")
+def with_shared(traits: DataFrame, texts: DataFrame) -> DataFrame:
+    """Add ``shared``: how many of a node's shingles other nodes of ``traits`` have too."""
+    own = texts.join(traits.select("node"), "node", "left_semi").select("node", "text")
     rows = map_batches(own, _shingle_rows, "node long, shingle long")
     single = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("n")).filter("n = 1")
     alone = single.groupBy("node").agg(F.count("*").alias("alone"))
-    return members.join(alone, "node", "left").withColumn(
+    return traits.join(alone, "node", "left").withColumn(
         "shared", F.col("n_shingles") - F.coalesce("alone", F.lit(0))
     ).drop("alone")
 
@@ -272,13 +290,14 @@ def linked_classes(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
     shared = exploded.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last"))
     members = written(exploded.join(shared.filter("first < last").drop("last"), "bucket"))
     texts = class_texts(classes.join(members.select("node").distinct(), "node", "left_semi"), docs)
-    kinds = "node long, text string, n_shingles long, bands array<long>, " + ", ".join(f"{x} long" for x in BITS)
+    kinds = "node long, text string, n_shingles long, bands array<long>, cells array<long>, beside long, "
+    kinds += ", ".join(f"{x} long" for x in BITS)
     texts = written(map_batches(texts, _described, kinds))
     traits = texts.select("node", *TRAITS)
     rest = members.filter("node > first").select("bucket", "node")
     pairs = members.filter("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     slim = traits.drop("bands")
-    pairs = pairs.join(slim.withColumnsRenamed(LEFT), "a").join(slim.withColumnsRenamed(RIGHT), "b").filter(FITS)
+    pairs = pairs.join(slim.withColumnsRenamed(LEFT), "a").join(slim.withColumnsRenamed(RIGHT), "b").filter(f"{FITS} and {OVERLAPS}")
     checked = edges = labels = None
     limit = min(FEW_LEADERS, LEADERS)
     while True:
@@ -303,11 +322,12 @@ def linked_classes(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
         span = tagged.groupBy("bucket").agg(
             F.min("component").alias("low"), F.max("component").alias("top"), F.count("*").alias("n")
         )
-        still_open = tagged.join(span.filter("low < top").select("bucket", "n"), "bucket")
-        described = written(with_shared(still_open.join(traits, "node"), texts))
-        largest = described.agg(F.max("n")).first()[0]
+        still_open = written(tagged.join(span.filter("low < top").select("bucket", "n"), "bucket"))
+        largest = still_open.agg(F.max("n")).first()[0]
         if largest is None:
             return labels
+        open_traits = traits.join(still_open.select("node").distinct(), "node", "left_semi")
+        described = written(still_open.join(with_shared(open_traits, texts), "node"))
         slot = F.expr(f"if(n <= {limit}, node, pmod(xxhash64(node), {limit}))").alias("slot")
         leaders = described.groupBy("bucket", slot).agg(
             F.min_by(F.struct("node", "component", "shared", *TRAITS), "node").alias("leader")
@@ -317,7 +337,7 @@ def linked_classes(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
             leaders.withColumnsRenamed(LEFT | {"component": "component_a"}), "bucket"
         )
         fresh = f"component_a <> component_b and (n > {limit} or a < b)"
-        pairs = near.filter(f"{fresh} and {SHARES} and {FITS} and {FIRST_SHARED}").select("a", "b")
+        pairs = near.filter(f"{fresh} and {SHARES} and {FITS} and {FIRST_SHARED} and {OVERLAPS}").select("a", "b")
         if largest <= limit:
             rest = None
         else:
