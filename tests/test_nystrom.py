@@ -1,6 +1,7 @@
 """Landmark features against the exact kernel and beside random Fourier features."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
@@ -74,3 +75,16 @@ def test_the_machine_with_landmarks(spark, tmp_path):
     assert answers[0].exceptAll(answers[1]).isEmpty()
     with pytest.raises(ValueError, match="no such map"):
         kernel_svm.fit(data, kernel_map="other")
+
+
+def test_rows_are_mapped_in_blocks(spark):
+    """Whatever Spark hands over at once, few rows are mapped at a time."""
+    sizes = [3 * nystrom.BLOCK_ROWS + 7, 0, 1]
+    blocks = list(nystrom.row_blocks(pd.Series([np.full(4, i) for i in range(n)], dtype=object) for n in sizes))
+    assert [len(b) for b in blocks] == [nystrom.BLOCK_ROWS] * 3 + [7, 0, 1]
+    rows = spark.range(1000).coalesce(1).selectExpr("id", "array(id / 1000, 1d) as scaled")
+    mapping = kernel_svm.FourierFeatures(inputCol="scaled", gamma=0.5, dimension=8)
+    got = {r.id: r.features.toArray() for r in mapping.transform(rows).collect()}
+    generator = np.random.default_rng(kernel_svm.SEED)
+    matrix, shift = generator.normal(0.0, 1.0, (2, 8)), generator.uniform(0.0, 2.0 * np.pi, 8)
+    assert all(np.allclose(got[i], 0.5 * np.cos(np.array([i / 1000, 1.0]) @ matrix + shift)) for i in range(1000))

@@ -59,11 +59,10 @@ class FourierFeatures(
         @F.pandas_udf("array<double>")
         def mapped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             matrix = shift = None
-            for batch in batches:
-                if not len(batch):
+            for rows in nystrom.row_blocks(batches):
+                if not len(rows):
                     yield pd.Series([], dtype=object)
                     continue
-                rows = np.stack(batch.to_numpy())
                 if matrix is None:
                     # The same directions and phases in every task.
                     generator = np.random.default_rng(seed)

@@ -31,6 +31,18 @@ LANDMARKS, ROUNDS = 256, 4
 SEED = 42
 #: Directions of the landmarks' kernel with a smaller share of the largest eigenvalue are left out.
 SMALLEST = 1e-10
+#: Rows that are mapped at once: their features are many times wider than the rows that Spark hands over.
+BLOCK_ROWS = 256
+
+
+def row_blocks(batches: Iterator[pd.Series]) -> Iterator[np.ndarray]:
+    """The arrays of Spark's batches as matrices of at most ``BLOCK_ROWS`` rows; an empty batch is an empty one."""
+    for batch in batches:
+        arrays = batch.to_numpy()
+        if not len(arrays):
+            yield np.zeros((0, 0))
+        for start in range(0, len(arrays), BLOCK_ROWS):
+            yield np.stack(arrays[start : start + BLOCK_ROWS])
 
 
 def kernel(rows: np.ndarray, landmarks: np.ndarray, gamma: float) -> np.ndarray:
@@ -56,8 +68,8 @@ def residual(values: str, landmarks: np.ndarray, gamma: float) -> Column:
     @F.pandas_udf("double")
     def lacking(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         white = whitening(landmarks, gamma)
-        for batch in batches:
-            found = features_of(np.stack(batch.to_numpy()), landmarks, white, gamma) if len(batch) else np.zeros((0, 1))
+        for block in row_blocks(batches):
+            found = features_of(block, landmarks, white, gamma) if len(block) else np.zeros((0, 1))
             yield pd.Series(np.clip(1.0 - (found * found).sum(axis=1), 0.0, 1.0))
 
     return lacking(quoted(values))
@@ -119,7 +131,7 @@ class NystromFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReada
         @F.pandas_udf("array<double>")
         def mapped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             points, white = shared.value
-            for batch in batches:
-                yield pd.Series(list(features_of(np.stack(batch.to_numpy()), points, white, gamma)) if len(batch) else [], dtype=object)
+            for block in row_blocks(batches):
+                yield pd.Series(list(features_of(block, points, white, gamma)) if len(block) else [], dtype=object)
 
         return dataset.withColumn(self.getOutputCol(), array_to_vector(mapped(quoted(self.getInputCol()))))
