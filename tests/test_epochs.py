@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +126,19 @@ def test_too_few_rows(spark):
     few = spark.createDataFrame([(i, "good", "Positive") for i in range(20)], "id long, ENGLISH string, Sentiment string")
     with pytest.raises(ValueError, match="class"):
         epochs.train(few)
+
+
+def test_batches_are_taken_in_slices():
+    """A large batch is worked on in parts that give the sums of the whole, rows without words included."""
+    rng = np.random.default_rng(2)
+    places = [None if i % 97 == 0 else np.unique(rng.integers(0, 64, i % 9)).astype(np.int32) for i in range(2 * epochs.SLICE_ROWS + 40)]
+    counts = [None if x is None else np.arange(1, len(x) + 1, dtype=np.float32) for x in places]
+    columns = [pa.array(places, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))]
+    batch = pa.RecordBatch.from_arrays(columns, ["places", "counts"])
+    parts = list(epochs.slices(iter([batch.slice(0, 0), batch])))
+    assert [x.num_rows for x in parts] == [epochs.SLICE_ROWS, epochs.SLICE_ROWS, 40]
+    weights, rarity = rng.normal(size=65), rng.random(64) + 0.5
+    whole, cut = epochs.Rows(batch, rarity), [epochs.Rows(x, rarity) for x in parts]
+    assert np.allclose(whole.margins(weights), np.concatenate([x.margins(weights) for x in cut]))
+    sums = sum(x.gradient(np.ones(x.size), 64) for x in cut)
+    assert np.allclose(whole.gradient(np.ones(whole.size), 64), sums)

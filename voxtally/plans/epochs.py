@@ -38,6 +38,8 @@ SEED = 42
 FEATURES = 1 << 16
 #: Tasks of the second level, which is what the driver gets to see of a step.
 MERGERS = 16
+#: Rows that a worker turns into numbers at once; Spark hands over up to 10,000, whose words take many times their room.
+SLICE_ROWS = 512
 #: Rows of a file of prepared texts.
 FILE_ROWS = 20_000
 METRICS = ("train_loss", "train_acc", "val_loss", "val_acc", "val_precision", "val_recall", "val_f1")
@@ -122,9 +124,16 @@ def hashed_words(text: Column | str, features: int) -> Column:
     return F.transform(tokens(text), lambda word: F.pmod(F.xxhash64(word), F.lit(features)).cast("int"))
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, at most ``SLICE_ROWS`` at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last column, places of words, as distinct places and their counts."""
-    for batch in batches:
+    for batch in slices(batches):
         places, counts = [], []
         for words in batch.column(batch.num_columns - 1):
             met, times = np.unique(words.values.to_numpy(zero_copy_only=False) if words.is_valid else (), return_counts=True)
@@ -228,7 +237,7 @@ def _step_sums(rows: DataFrame, weights, rarity, features: int) -> DataFrame:
         from pyspark import TaskContext
 
         gradient, told = np.zeros(features + 1), np.zeros(4)
-        for batch in batches:
+        for batch in slices(batches):
             found = Rows(batch, rarity.value)
             label, weight = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("label", "weight"))
             margins = found.margins(weights.value)
@@ -269,7 +278,7 @@ def _scored(rows: DataFrame, weights, rarity, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of prepared rows with ``margin``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             margins = pa.array(Rows(batch, rarity.value).margins(weights.value))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], margins], [*keep, "margin"])
 
