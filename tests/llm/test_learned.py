@@ -247,3 +247,18 @@ def test_scan_documents(scanner, documents):
 def test_labels_without_documents_teach_nothing(spark, documents):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
     assert cotraining.fit(documents([], extra=False), labels).content is None
+
+
+def test_a_worker_holds_one_model():
+    """The scorer of an earlier model is gone when the next one is loaded, or when a new one is being counted."""
+    held = []
+
+    def load():
+        held.append(len(word_backoff._scorers))
+        return word_backoff.Model(["en"], table=np.zeros((0, 1)))
+
+    first = word_backoff.scorer("first", load)
+    assert word_backoff.scorer("first", load) is first
+    word_backoff.scorer("second", load)
+    assert held == [0, 0]
+    assert list(word_backoff._words(iter([]))) == [] and not word_backoff._scorers

@@ -22,7 +22,7 @@ import sys
 import unicodedata
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -133,15 +133,18 @@ class Scorer:
 _scorers: dict[str, Scorer] = {}
 
 
-def scorer(model: Model) -> Scorer:
-    if model.name not in _scorers:
+def scorer(name: str, load: Callable[[], Model]) -> Scorer:
+    """The scorer of the model of that name. One of another model goes before the model is loaded, so that a worker
+    never holds two."""
+    if name not in _scorers:
         _scorers.clear()
-        _scorers[model.name] = Scorer(model)
-    return _scorers[model.name]
+        _scorers[name] = Scorer(load())
+    return _scorers[name]
 
 
 def _count(batches: Iterator[pa.RecordBatch], items) -> Iterator[pa.RecordBatch]:
     """Counts of (lang, item) a batch; ``items`` lists a row's items and how often they count."""
+    _scorers.clear()  # a new model is on its way
     for batch in batches:
         counts: Counter = Counter()
         for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
@@ -213,10 +216,10 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, held_out, lang_pred, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), model.name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = scorer(shared.value)
+        tool = scorer(name, lambda: shared.value)
         for batch in batches:
             found = [tool.score(text) for text in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
