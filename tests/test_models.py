@@ -3,10 +3,12 @@ from dataclasses import replace
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LinearSVC, OneVsRest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from voxtally.operators.splits import stratified_folds
-from voxtally.plans import forest, kernel_svm, text_classifier
+from voxtally.plans import forest, kernel_svm, machines, text_classifier
 from voxtally.plans.training import prepare_forest_table, prepare_svm_table
 from voxtally.sinks.results import save_model
 from voxtally.sources.csv import read_csv_sniffed
@@ -126,6 +128,56 @@ def test_folds_are_predicted_by_fits_on_the_others(rings):
             assert abs(got[i][fold] - want) < 1e-9
 
 
+def test_machines_fitted_together_are_those_of_spark(spark, tmp_path):
+    """Classes of equal size: their weights are whole numbers, so that no step hangs on rounding."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(480, 6)) * rng.uniform(0.3, 3.0, 6) + 1.0
+    x[:, 4] = 0.7
+    label = np.argsort(np.argsort(x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=480))) * 3 // 480
+    data = [(int(k), i % 2, row.tolist()) for i, (k, row) in enumerate(zip(label, x))]
+    frame = spark.createDataFrame(data, "label_index int, fold int, f array<double>").repartition(3).withColumn("features", array_to_vector("f"))
+    rows = machines.Rows(frame.cache())
+    ours = machines.fit(rows, [t for C in (10.0, 100.0) for t in machines.tasks_of(3, C)], 3, 0, 20)
+    for C, mine in ((10.0, ours[:3]), (100.0, ours[3:])):
+        options = {"regParam": 1 / (C * 480), "maxIter": 20, "standardization": False, "labelCol": "label_index"}
+        theirs = OneVsRest(classifier=LinearSVC(**options), labelCol="label_index").fit(frame)
+        for got, want in zip(mine, theirs.models):
+            assert np.allclose([*got.coefficients, got.intercept], [*want.coefficients, want.intercept], atol=1e-7)
+        save_model(PipelineModel(stages=[machines.LinearMachines.by(mine)]), str(tmp_path / f"c{C}"))
+        said = PipelineModel.load(str(tmp_path / f"c{C}")).transform(theirs.transform(frame).withColumnRenamed("prediction", "theirs"))
+        assert said.filter("prediction = theirs").count() == 480
+
+
+def test_search_needs_few_jobs(spark, rings):
+    """All machines of a search share each pass: their number of jobs does not multiply that of the steps."""
+    data = kernel_svm.prepare(rings.drop("empty"), "Score")
+    seen = []
+    for values in ([1.0], [0.1, 1.0, 10.0, 100.0]):
+        passes, total = [0], machines.Rows.total
+
+        def counted(self, sums, size, passes=passes, total=total):
+            passes[0] += 1
+            return total(self, sums, size)
+
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(machines.Rows, "total", counted)
+            kernel_svm.fold_accuracies(data, values, 0.5, folds=3, dimension=16, iterations=4)
+        seen.append(passes[0])
+    # a step has at most 19 trial points, whatever the number of machines
+    assert all(count <= 4 * machines.TRIALS + 3 for count in seen)
+
+
+def test_sums_of_many_tasks_are_merged(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    data = [(int(i % 2), rng.normal(size=3).tolist()) for i in range(60)]
+    frame = spark.createDataFrame(data, "label_index int, f array<double>").repartition(5).withColumn("features", array_to_vector("f"))
+    rows = machines.Rows(frame)
+    assert rows.parts == 5
+    one = rows.moments(2, 0)
+    monkeypatch.setattr(machines, "MERGERS", 2)
+    assert np.allclose(rows.moments(2, 0), one) and one[0, :, 0].tolist() == [30.0, 30.0]
+
+
 def test_three_classes(spark, rings):
     third = rings.drop("empty").withColumn("Score", F.when(F.col("row_id") % 3 == 0, "far").otherwise(F.col("Score")))
     moved = third.withColumn("x", F.when(F.col("Score") == "far", "9.0").otherwise(F.col("x")))

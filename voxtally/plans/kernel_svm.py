@@ -1,6 +1,6 @@
 """A support vector machine with a radial kernel.
 
-Spark fits linear machines. Random Fourier features (Rahimi and Recht, 2007) map a row to
+The machines are linear (:mod:`voxtally.plans.machines`). Random Fourier features (Rahimi and Recht, 2007) map a row to
 ``sqrt(2/D) cos(Wx + b)``, whose inner products approximate the radial kernel, so that a linear
 machine on them is a kernel machine on the original features; the error falls with ``D``. ``kernel_map="nystrom"``
 takes features that fit the data instead (:mod:`voxtally.plans.nystrom`), with at most ``D`` landmarks.
@@ -10,25 +10,24 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, HasSeed
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from voxtally.operators import metrics
-from voxtally.operators.classes import decode_labels, encode_labels, label_index, with_class_weights
+from voxtally.operators.classes import decode_labels, encode_labels, label_index
 from voxtally.operators.features import Standardizer
 from voxtally.operators.splits import stratified_folds, stratified_split
-from voxtally.plans import nystrom
+from voxtally.plans import machines, nystrom
 from voxtally.plans.training import KEY, TARGET, TrainingRun, prepare_svm_table
 
 # The machine's parameters.
@@ -107,26 +106,6 @@ def feature_map(train: DataFrame, key: str, kernel_map: str, gamma: float, dimen
     return nystrom.NystromFeatures.by(found, "scaled", gamma)
 
 
-def _machine(classes: int, regularization: float, iterations: int, parallelism: int):
-    linear = LinearSVC(
-        featuresCol="features",
-        labelCol="label_index",
-        weightCol="weight",
-        regParam=regularization,
-        maxIter=iterations,
-        standardization=False,
-    )
-    if classes == 2:
-        return linear
-    return OneVsRest(
-        classifier=linear,
-        featuresCol="features",
-        labelCol="label_index",
-        weightCol="weight",
-        parallelism=parallelism,
-    )
-
-
 def fit(
     data: SvmData,
     C: float = GRID["C"][0],
@@ -134,11 +113,10 @@ def fit(
     dimension: int = DIMENSION,
     iterations: int = 50,
     seed: int = SEED,
-    parallelism: int = 4,
     kernel_map: str = "fourier",
 ) -> TrainingRun:
     """Fit with class weights and predict the test side."""
-    return _fit_all(data, [C], gamma, dimension, iterations, seed, parallelism, kernel_map)[0]
+    return _fit_all(data, [C], gamma, dimension, iterations, seed, kernel_map)[0]
 
 
 def _fit_all(
@@ -148,7 +126,6 @@ def _fit_all(
     dimension: int = DIMENSION,
     iterations: int = 50,
     seed: int = SEED,
-    parallelism: int = 4,
     kernel_map: str = "fourier",
 ) -> list[TrainingRun]:
     """A run for each value of C; the rows are scaled and mapped once for all of them.
@@ -156,13 +133,13 @@ def _fit_all(
     Balanced weights sum up to the rows, which turns C into Spark's regularisation ``1 / (C * rows)``.
     """
     scaling = data.scaler.stage()
-    train = scaling.transform(with_class_weights(data.rows.filter("split = 'train'"), "label_index"))
+    train = scaling.transform(data.rows.filter("split = 'train'"))
     mapping = feature_map(train, data.key, kernel_map, gamma, dimension, seed)
-    mapped = mapping.transform(train).select("label_index", "weight", "features")
-    mapped = mapped.persist(StorageLevel.MEMORY_AND_DISK)
-    size, classes = mapped.count(), data.labels.count()
-    models = [_machine(classes, 1.0 / (C * size), iterations, parallelism).fit(mapped) for C in values]
-    mapped.unpersist()
+    mapped, classes = machines.Rows(mapping.transform(train)), data.labels.count()
+    tasks = [machines.tasks_of(classes, C) for C in values]
+    fitted = iter(machines.fit(mapped, list(chain(*tasks)), classes, 0, iterations))
+    mapped.close()
+    models = [machines.LinearMachines.by(list(islice(fitted, len(each)))) for each in tasks]
     return [_run(data, PipelineModel(stages=[scaling, mapping, model])) for model in models]
 
 
@@ -185,31 +162,24 @@ def fold_accuracies(
     dimension: int = DIMENSION,
     iterations: int = 50,
     seed: int = SEED,
-    parallelism: int = 4,
     kernel_map: str = "fourier",
 ) -> list[list[float]]:
     """For each value of C the accuracy on each fold of the training side, by a fit on the other folds.
 
     The training side is scaled and mapped once. A fold is a mask: a fit takes the rows of the others, with class
-    weights of their own, and the accuracy those of the fold.
+    weights of their own, and the accuracy those of the fold. All folds, values and classes are fitted together.
     """
     train = stratified_folds(data.rows.filter("split = 'train'").drop("split"), data.key, TARGET, folds, seed + 1)
     train = data.scaler.stage().transform(train)
     mapping = feature_map(train, data.key, kernel_map, gamma, dimension, seed)
-    mapped = mapping.transform(train).select("label_index", "fold", "features")
-    mapped = mapped.persist(StorageLevel.MEMORY_AND_DISK)
-    classes, found = data.labels.count(), [[] for _ in values]
-    for fold in range(folds):
-        others = with_class_weights(mapped.filter(F.col("fold") != fold), "label_index").drop("fold")
-        others = others.persist(StorageLevel.MEMORY_AND_DISK)
-        size, held = others.count(), mapped.filter(F.col("fold") == fold)
-        for i, C in enumerate(values):
-            model = _machine(classes, 1.0 / (C * size), iterations, parallelism).fit(others)
-            hit = (F.col("prediction") == F.col("label_index")).cast("double")
-            found[i].append(model.transform(held).agg(F.avg(hit)).first()[0] or 0.0)
-        others.unpersist()
-    mapped.unpersist()
-    return found
+    mapped, classes = machines.Rows(mapping.transform(train), "fold"), data.labels.count()
+    places = [(C, fold) for C in values for fold in range(folds)]
+    tasks = [machines.tasks_of(classes, C, fold) for C, fold in places]
+    fitted = iter(machines.fit(mapped, list(chain(*tasks)), classes, folds, iterations))
+    sets = [(fold, list(islice(fitted, len(each)))) for (_, fold), each in zip(places, tasks, strict=True)]
+    found = machines.accuracies(mapped, sets)
+    mapped.close()
+    return [found[i * folds : (i + 1) * folds] for i in range(len(values))]
 
 
 def grid_search(
