@@ -122,3 +122,13 @@ def test_softmax_and_argmax(spark):
     assert all(abs(a - b / sum(exps)) < 1e-12 for a, b in zip(rows[0][0], exps))
     assert rows[0][1] == 1
     assert rows[1][0] == [1.0, 0.0] and rows[1][1] == 0
+
+
+def test_fast_classes_hold_the_same_characters(spark):
+    """Every code point, by the classes that are scanned and those that the rules state."""
+    code = "i", F.decode(F.unhex(F.lpad(F.hex("i"), 8, "0")), "UTF-32").alias("c")
+    chars = spark.range(0x110000).withColumnRenamed("id", "i").filter("i NOT BETWEEN 55296 AND 57343").select(*code)
+    pairs = ((f"[{text.BLANK}]", text._BLANKS), (f"[^{text.WORD}{text.BLANK}.,!?-]", text._SYMBOLS))
+    for slow, fast in pairs:
+        told = chars.agg(F.count_if(F.col("c").rlike(slow)), F.count_if(F.col("c").rlike(slow) != F.col("c").rlike(fast))).first()
+        assert told[0] > 0 and told[1] == 0

@@ -205,6 +205,17 @@ def test_text_classifier(spark, opinions, tmp_path):
     assert {r.id: r.model_sentiment for r in answered.collect()} == {1: "Positive", 2: "Negative"}
 
 
+def test_words_are_counted_once_for_a_fit(opinions, monkeypatch):
+    """Rarity, the features' scale and the optimizer read written counts, not texts."""
+    kept, keep = [], text_classifier.written
+    monkeypatch.setattr(text_classifier, "written", lambda df: kept.append(keep(df)) or kept[-1])
+    seen, fit = [], text_classifier.LogisticRegression.fit
+    monkeypatch.setattr(text_classifier.LogisticRegression, "fit", lambda self, df: seen.append(df) or fit(self, df))
+    text_classifier.train_text_classifier(opinions, features=1 << 8, iterations=2)
+    assert kept[-1].columns == ["counts", "label", "weight"] and "ENGLISH" not in seen[0].columns
+    assert sorted(seen[0].inputFiles()) == sorted(kept[-1].inputFiles())
+
+
 def test_outside_model_by_batches(spark):
     def load():
         def predict(texts):

@@ -7,12 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from voxtally.functions.columns import as_column
 from voxtally.functions.labels import label_name
@@ -63,21 +62,20 @@ def train_text_classifier(
 ) -> TextRun:
     """Clean, split 80/10/10 by class, weigh classes, fit on the training side.
 
-    The cleaned rows are written once; finding the split then reads keys and labels only.
+    The cleaned rows are written once; finding the split then reads keys and labels only. So are the counts of the
+    training side's words, which rarity, the features' scale and the optimizer each read in a pass of their own.
     """
     clean = written(text_training_rows(df, text, sentiment))
     require_trainable(clean, "label")
     rows = three_way_split(clean, key, "label", seed=seed)
     train = with_class_weights(rows.filter("split = 'train'"), "label")
-    prepared = train.select(text, "label", "weight").persist(StorageLevel.MEMORY_AND_DISK)
-    stages = [
-        RegexTokenizer(inputCol=text, outputCol="words", pattern=f"[{WORD}]+", gaps=False),
-        HashingTF(inputCol="words", outputCol="counts", numFeatures=features),
-        IDF(inputCol="counts", outputCol="features"),
-        LogisticRegression(weightCol="weight", maxIter=iterations, regParam=regularization),
-    ]
-    model = Pipeline(stages=stages).fit(prepared)
-    prepared.unpersist()
+    words = RegexTokenizer(inputCol=text, outputCol="words", pattern=f"[{WORD}]+", gaps=False)
+    counts = HashingTF(inputCol="words", outputCol="counts", numFeatures=features)
+    counted = counts.transform(words.transform(train.select(text, "label", "weight"))).select("counts", "label", "weight")
+    prepared = written(counted)
+    rarity = IDF(inputCol="counts", outputCol="features").fit(prepared)
+    machine = LogisticRegression(weightCol="weight", maxIter=iterations, regParam=regularization).fit(rarity.transform(prepared))
+    model = PipelineModel(stages=[words, counts, rarity, machine])
     return TextRun(model, rows, key, text)
 
 
